@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality, rules, simhash
+from . import langid, linededup, mixing, quality, rules, sentencepieces, simhash
+
+#: The tokenizer's model file.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode(_table(spark, sf_dir, "documents"), sentencepieces.read_model(MODEL), ids=False)
+    return coded.withColumnRenamed("id", "doc_id")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
@@ -37,7 +49,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality, op6_rules, op7_line_dedup, op8_simhash)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op10_language)}
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import take, written
 from .components import components
@@ -182,3 +183,32 @@ def near_duplicates(
     return marked.join(named, marked.fp == named.print).select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _with_print(docs: DataFrame, text_at: int, width: int) -> DataFrame:
+    """``docs`` with the fingerprint as a last column ``fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(text_at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, **options) -> DataFrame:
+    """The rows and columns of ``docs``, one row of each group of near-duplicates: the one with its smallest id.
+
+    Rows are known by their ids; where ids repeat, by id and fingerprint, and of equal ones one stays.  Rows with a
+    null id cannot be named by a group and stay.
+    """
+    names = docs.columns
+    groups = written(near_duplicates(docs, id_col, text_col, width, **options).where("id is not null"), "groups")
+    first = groups.where(F.col("id") == F.col("component_id")).select("id", F.conv("fingerprint", 16, -10).cast("long").alias("print"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(id_col)}"
+    if groups.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] in (None, 1):
+        return plain.join(first, F.col(own) == F.col("id"), "left_semi").union(plain.where(F.col(own).isNull())).toDF(*names)
+    plain = _with_print(plain, names.index(text_col), width)
+    kept = plain.join(first, (F.col(own) == F.col("id")) & (F.col("fp") == F.col("print")), "left_semi").dropDuplicates([own, "fp"])
+    return kept.union(plain.where(F.col(own).isNull())).drop("fp").toDF(*names)
