@@ -41,21 +41,22 @@ def statistics(text: str | None) -> list[float]:
     n, m = len(words), len(lines)
     bins = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower = int(bins[65:91].sum()), int(bins[97:123].sum())
-    rate = lambda k, of: np.log((k + 0.5) / (of + 1.0))
+    # a rate of zero is zero at any length, and one hit in a short text is not much
+    rate = lambda k, of, grain=20.0: np.log1p(50.0 * k / (of + grain))
     return [
         np.log1p(n),
-        np.log((sum(map(len, words)) + 5.0) / (n + 1.0)),
+        np.log((sum(map(len, words)) + 55.0) / (n + 10.0)),
         rate(int(bins[_SYMBOLS].sum()), n),
         rate(int(bins[33]), n),
         rate(int(bins[124]), n),
-        rate(upper, upper + lower),
-        np.log(len(set(words)) + 1.0) / np.log(n + 2.0),
+        rate(upper, upper + lower, 100.0),
+        np.log((len(set(words)) + 20.0) / (n + 20.0)),
         rate(int(bins[_STOPS].sum()), n),
-        rate(m - len(set(lines)), m),
-        rate(int(bins[_DIGITS].sum()), n),
+        rate(m - len(set(lines)), m, 5.0),
+        rate(int(bins[_DIGITS].sum()), n, 100.0),
         rate(m, n),
         rate(sum(map(eq, words, words[1:])), n),
-        rate(sum(x.rstrip()[-1:] in b".?" for x in lines), m),
+        (sum(x.rstrip()[-1:] in b".?" for x in lines) + 3.0) / (m + 3.0),
     ]
 
 
@@ -76,7 +77,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pool: float = 0.2, ridge: float = 0.05) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, pool: float = 0.5, ridge: float = 0.02) -> Model:
     """Fit both classes; ``pool`` mixes in the pooled covariance, ``ridge`` a scaled identity.
 
     Without rows of a class, its Gaussian is the pooled one with a prior of half a row.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, quality, rules, sentencepieces, simhash
+from . import langid, linededup, mixing, neardup, quality, rules, sentencepieces, simhash
 
 #: The tokenizer's model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
@@ -53,7 +57,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vectors, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op10_language)}
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 
