@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, quality, rules, sentencepieces, simhash
+from . import langid, linededup, lmscore, mixing, neardup, quality, rules, sentencepieces, simhash
 
 #: The tokenizer's model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,11 +53,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vectors, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vectors, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op9_lm_score, op10_language)}
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 
