@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, lmscore, mixing, neardup, quality, rules, sentencepieces, simhash
+from . import langid, linededup, lmscore, mixing, neardup, quality, rules, sentencepieces, simhash, substrings
 
 #: The tokenizer's model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
@@ -61,11 +65,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vectors, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op9_lm_score, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vectors, op4_substring, op5_quality, op6_rules, op7_line_dedup, op8_simhash, op9_lm_score, op10_language)}
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 
 SQL = {
+    "op4_substring": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (SELECT r, i, md5(list_aggregate(w[i:i + 34], 'string_agg', ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+p AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT r, i + k AS i FROM p, (SELECT unnest(range(35)) AS k)),
+k AS (
+  SELECT x.r, count(c.i) AS n, string_agg(x.v, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS t
+  FROM (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d) x LEFT JOIN c ON c.r = x.r AND c.i = x.i GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
     "op6_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
