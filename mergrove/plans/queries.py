@@ -1 +1,402 @@
-QUERIES, SQL = {}, {}
+"""The registered queries of the algebra over the driver's tables, and their SQL.
+
+Keys of the generated tables are never null (parquet says they might be), so scans declare that; the queries on
+unbound values make their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import api
+from ..functions import terms
+from ..sources.tables import TableSource
+from ..sources.triples import TriplesSource, triples_of_table
+from .flags import OperatorFlags
+from .plan import Leaf, Plan
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(sql: str | None = None):
+    """Register a function from a scanner to a plan (or DataFrame) under its name, with its SQL."""
+
+    def add(function):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def scan(table: str, /, *columns: str, hidden: tuple[str, ...] = (), where=None, **renamed: str) -> Plan:
+                """A table with ``columns`` under their own names and ``variable=column`` for others."""
+                df = _table(spark, sf_dir, table)
+                df = df if where is None else df.where(where)
+                names = {c: c for c in columns} | {c: v for v, c in renamed.items()}
+                return Leaf(TableSource(df, names, hidden, never_null=True, name=table))
+
+            scan.spark, scan.frame = spark, lambda name: _table(spark, sf_dir, name)
+            out = function(scan)
+            return api.run(out, spark) if isinstance(out, Plan) else out
+
+        query.__name__ = function.__name__
+        QUERIES[function.__name__] = query
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _maybe(scan, table: str, columns: dict, key: str, condition, never_null: tuple[str, ...] = ()) -> Plan:
+    """A scan in which one column is unbound where a condition fails."""
+    df = scan.frame(table).select(*[c for c in columns if c != key], F.when(condition, F.col(key)).alias(key))
+    return Leaf(TableSource(df, columns, never_null=never_null, name=table))
+
+
+# --- scans and projections
+
+
+@register("SELECT n_name AS name, n_regionkey AS region, CAST(NULL AS VARCHAR) AS nokey FROM nation")
+def scan_project(scan):
+    return scan("nation", name="n_name", region="n_regionkey").project("name", "region", "nokey")
+
+
+@register("SELECT n_regionkey AS region, n_name AS name FROM nation")
+def project_dup_var(scan):
+    return scan("nation", name="n_name", region="n_regionkey").project("region", "name", "region")
+
+
+@register("SELECT CAST(NULL AS VARCHAR) AS x, CAST(NULL AS VARCHAR) AS y FROM region WHERE false")
+def empty_plan(scan):
+    return api.empty("x", "y")
+
+
+# --- filters
+
+
+@register("SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_nationkey = 7")
+def filter_eq(scan):
+    return scan("customer", c="c_custkey", n="c_nationkey").filter("?n = 7")
+
+
+@register("SELECT l_orderkey AS o, l_linenumber AS l, l_quantity AS q FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_shipdate >= TIMESTAMP '1995-01-01'")
+def filter_range(scan):
+    items = scan("lineitem", o="l_orderkey", l="l_linenumber", q="l_quantity", d="l_shipdate")
+    return items.filter("?q >= 10 && ?q < 20", '?d >= "1995-01-01T00:00:00"^^xsd:dateTime').project("o", "l", "q")
+
+
+@register("SELECT p_partkey AS p, p_size AS s FROM part WHERE p_size > 10 AND (p_size < 20 OR p_size = 50) AND NOT p_size = 15")
+def filter_conj(scan):
+    return scan("part", p="p_partkey", s="p_size").filter("?s > 10", "?s < 20 || ?s = 50", "!(?s = 15)")
+
+
+@register("SELECT c_custkey AS c, c_mktsegment AS seg FROM customer WHERE c_mktsegment = 'BUILDING' AND starts_with(c_name, 'Customer') AND length(c_name) > 3 AND contains(lower(c_name), 'customer')")
+def filter_string(scan):
+    rows = scan("customer", c="c_custkey", name="c_name", seg="c_mktsegment")
+    return rows.filter('?seg = "BUILDING"', 'STRSTARTS(?name, "Customer") && STRLEN(?name) > 3', 'CONTAINS(LCASE(?name), "customer")').project("c", "seg")
+
+
+@register("SELECT o_orderkey AS o, o_orderstatus AS s FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey NOT IN (1, 2, 3)")
+def filter_in(scan):
+    return scan("orders", o="o_orderkey", s="o_orderstatus").filter('?s IN ("F", "P")', "?o NOT IN (1, 2, 3)")
+
+
+@register("SELECT p_partkey AS p, p_type AS t FROM part WHERE regexp_matches(p_type, '(?i)brass|^small')")
+def filter_regex(scan):
+    return scan("part", p="p_partkey", t="p_type").filter('REGEX(?t, "brass|^small", "i")')
+
+
+@register("SELECT s_suppkey AS s, s_nationkey AS n FROM supplier WHERE NOT (s_nationkey = 3 OR s_nationkey > 10)")
+def filter_not(scan):
+    return scan("supplier", s="s_suppkey", n="s_nationkey").filter("!(?n = 3 || ?n > 10)")
+
+
+@register("SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+def filter_bound(scan):
+    big = scan("orders", o="o_orderkey", c="o_custkey", where="o_totalprice > 400000")
+    return scan("customer", c="c_custkey").left_join(big).filter("!BOUND(?o)")
+
+
+@register("SELECT c_custkey AS c, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS n FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey < 5 OR c_custkey < 10")
+def filter_error_false(scan):
+    rows = _maybe(scan, "customer", {"c_custkey": "c", "c_nationkey": "n"}, "c_nationkey", F.expr("c_custkey % 2 = 0"), ("c",))
+    return rows.filter("?n < 5 || ?c < 10")
+
+
+@register("""SELECT o_orderkey AS o FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) IN (1, 2)
+  AND o_orderkey / 2.0 + 1 > 10 AND -o_orderkey < 0 AND (CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE 'y' END) = 'y'
+  AND md5(o_orderstatus) <> md5('P') AND abs(o_custkey) >= 1 AND replace(o_orderpriority, '-', '') <> '1URGENT'""")
+def filter_functions(scan):
+    rows = scan("orders", o="o_orderkey", c="o_custkey", d="o_orderdate", s="o_orderstatus", p="o_orderpriority")
+    return rows.filter(
+        "YEAR(?d) = 1996 && MONTH(?d) IN (1, 2)", "?o / 2 + 1 > 10", "-?o < 0", 'IF(?s = "F", "x", "y") = "y"', 'MD5(?s) != MD5("P")',
+        "ABS(?c) >= 1", 'REPLACE(?p, "-", "") != "1URGENT"', 'COALESCE(?nothing, "z") = "z"', "isLiteral(?s) && isNumeric(?o) && !isIRI(?s)",
+    ).project("o")
+
+
+# --- joins
+
+
+@register("SELECT c_custkey AS c, n_nationkey AS n, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_1(scan):
+    return scan("customer", c="c_custkey", n="c_nationkey").join(scan("nation", n="n_nationkey", name="n_name"))
+
+
+@register("SELECT a.l_orderkey AS o, a.l_linenumber AS l, a.l_quantity AS q, b.l_tax AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
+def join_multi_key(scan):
+    return scan("lineitem", o="l_orderkey", l="l_linenumber", q="l_quantity").join(scan("lineitem", o="l_orderkey", l="l_linenumber", t="l_tax"))
+
+
+@register("""SELECT c_custkey AS c, o_orderkey AS o, o_totalprice AS price FROM region JOIN nation ON r_regionkey = n_regionkey
+  JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE n_name = (SELECT max(n_name) FROM nation WHERE n_nationkey = 3) AND o_totalprice > 100000""")
+def join_nary_reordered(scan):
+    plan = api.join(
+        scan("region", r="r_regionkey"), scan("orders", o="o_orderkey", c="o_custkey", price="o_totalprice"),
+        scan("customer", c="c_custkey", n="c_nationkey"), scan("nation", n="n_nationkey", r="n_regionkey").filter("?n = 3"),
+    )
+    return plan.filter("?price > 100000").project("c", "o", "price")
+
+
+@register("SELECT n_nationkey AS n, r_regionkey AS r FROM nation, region")
+def join_cartesian(scan):
+    return scan("nation", n="n_nationkey").join(scan("region", r="r_regionkey"))
+
+
+@register("SELECT c_custkey AS c, n_nationkey AS n, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = c_custkey % 5")
+def join_hidden_var(scan):
+    customers = Leaf(TableSource(scan.frame("customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 5).cast("int").alias("r")), {"c_custkey": "c", "c_nationkey": "n", "r": "r"}, never_null=True))
+    nations = scan("nation", n="n_nationkey", r="n_regionkey", name="n_name").project("n", "name")
+    return customers.join(nations).project("c", "n", "name")
+
+
+@register("SELECT o_orderkey AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 300000")
+def join_multiplicity(scan):
+    return scan("orders", o="o_orderkey", where="o_totalprice > 300000").join(scan("lineitem", o="l_orderkey"))
+
+
+@register("""WITH a AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n FROM customer),
+  b AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n FROM supplier WHERE s_suppkey <= 10)
+  SELECT c, coalesce(a.n, b.n) AS n, s FROM a JOIN b ON a.n = b.n OR a.n IS NULL OR b.n IS NULL""")
+def join_compat_unbound(scan):
+    a = _maybe(scan, "customer", {"c_custkey": "c", "c_nationkey": "n"}, "c_nationkey", F.expr("c_custkey % 3 <> 0"), ("c",))
+    few = scan.frame("supplier").where("s_suppkey <= 10").select("s_suppkey", F.when(F.expr("s_suppkey % 4 <> 0"), F.col("s_nationkey")).alias("s_nationkey"))
+    b = Leaf(TableSource(few, {"s_suppkey": "s", "s_nationkey": "n"}, never_null=("s",)))
+    return a.join(b)
+
+
+@register("""SELECT c_custkey AS c, o_orderkey AS o, l_linenumber AS l FROM customer
+  JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey
+  LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON o_orderkey = l_orderkey""")
+def left_join_chain(scan):
+    big = scan("orders", o="o_orderkey", c="o_custkey", where="o_totalprice > 400000")
+    lines = scan("lineitem", o="l_orderkey", l="l_linenumber", where="l_quantity > 45")
+    return scan("customer", c="c_custkey").left_join(big).filter("BOUND(?o)").left_join(lines)
+
+
+@register("SELECT c_custkey AS c, o_orderkey AS o, o_totalprice AS price FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+def left_join(scan):
+    return scan("customer", c="c_custkey").left_join(scan("orders", o="o_orderkey", c="o_custkey", price="o_totalprice", where="o_totalprice > 400000"))
+
+
+@register("SELECT n_nationkey AS n, CAST(NULL AS INTEGER) AS r FROM nation")
+def left_join_product_empty(scan):
+    return scan("nation", n="n_nationkey").left_join(scan("region", r="r_regionkey", where="r_regionkey < 0"))
+
+
+@register("SELECT c_custkey AS c, c_acctbal AS bal, o_orderkey AS o, o_totalprice AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 30")
+def left_join_filter(scan):
+    orders = scan("orders", o="o_orderkey", c="o_custkey", price="o_totalprice").filter("?price > ?bal * 30")
+    return scan("customer", c="c_custkey", bal="c_acctbal").left_join(orders)
+
+
+# --- sets
+
+
+@register("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def union_same_vars(scan):
+    return scan("nation", name="n_name").union(scan("region", name="r_name"))
+
+
+@register("SELECT n_nationkey AS k, n_name AS nation, CAST(NULL AS VARCHAR) AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
+def union_diff_vars(scan):
+    return scan("nation", k="n_nationkey", nation="n_name").union(scan("region", k="r_regionkey", region="r_name"))
+
+
+@register("SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation")
+def union_nary(scan):
+    return scan("customer", n="c_nationkey").union(scan("supplier", n="s_nationkey").union(scan("nation", n="n_nationkey")), api.empty("n"), scan("nation", n="n_nationkey"))
+
+
+@register("""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS l, 1 AS src FROM lineitem WHERE l_quantity > 10
+    UNION ALL SELECT l_orderkey, l_linenumber, 2 FROM lineitem WHERE l_quantity < 40),
+  r AS (SELECT *, row_number() OVER (PARTITION BY o, l, src) AS k FROM t)
+  SELECT o, l FROM (SELECT DISTINCT o, l, k FROM r)""")
+def merge_dups(scan):
+    return scan("lineitem", o="l_orderkey", l="l_linenumber", where="l_quantity > 10").merge(scan("lineitem", o="l_orderkey", l="l_linenumber", where="l_quantity < 40"))
+
+
+@register("SELECT DISTINCT l_orderkey AS o, l_linenumber AS l FROM lineitem")
+def distinct_rows(scan):
+    return scan("lineitem", o="l_orderkey", l="l_linenumber").distinct()
+
+
+@register("SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS n, c_mktsegment AS seg FROM customer")
+def distinct_with_nulls(scan):
+    rows = scan.frame("customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("n"), F.col("c_mktsegment").alias("seg"))
+    return Leaf(TableSource(rows)).distinct()
+
+
+@register()
+def distinct_window(scan):
+    return scan("events", user="user_id", kind="event_type").distinct(16384, flags=OperatorFlags.ALLOW_DUPLICATES)
+
+
+@register("SELECT DISTINCT event_type AS kind, user_id AS u FROM events")
+def events_by_type_distinct_users(scan):
+    return scan("events", kind="event_type", u="user_id").distinct()
+
+
+# --- slices, each over a total order
+
+
+@register("SELECT o_orderkey AS o, o_totalprice AS price FROM orders ORDER BY price DESC, o LIMIT 25")
+def slice_limit(scan):
+    return scan("orders", o="o_orderkey", price="o_totalprice").slice(0, 25, ("-price", "o"))
+
+
+@register("SELECT o_orderkey AS o FROM orders ORDER BY o LIMIT 20 OFFSET 30")
+def slice_offset(scan):
+    return scan("orders", o="o_orderkey").slice(30, 20, ("o",))
+
+
+@register("SELECT o_orderkey AS o FROM orders WHERE false")
+def slice_zero(scan):
+    return scan("orders", o="o_orderkey").slice(0, 0, ("o",))
+
+
+@register("SELECT n_name AS name FROM nation ORDER BY name LIMIT 100 OFFSET 20")
+def slice_past_end(scan):
+    return scan("nation", name="n_name").slice(20, 100, ("name",))
+
+
+# --- existence
+
+
+@register("SELECT c_custkey AS c, c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def exists(scan):
+    return scan("customer", c="c_custkey", name="c_name").exists(scan("orders", c="o_custkey", where="o_totalprice > 400000"))
+
+
+@register("SELECT c_custkey AS c, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def not_exists(scan):
+    return scan("customer", c="c_custkey", name="c_name").not_exists(scan("orders", c="o_custkey", where="o_totalprice > 400000"))
+
+
+@register("SELECT n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey > 2)")
+def exists_disjoint(scan):
+    return scan("nation", n="n_nationkey").exists(scan("region", r="r_regionkey", where="r_regionkey > 2"))
+
+
+@register("SELECT n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000)")
+def exists_ask(scan):
+    ask = scan("customer", n="c_nationkey", bal="c_acctbal").filter("?bal > 9000").project()
+    return scan("nation", n="n_nationkey").exists(ask)
+
+
+@register("SELECT c_custkey AS c, c_acctbal AS bal FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)")
+def exists_correlated_filter(scan):
+    return scan("customer", c="c_custkey", bal="c_acctbal").exists(scan("orders", c="o_custkey", price="o_totalprice").filter("?price > ?bal * 50"))
+
+
+@register("SELECT n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
+def minus(scan):
+    return scan("nation", n="n_nationkey", name="n_name").minus(scan("supplier", n="s_nationkey", where="s_acctbal > 0"))
+
+
+@register("SELECT n_nationkey AS n FROM nation")
+def minus_disjoint(scan):
+    return scan("nation", n="n_nationkey").minus(scan("region", r="r_regionkey"))
+
+
+@register("""WITH a AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n FROM customer),
+  b AS (SELECT CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n FROM supplier WHERE s_suppkey <= 12)
+  SELECT c, n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.n = b.n)""")
+def minus_unbound(scan):
+    a = _maybe(scan, "customer", {"c_custkey": "c", "c_nationkey": "n"}, "c_nationkey", F.expr("c_custkey % 3 <> 0"), ("c",))
+    few = scan.frame("supplier").where("s_suppkey <= 12").select(F.when(F.expr("s_suppkey % 4 <> 0"), F.col("s_nationkey")).alias("n"))
+    return a.minus(Leaf(TableSource(few)))
+
+
+@register("SELECT c_custkey AS c FROM customer WHERE c_nationkey = 5 AND c_mktsegment = 'BUILDING'")
+def bind_constant(scan):
+    return scan("customer", c="c_custkey", n="c_nationkey", seg="c_mktsegment").filter('?seg = "BUILDING"').project("c").bind({"n": 5})
+
+
+# --- triples
+
+
+def _orders_as_triples(scan, orders=None) -> DataFrame:
+    orders = scan.frame("orders") if orders is None else orders
+    customers = scan.frame("customer")
+    return (
+        triples_of_table(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey", links={"o_custkey": "customer"})
+        .union(triples_of_table(customers.select("c_custkey", "c_name", "c_nationkey"), "customer", "c_custkey", links={"c_nationkey": "nation"}))
+        .union(triples_of_table(scan.frame("nation").select("n_nationkey", "n_name"), "nation", "n_nationkey"))
+    )
+
+
+_P = {"": "http://example.org/"}
+_IRI = "'<http://example.org/{0}/' || {1} || '>'"
+_O, _C, _N = (_IRI.format(t, k) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey")))
+
+
+@register(f"SELECT {_O} AS o, '\"' || o_orderstatus || '\"' AS st, '<http://example.org/customer/' || o_custkey || '>' AS c FROM orders WHERE o_orderstatus = 'F'")
+def bgp_star(scan):
+    return api.triples(_orders_as_triples(scan), 'SELECT ?o ?st ?c WHERE { ?o :o_orderstatus ?st; :o_custkey ?c . FILTER(?st = "F") }', _P)
+
+
+@register(f"SELECT {_O} AS o, '\"' || n_name || '\"' AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 3")
+def bgp_path(scan):
+    nations = scan.frame("nation").where("n_nationkey < 3")
+    data = _orders_as_triples(scan).where("p <> '<http://example.org/n_name>'").union(triples_of_table(nations.select("n_nationkey", "n_name"), "nation", "n_nationkey"))
+    return api.triples(data, "SELECT ?o ?name WHERE { ?o :o_custkey ?c . ?c :c_nationkey ?n . ?n :n_name ?name }", _P)
+
+
+@register(f"SELECT {_C} AS c, CASE WHEN o_orderkey IS NOT NULL THEN {_O} END AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+def bgp_optional(scan):
+    data = _orders_as_triples(scan, scan.frame("orders").where("o_totalprice > 400000"))
+    return api.triples(data, "SELECT ?c ?o WHERE { ?c :c_name ?name OPTIONAL { ?o :o_custkey ?c } }", _P)
+
+
+@register(f"SELECT {_C} AS c FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey <> 4 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def bgp_filter(scan):
+    customers = Leaf(TriplesSource(_orders_as_triples(scan), "SELECT ?c WHERE { ?c :c_custkey ?k; :c_nationkey ?n . FILTER(?k / 7 = FLOOR(?k / 7)) FILTER(?n != <http://example.org/nation/4>) FILTER EXISTS { ?o :o_custkey ?c; :o_orderstatus \"P\" } }", _P))
+    return customers
+
+
+# --- terms
+
+
+@register("""SELECT n_nationkey AS n, '"' || n_name || '"' AS plain, '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#int>' AS typed,
+  '"' || n_name || '"@en-US' AS tagged, '<http://example.org/' || n_nationkey || '>' AS iri, n_name AS name, n_nationkey AS back,
+  'http://www.w3.org/2001/XMLSchema#int' AS datatype, 'en-US' AS lang FROM nation""")
+def terms_roundtrip(scan):
+    df = scan.frame("nation")
+    typed = df.select(
+        F.col("n_nationkey").alias("n"), terms.nt_literal(F.col("n_name")).alias("plain"), terms.to_nt(F.col("n_nationkey"), df.schema["n_nationkey"].dataType).alias("typed"),
+        terms.nt_literal(F.col("n_name"), lang="en_US").alias("tagged"), terms.nt_iri(F.concat(F.lit("http://example.org/"), F.col("n_nationkey").cast("string"))).alias("iri"),
+    )
+    return typed.select("*", terms.lexical(F.col("plain")).alias("name"), terms.to_native(F.col("typed"), "int").alias("back"), terms.datatype(F.col("typed")).alias("datatype"), terms.lang(F.col("tagged")).alias("lang"))
+
+
+@register("SELECT p_partkey AS p, p_size % 3 <> 0 AS num, p_size % 2 = 0 AS truth, false AS nothing, length(p_name) > 0 AS text FROM part")
+def ebv_table(scan):
+    df = scan.frame("part")
+    typed = lambda c, t: terms.nt_literal(c.cast("string"), terms.XSD + t)
+    return df.select(
+        F.col("p_partkey").alias("p"), terms.coerce_to_bool(typed(F.col("p_size") % 3, "integer")).alias("num"),
+        terms.coerce_to_bool(typed(F.col("p_size") % 2 == 0, "boolean")).alias("truth"), terms.coerce_to_bool(F.lit('""')).alias("nothing"),
+        terms.coerce_to_bool(terms.nt_literal(F.col("p_name"))).alias("text"),
+    )
