@@ -82,34 +82,37 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def follow_leader(x: np.ndarray, y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5,
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5,
                   epochs: int = 6, batch: int = 16, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (columns by classes) and bias by FTRL-proximal on small batches, rows in a fixed shuffled order."""
-    full = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    z = np.zeros((full.shape[1], classes))
+    """Weights (columns by classes) and bias by FTRL-proximal on small batches of sparse rows (columns, values), in a
+    fixed shuffled order."""
+    z = np.zeros((COLUMNS + 1, classes))
     n = np.zeros_like(z)
-    keep = np.ones((full.shape[1], 1))
+    keep = np.ones((COLUMNS + 1, 1))
     keep[-1] = 0.0  # the bias has no penalty
 
-    def solve(rows) -> np.ndarray:
-        zr, nr, kr = z[rows], n[rows], keep[rows]
+    def solve(at) -> np.ndarray:
+        zr, nr, kr = z[at], n[at], keep[at]
         w = -(zr - np.sign(zr) * l1 * kr) / ((beta + np.sqrt(nr)) / alpha + l2 * kr)
         return np.where(np.abs(zr) <= l1 * kr, 0.0, w)
 
     order = np.random.default_rng(seed)
     target = np.eye(classes)[y]
     for _ in range(epochs):
-        mix = order.permutation(len(full))
-        for at in range(0, len(mix), batch):
-            b = mix[at : at + batch]
-            rows = np.flatnonzero(full[b].any(0))
-            part = full[b][:, rows].astype(np.float64)
-            w = solve(rows)
+        mix = order.permutation(len(rows))
+        for start in range(0, len(mix), batch):
+            b = mix[start : start + batch]
+            at = np.unique(np.concatenate([rows[i][0] for i in b] + [[COLUMNS]]))
+            part = np.zeros((len(b), len(at)))
+            for k, i in enumerate(b):
+                part[k, np.searchsorted(at, rows[i][0])] = rows[i][1]
+            part[:, -1] = 1.0
+            w = solve(at)
             g = part.T @ (softmax(part @ w) - target[b])
-            sigma = (np.sqrt(n[rows] + g * g) - np.sqrt(n[rows])) / alpha
-            z[rows] += g - sigma * w
-            n[rows] += g * g
-    w = solve(np.arange(len(z)))
+            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
+            z[at] += g - sigma * w
+            n[at] += g * g
+    w = solve(np.arange(COLUMNS + 1))
     return w[:-1], w[-1]
 
 
@@ -186,20 +189,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     found = picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(span)).alias("h"), F.col("lang").cast("string"), "text").mapInArrow(run, "h long, lang string, cells binary, n binary").collect()
     by_lang: dict[str, int] = {}
-    x, y, hashes = [], [], []
+    x, y = [], []
     for r in sorted(found, key=lambda r: (r.h, r.lang, bytes(r.cells), bytes(r.n))):
         by_lang[r.lang] = by_lang.get(r.lang, 0) + 1
         if by_lang[r.lang] <= each:
-            row = np.zeros(COLUMNS, np.int32)
-            row[np.frombuffer(r.cells, np.int16)] = np.frombuffer(r.n, np.int32)
-            x.append(weights(row[None], idf)[0])
+            cells = np.frombuffer(r.cells, np.int16)
+            x.append((cells, weights(np.frombuffer(r.n, np.int32)[None], idf[cells])[0]))
             y.append(languages.index(r.lang))
-            hashes.append(r.h)
     if not x:
         return Model(languages, idf, np.zeros((COLUMNS, len(languages))), np.zeros(len(languages)), 1.0)
-    x, y, aside = np.array(x), np.array(y), np.arange(len(y)) % 5 == 4
-    w, b = follow_leader(x[~aside], y[~aside], len(languages))
-    return Model(languages, idf, w.astype(np.float32), b, calibrate(x[aside] @ w + b, y[aside]))
+    y, aside = np.array(y), np.arange(len(y)) % 5 == 4
+    w, b = follow_leader([r for r, a in zip(x, aside) if not a], y[~aside], len(languages))
+    logits = np.array([v @ w[c] + b for (c, v), a in zip(x, aside) if a]).reshape(-1, len(languages))
+    return Model(languages, idf, w.astype(np.float32), b, calibrate(logits, y[aside]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
