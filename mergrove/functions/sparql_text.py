@@ -78,6 +78,10 @@ def public_vars(text: str) -> list[str]:
     return list(dict.fromkeys(v for v, _, _ in _projection(text, start, body)))
 
 
+def _pattern(tail: str) -> str:
+    return re.sub(r"(?i)^where\s*", "", tail)
+
+
 def bind(text: str, binding: Mapping[str, str | None]) -> str:
     """Replace bound variables by their terms; in a projection they go, and SELECT of bound variables only becomes ASK.
 
@@ -89,7 +93,7 @@ def bind(text: str, binding: Mapping[str, str | None]) -> str:
     if form == "SELECT":
         spans = _projection(text, start, body)
         if spans and all(v in terms for v, _, _ in spans):
-            head = text[:start] + "ASK "
+            head, tail = text[:start] + "ASK ", _pattern(tail)
         else:
             for v, s, e in reversed(spans):
                 if v in terms:
@@ -105,7 +109,7 @@ def to_ask(text: str) -> str:
     if form == "ASK":
         return text
     if form == "SELECT":
-        return text[:start] + "ASK " + text[body:]
+        return text[:start] + "ASK " + _pattern(text[body:])
     if form:
         raise BadQuery(f"{form} has no solutions to ask for")
     return "ASK " + (text if text.lstrip().startswith("{") else "{ " + text + " }")

@@ -160,7 +160,7 @@ def coerce_to_bool(nt: Column, strict: bool = False) -> Column:
     other = F.raise_error(F.concat(F.lit("no boolean value: "), nt)) if strict else F.lit(True)
     bare = expand(nt)
     return (
-        F.when(nt.isNull() | (nt == ""), False)
+        F.when(nt.isNull() | nt.isin("", "''"), False)
         .when((bare != nt) & nt.isin("true", "false"), nt == "true")
         .when((bare != nt) & ~nt.startswith('"'), number(bare) != 0)
         .when((datatype(nt) == XSD + "boolean") | boolish, F.lower(text).isin("true", "1"))

@@ -56,11 +56,6 @@ def _bound(s: Solution, shared: list[str], side: str) -> Column:
     return _all([F.col(c).isNotNull() for v in shared for c in (s.columns[v][:1] if side == "left" else s.columns[v])])
 
 
-def _renewed(df: DataFrame) -> DataFrame:
-    """The same rows under new column identities, so that one frame can meet itself."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
 def matched(left: Solution, right: Solution, how: str, minus: bool = False, extra: Column | None = None, hint: str = "") -> DataFrame:
     """``left`` joined with ``right`` (both aligned) by compatibility; ``extra`` is a further condition."""
     shared = common_vars(left.public, right.columns)
@@ -71,7 +66,7 @@ def matched(left: Solution, right: Solution, how: str, minus: bool = False, extr
             return left_df.crossJoin(right_df)
         return left_df.join(right_df, F.lit(True) if extra is None else extra, how)
     certain = {v for v in shared if v not in left.maybe and v not in right.maybe}
-    if certain or not (how != INNER or shared):
+    if certain:
         return left_df.join(right_df, _match(left, right, shared, certain, minus, extra), how)
     equal = _all([a == b for _, a, b in _pairs(left, right, shared)])
     equal = equal if extra is None else equal & extra
@@ -101,10 +96,10 @@ def join(left: Solution, right: Solution, how: str = INNER, extra: Column | None
     columns, out, done = dict(left.columns), [], set()
     maybe = set(left.maybe)
     for v in shared:
-        if v in left.maybe:
-            # an unbound left variable takes the right's value
+        if v in left.maybe and v in right.public:
+            # an unbound left variable takes the value that the right shows
             new = fresh(v)
-            out.append(F.coalesce(F.col(left.columns[v][0]), *[F.col(c) for c in right.columns[v]]).alias(new))
+            out.append(F.coalesce(F.col(left.columns[v][0]), F.col(right.columns[v][0])).alias(new))
             columns[v] = (new, *left.columns[v][1:])
             if how == INNER and v not in right.maybe:
                 maybe.discard(v)
@@ -116,7 +111,6 @@ def join(left: Solution, right: Solution, how: str = INNER, extra: Column | None
             if v in right.maybe or how == LEFT:
                 maybe.add(v)
     public = tuple(dict.fromkeys((*left.public, *right.public)))
-    # a variable hidden on the left and public on the right may differ in encoding: bring hidden uses along
     used = list(dict.fromkeys(c for cs in columns.values() for c in cs if c in df.columns))
     df = df.select(*used, *out)
     return Solution(df, public, columns, frozenset(maybe), left.nt | right.nt)

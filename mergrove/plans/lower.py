@@ -70,7 +70,9 @@ class Lowering:
 
     # --- leaves
     def _leaf(self, plan: Leaf, needed):
-        s = plan.source.solution(self.spark)
+        # a source that is a plan itself keeps only the hidden variables that are asked for
+        asked = (needed | frozenset(dict(plan.bound)),) if hasattr(plan.source, "plan") else ()
+        s = plan.source.solution(self.spark, *asked)
         for name, value in plan.bound:
             if s.has(name):
                 v = _constant(value)

@@ -106,7 +106,7 @@ class SparqlDataSource(DataSource):
         if graph != sparql_text.is_graph_query(query):
             raise WrongQueryType(f"mode {self.options.get('mode', 'select')!r} does not fit {query!r}")
         if graph:
-            return T.StructType.fromDDL("chunk int, media_type string, fragment binary")
+            return T.StructType().add("chunk", "integer").add("media_type", "string").add("fragment", "binary")
         names = sparql_text.public_vars(query)
         return T.StructType([T.StructField(v, T.StringType()) for v in names or ["_ask"]])
 

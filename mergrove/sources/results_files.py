@@ -71,7 +71,8 @@ class ResultsFileSource:
     """``path`` holds one document or a folder of documents of one format with the same variables.
 
     ``format``: ``json``, ``tsv`` or ``csv`` (default: by the suffix).  ``mode``: ``FAILFAST`` or ``PERMISSIVE`` for lines
-    with a wrong number of columns.  JSON documents are each read whole by one task; lines of TSV are split freely.
+    with a wrong number of columns.  JSON documents are each read whole by one task; lines of TSV are split freely;
+    line ends within quoted CSV cells become ``\\n``.
     """
 
     def __init__(self, spark: SparkSession, path: str, format: str | None = None, names: tuple[str, ...] | None = None, mode: str = "FAILFAST"):  # noqa: A002
