@@ -1,0 +1,55 @@
+"""Line dedup against a plain version, and the text of pages."""
+
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from mergrove.llm import linededup
+
+
+def brute(rows, ratio, least):
+    """rows: (host, text)"""
+    blank = " \t\r\x0b\f"
+    pages, held = Counter(), defaultdict(Counter)
+    for h, t in rows:
+        pages[h or ""] += 1
+        held[h or ""].update({x.strip(blank) for x in (t or "").split("\n")} - {""})
+    gone = {h: {x for x, n in c.items() if n >= least and n > ratio * pages[h]} for h, c in held.items()}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(blank) not in gone[h or ""] or not x.strip(blank)) for h, t in rows]
+
+
+def test_matches_plain_version(spark):
+    rows = []
+    for i in range(60):
+        host = ["a", "b", None, "", "big"][min(i % 11, 4)]
+        rows.append((host, "\n".join(["Menu ", f"body {i}", "", "  ", f"sometimes{i % 7}", "\tfoot\r", f"tail {i % 2}"])))
+    rows += [("a", None), ("a", ""), ("lone", "Menu\nfoot"), ("b", "\n\n"), ("big", rows[-1][1])]
+    df = spark.createDataFrame([(i, h, t, i) for i, (h, t) in enumerate(rows)], "k int, host string, text string, drop int")
+    for ratio, least in ((0.1, 3), (0.5, 2), (0.99, 1)):
+        out = linededup.line_dedup(df, "host", max_ratio=ratio, min_pages=least)
+        assert out.columns == ["k", "host", "text", "drop"]
+        got = {r.k: r.text for r in out.collect()}
+        assert [got[i] for i in range(len(rows))] == brute(rows, ratio, least)
+
+
+def test_no_python_runs(spark):
+    df = spark.createDataFrame([("a", "x\ny")], "host string, text string")
+    plan = linededup.line_dedup(df, "host")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty_and_clashing(spark):
+    empty = spark.createDataFrame([], "host string, text string, c0 int, o1 int")
+    out = linededup.line_dedup(empty, "host")
+    assert out.columns == ["host", "text", "c0", "o1"] and out.count() == 0
+    long = spark.createDataFrame([("h", "same\n" + "z" * 2_000_000)] * 12, "host string, text string")
+    assert {len(r.text) for r in linededup.line_dedup(long, "host").collect()} == {0}
+
+
+def test_pages(spark):
+    html = '<html><head><title>T</title><script>var p="</p>x";</script></head><body><!-- <p>no</p> --><p class="a">One <b>two</b>&amp;&lt;3&nbsp;</p><DIV>four<br>five</DIV></body></html>'
+    urls = ["http://Example.com:80/x?y#z", "https://u:p@host.org/a@b", "ftp://h", "nonsense", None, "http://[::1]/"]
+    df = spark.createDataFrame([(html,)], "html string").select(linededup.page_text(F.col("html")).alias("t"))
+    assert [x for x in df.first().t.split("\n") if x.strip()] == ["T", "One two&<3 ", "four", "five"]
+    hosts = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", linededup.host_of(F.col("u")).alias("h")).orderBy("i").collect()
+    assert [r.h for r in hosts] == ["example.com", "host.org", "h", "", "", "["]
