@@ -47,12 +47,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of ``df`` (for a file scan, of its files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """About how many bytes ``df`` has: Catalyst's estimate (for a file scan, its files), or 2 KB a row where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 2048 * df.count()
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
     """Partitions so that each gets about ``bytes_each`` of the input; grows with the input, not below the session's own number."""
-    spark = df.sparkSession
-    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, own, math.ceil(min(input_bytes(df), 1 << 60) / bytes_each))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, own, math.ceil(input_bytes(df) / bytes_each))
+
+
+def part_bits(df: DataFrame, bytes_each: int, least: int = 4, most: int = 24) -> int:
+    """Logarithm of the number of packed partitions, each for about ``bytes_each`` of the input."""
+    return min(most, max(least, math.ceil(math.log2(max(1, input_bytes(df) / bytes_each)))))

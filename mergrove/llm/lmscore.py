@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, take, written
+from .common import part_bits, take, written
 
 #: Words are known by 63 bits of their hash; the end of a text by a value that no hash has.
 _MASK, END = (1 << 63) - 1, 1 << 63
@@ -390,7 +390,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no row; without training rows every token is unseen.
     """
     rows = take(docs, id=id_col, text=text_col).select("id", "text", held_out(F.col("id")).alias("held_out"))
-    bits = max(4, math.ceil(math.log2(max(1, input_bytes(docs) / part_bytes))))
+    bits = part_bits(docs, part_bytes)
     model, tally = train(rows.where("not held_out"), bits, order, word_share, gram_share, least)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType

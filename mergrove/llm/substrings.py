@@ -21,7 +21,6 @@ suffixes)^2 / 2^65.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, take, written
+from .common import part_bits, take, written
 
 ANCHOR = 8
 #: In place of a partition: places that a batch itself has found repeated.
@@ -228,7 +227,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"a window has at least {ANCHOR} words")
     rows = take(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType
-    bits = max(4, math.ceil(math.log2(max(1, input_bytes(docs) / part_bytes))))
+    bits = part_bits(docs, part_bytes)
     names = ["batch", "part", "blob", "row", "id", "n_words", "sha", "words"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), kind, T.LongType(), T.StringType(), T.BinaryType()))])
 

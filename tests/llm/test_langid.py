@@ -1,0 +1,68 @@
+"""Language identification: learning, calibration, held-out accuracy and odd input."""
+
+import random
+import zlib
+
+import numpy as np
+
+from mergrove.llm import langid
+
+SETS = {"aa": "the cat and dog with that this from", "bb": "der und die nicht mit auf eine ist", "cc": "que los para una como más pero está"}
+
+
+def corpus(n=600):
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        lang = rng.choice(list(SETS))
+        rows.append((i, " ".join(rng.choice(SETS[lang].split()) for _ in range(rng.randrange(2, 40))), lang))
+    return rows
+
+
+def test_held_out_accuracy(spark):
+    rows = corpus()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    # languages of the held-out fold are wrong: they must not be learned from
+    shown = [(i, t, "zz" if fold(i) else lang) for i, t, lang in rows]
+    got = {r.id: r for r in langid.identify(spark.createDataFrame(shown, "doc_id long, text string, lang string")).collect()}
+    assert all(r.held_out == fold(i) and 0 <= r.score <= 1 and r.lang_pred in SETS for i, r in got.items()) and len(got) == len(rows)
+    right = [got[i].lang_pred == lang for i, _, lang in rows if fold(i)]
+    assert sum(right) >= 0.98 * len(right)
+
+
+def test_leader_is_sparse_and_separates():
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for i in range(400):
+        k = i % 3
+        cells = np.r_[k * 10 + rng.choice(10, 4, replace=False), 1000 + rng.choice(500, 6, replace=False)]
+        rows.append((np.sort(cells), np.full(10, 0.3)))
+        y.append(k)
+    w, b = langid.follow_leader(rows, np.array(y), 3, l1=0.3)
+    logits = np.array([v @ w[c] + b for c, v in rows])
+    assert (logits.argmax(1) == y).mean() > 0.99 and (w[1000:1500] != 0).mean() < 0.7 and (w[2000:] == 0).all()
+
+
+def test_calibration_finds_the_temperature():
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 2, (4000, 3))
+    y = np.array([rng.choice(3, p=p) for p in langid.softmax(z)])
+    assert abs(langid.calibrate(z * 4, y) - 4) < 0.4 and langid.calibrate(z[:0], y[:0]) == 1.0
+
+
+def test_frequencies_cover_everything(spark):
+    texts = ["ab", "ab", "b", None, "12", "ba"]
+    df, n = langid.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    plain = sum((langid.grams(t) > 0).astype(int) for t in texts if langid.grams(t) is not None)
+    assert n == 4 and (df == plain).all()
+
+
+def test_odd_input(spark):
+    rows = [(1, None, "aa"), (2, "", "aa"), (3, "12 !?", "aa"), (None, "the cat", "aa"), (5, "und der", None), (6, "und die", "bb"), (6, "und die", "bb"), (7, "the dog " * 20_000, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as LANG_PRED", "2 as h")
+    got = langid.identify(df).collect()
+    assert len(got) == 8 and all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.id in (1, 2, 3)) and all(r.lang_pred in ("aa", "bb") for r in got if r.id in (5, 6, 7, None))
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(empty).count() == 0
+    blind = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(blind).collect()] == ["und"]
