@@ -208,14 +208,14 @@ def _zip(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(text)
 
 
-def _together(rows: np.ndarray, bases: np.ndarray, texts: list[list[bytes]]) -> bytes:
-    """Texts compressed as one, which takes little more than half of what they take each by itself."""
-    return _pack(rows.astype(np.uint32), bases.astype(np.uint32), np.frombuffer(b"\n".join(map(b" ".join, texts)), np.uint8), level=5)
+def _together(rows: np.ndarray, texts: list[list[bytes]]) -> bytes:
+    """Texts compressed as one, which takes less than each by itself."""
+    return _pack(rows.astype(np.uint32), np.frombuffer(b"\n".join(map(b" ".join, texts)), np.uint8), level=5)
 
 
-def _apart(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    rows, bases, text = _unpack(blob, np.uint32, np.uint32, np.uint8)
-    return rows.astype(np.int64), bases.astype(np.int64), [t.split() for t in text.tobytes().split(b"\n")]
+def _apart(blob: bytes) -> tuple[list[int], list[list[bytes]]]:
+    rows, text = _unpack(blob, np.uint32, np.uint8)
+    return rows.tolist(), [t.split() for t in text.tobytes().split(b"\n")]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, texts: bool = False,
@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             asked, own = _ask(batch.grams[places], places, bits)
             asked += [(OWN, _pack(own.astype(np.uint32)))] if len(own) else []
             rows = [i for i, w in enumerate(held) if len(w) >= window]
-            asked += [(TEXTS, _together(np.array(rows), np.zeros(0), [held[i] for i in rows]))] if rows else []
+            asked += [(TEXTS, _together(np.array(rows), [held[i] for i in rows]))] if rows else []
             n, m = len(held), len(asked)
             shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in held]
             kept = [_zip(b" ".join(w)) if texts else None for w in held]
@@ -279,29 +279,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_texts = table.where(F.col("part") == TEXTS).select("batch", "blob")
 
     def second(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """Requests for the suffixes around repeated anchors, and the texts that have any."""
+        """Requests for the suffixes around repeated anchors."""
         asked: list[tuple[int, bytes]] = []
         if texts.num_rows and found.num_rows:
-            rows, _, words = _apart(texts["blob"][0].as_py())
-            batch = Batch(words, window)
+            batch = Batch(_apart(texts["blob"][0].as_py())[1], window)
             starts = batch.candidates(_places(found))
             asked, own = _ask(runs(batch.hashes, window)[starts], starts, bits)
             asked += [(OWN, _pack(own.astype(np.uint32)))] if len(own) else []
-            hit = np.unique(batch.owner[starts])
-            asked += [(TEXTS, _together(rows[hit], batch.starts[hit], [words[i] for i in hit]))] if len(hit) else []
         batch_id = [texts["batch"][0].as_py()] * len(asked) if asked else []
         return pa.table({"batch": pa.array(batch_id, pa.int64()), "part": pa.array([p for p, _ in asked], pa.int32()), "blob": pa.array([b for _, b in asked], pa.binary())})
 
     deep = written(long_texts.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(second, "batch long, part int, blob binary"), "deep")
     repeats = _resolve(deep)
-    hits = deep.where(F.col("part") == TEXTS).select("batch", "blob")
 
     def third(texts: pa.Table, found: pa.Table) -> pa.Table:
         """The words to remove from each text."""
         out = [[], [], [], [], [], []]
-        starts = _places(found)
-        for row, low, words in zip(*_apart(texts["blob"][0].as_py())) if texts.num_rows and len(starts) else ():
+        starts, low = _places(found), 0
+        for row, words in zip(*_apart(texts["blob"][0].as_py())) if texts.num_rows and len(starts) else ():
             own = starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + len(words))] - low
+            low += len(words)
             if len(own):
                 gone = covered(own, len(words), window)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
@@ -313,7 +310,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["b2", "r2", "removed", "sha2", "spans", "kept"])
 
     with_texts = texts
-    removed = hits.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(
+    removed = long_texts.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(
         third, "b2 long, r2 int, removed long, sha2 string, spans array<struct<start:long,end:long>>, kept binary")
     all_texts = table.where(F.col("part").isNull()).select("batch", "row", "id", "n_words", "sha", *(["words"] if texts else []))
     joined = all_texts.join(removed, (F.col("batch") == F.col("b2")) & (F.col("row") == F.col("r2")), "left")
