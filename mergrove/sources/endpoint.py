@@ -26,6 +26,7 @@ from ..functions import sparql_text
 from ..operators.solution import Solution, from_frame
 from .config import Configuration, Endpoint, MediaType, escape_query_param
 from .results_text import parse
+from .web_socket import converse
 
 
 def setting(name: str, default: str) -> str:
@@ -82,8 +83,12 @@ def fetch(endpoint: Endpoint, query: str, graph: bool = False, retries: int | No
 
 def rows(endpoint: Endpoint, query: str, names: Sequence[str], **options) -> Iterator[tuple]:
     """Rows of a SELECT or ASK query, in the order of ``names``; variables that the answer lacks are unbound."""
-    kind, body = fetch(endpoint, query, **options)
-    found, lines = parse(str(kind), body.decode(kind.charset))
+    if endpoint.is_web_socket:
+        talk = converse(endpoint.uri, query)
+        found, lines = talk.vars or [], (row for _, row in talk.rows)
+    else:
+        kind, body = fetch(endpoint, query, **options)
+        found, lines = parse(str(kind), body.decode(kind.charset))
     at = [found.index(v) if v in found else None for v in names]
     for row in lines:
         yield tuple(row[i] if i is not None else None for i in at)
@@ -206,11 +211,13 @@ def bind_join(left: DataFrame, uri: str, query: str, kind: str = JOIN, batch_row
             for at in range(0, len(table), batch_rows):
                 part = table[at : at + batch_rows]
                 keys = list(dict.fromkeys(tuple(r[v] for v in names) for r in part))
-                if names:
-                    text, wanted = values_query(query, names, keys)
+                if names and endpoint.is_web_socket:
+                    # the server binds: rows come with the number of the binding they belong to
+                    talk = converse(endpoint.uri, query if public else sparql_text.to_ask(query), names, keys)
+                    found = [dict(zip(talk.vars or [], r)) | {v: k for v, k in zip(names, keys[n]) if k is not None} for n, r in talk.rows]
                 else:
-                    text, wanted = query, sparql_text.public_vars(query)
-                found = [dict(zip(wanted, r)) for r in rows(endpoint, text, wanted)]
+                    text, wanted = values_query(query, names, keys) if names else (query, sparql_text.public_vars(query))
+                    found = [dict(zip(wanted, r)) for r in rows(endpoint, text, wanted)]
                 index: dict[tuple, list[dict]] = {}
                 loose: list[dict] = []
                 for r in found:

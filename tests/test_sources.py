@@ -391,3 +391,81 @@ def test_web_socket_errors():
         Conversation("ASK {}").feed("!what\n")
     talk = Conversation("ASK {}")
     assert talk.start() == ["!query ASK {}\n"] and talk.feed("\n\n!cancelled\n") == [] and talk.rows == [(None, ())] and talk.cancelled and talk.cancel() == []
+
+
+class WebSocketServer(threading.Thread):
+    """Speaks the line protocol over a real connection: bindings of ``s`` against ``Handler.data``."""
+
+    def __init__(self):
+        super().__init__(daemon=True)
+        import socket
+
+        self.listen = socket.create_server(("127.0.0.1", 0))
+        self.port = self.listen.getsockname()[1]
+        self.start()
+
+    def run(self):
+        while True:
+            link, _ = self.listen.accept()
+            threading.Thread(target=self.serve, args=(link,), daemon=True).start()
+
+    def serve(self, link):
+        import base64
+        import hashlib
+        import struct
+
+        file = link.makefile("rb")
+        head = b""
+        while not head.endswith(b"\r\n\r\n"):
+            head += file.read(1)
+        if b"/refuse" in head:
+            return link.sendall(b"HTTP/1.1 403 No\r\n\r\n")
+        key = [x.split(b":")[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"sec-websocket-key")][0]
+        accept = base64.b64encode(hashlib.sha1(key + b"258EAFA5-E914-47DA-95CA-C5AB0DC85B11").digest())
+        link.sendall(b"HTTP/1.1 101 Switching Protocols\r\nSec-WebSocket-Accept: " + accept + b"\r\n\r\n")
+
+        def send(text, code=1):
+            body = text.encode()
+            link.sendall(bytes([128 | code]) + (bytes([len(body)]) if len(body) < 126 else struct.pack(">BH", 126, len(body))) + body)
+
+        def receive():
+            first, second = file.read(2)
+            n = second & 127
+            n = struct.unpack(">H", file.read(2))[0] if n == 126 else n
+            mask = file.read(4)
+            return first & 15, bytes(b ^ mask[i % 4] for i, b in enumerate(file.read(n))).decode("utf-8", "replace")
+
+        verb = receive()[1]
+        header = verb.startswith("!bind") and receive()[1]
+        send("are you there", 9)
+        if receive() != (10, "are you there"):
+            return link.close()
+        ask = " ASK" in verb
+        if verb.startswith("!query"):
+            send("?s\t?o\n" + "".join("\t".join(r) + "\n" for r in Handler.data) + "!end\n")
+        elif header == "?s\n":
+            send("\n" if ask else "?o\n")
+            while True:
+                send("!bind-request +1\n")
+                row = receive()[1]
+                if row == "!end\n":
+                    break
+                send(f"!active-binding {row}")
+                for s, o in Handler.data:
+                    if row.strip() in ("", s):
+                        send("\n" if ask else o + "\n")
+            send("!end\n")
+        receive()
+
+
+def test_web_socket_endpoint(spark):
+    uri = f"ws://127.0.0.1:{WebSocketServer().port}/sparql"
+    leaf = Leaf(EndpointSource(uri, "SELECT ?s ?o WHERE {?s <p> ?o}"))
+    assert Counter(tuple(r) for r in api.run(leaf, spark).collect()) == Counter(Handler.data)
+    left = spark.createDataFrame([("<s1>", "<x>"), ("<s3>", "<y>")], "s string, k string").coalesce(1)
+    run = lambda kind: Counter(tuple(r) for r in bind_join(left, uri, "SELECT ?s ?o WHERE {?s <p> ?o}", kind).collect())
+    assert run("join") == Counter([("<s1>", "<x>", '"a"'), ("<s1>", "<x>", '"b"')])
+    assert run("left_join") == Counter([("<s1>", "<x>", '"a"'), ("<s1>", "<x>", '"b"'), ("<s3>", "<y>", None)])
+    assert run("exists") == Counter([("<s1>", "<x>")]) and run("not_exists") == run("minus") == Counter([("<s3>", "<y>")])
+    with pytest.raises(ServerError, match="403"):
+        list(__import__("mergrove.sources.endpoint", fromlist=["rows"]).rows(Endpoint.parse(uri.replace("sparql", "refuse")), "ASK {}", []))
