@@ -108,7 +108,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND stops >= 2 AND word_chars / k BETWEEN 2.0 AND 12.0 AND n_symbols / k <= 0.5
+       NOT base_failed AND stops >= 2 AND word_chars / k BETWEEN 2.0 AND 12.0 AND n_symbols / k <= 0.1
          AND bangs / k <= 0.5 AND n_repeat_words / k <= 0.5 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM b""",
     "op7_line_dedup": r"""

@@ -36,7 +36,7 @@ RULES = (
     Rule("n_words", low=50),
     Rule("repeat_word_ratio", high=0.5),
     Rule("mean_word_length", low=2.0, high=12.0),
-    Rule("symbol_word_ratio", high=0.5),
+    Rule("symbol_word_ratio", high=0.1),
     Rule("stop_words", low=2),
     Rule("dup_line_ratio", high=0.5),
     Rule("bang_word_ratio", high=0.5),
