@@ -70,6 +70,44 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vecto
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 
 SQL = {
+    "op2_mixing": r"""
+WITH RECURSIVE n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+f AS (SELECT greatest(1000, 4 * count(*)) AS size, count(*) AS k, sum(sqrt(n)) AS total FROM n),
+x AS (SELECT s, sqrt(n) / total * (size - k) AS exact, size FROM n, f),
+q AS (
+  SELECT s, CAST(1 + floor(exact) AS BIGINT)
+    + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, s) <= size - sum(CAST(1 + floor(exact) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS share, size
+  FROM x),
+l AS (SELECT list(s ORDER BY s) AS names, list(share ORDER BY s) AS shares, any_value(size) AS size FROM q),
+e AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(shares, lambda k: CAST(0 AS BIGINT)) AS done, shares, size FROM l
+  UNION ALL
+  SELECT t + 1, p, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), shares, size
+  FROM (
+    SELECT *, list_position(o, list_min(o)) AS p FROM (
+      SELECT *, list_transform(done, lambda d, i: CASE WHEN d < shares[i] AND d * size // shares[i] <= t
+        THEN ((d + 1) * size + shares[i] - 1) // shares[i] * 1000000 + i ELSE 9000000000000000 END) AS o
+      FROM e WHERE t < size))),
+w AS (SELECT names[pick] AS s, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS own FROM e, l WHERE pick > 0),
+d AS (
+  SELECT doc_id, source, coalesce(source, '') AS s,
+    (row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1) // 16 AS j
+  FROM documents)
+SELECT doc_id, source, CAST(j + 1 AS BIGINT) AS block,
+  CAST(j // share * size + (j % share) * size // share AS BIGINT) AS release,
+  CAST(j // share * size + ((j % share + 1) * size + share - 1) // share AS BIGINT) AS deadline,
+  CAST(j // share * size + slot AS BIGINT) AS slot
+FROM d JOIN q USING (s) JOIN w ON w.s = d.s AND w.own = j % share""",
+    "op3_near_vectors": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= CAST(0.95 AS DOUBLE)),
+r AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT p.x, r.c FROM r JOIN p ON p.y = r.x AND r.c < p.x),
+g AS (SELECT x, min(c) AS component_id FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN g ON g.x = vec_id LEFT JOIN l ON l.x = vec_id""",
     "op4_substring": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
