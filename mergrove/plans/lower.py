@@ -96,9 +96,22 @@ class Lowering:
         return from_frame(self.spark.createDataFrame([], schema), plan.public_vars, nt=plan.public_vars)
 
     # --- joins
+    @staticmethod
+    def _warn_nested(left: Solution, plan: Plan) -> None:
+        """An optional part inside the right side that shares a variable with the left which its own mandatory part lacks is
+        evaluated before the left is seen; some engines would fill it in first."""
+        for node in (plan, *plan.operands):
+            if node is not plan:
+                Lowering._warn_nested(left, node)
+            elif isinstance(node, (LeftJoin, Minus, Exists)):
+                loose = [v for v in node.right.all_vars if left.has(v) and v not in node.left.all_vars]
+                if loose:
+                    warnings.warn(f"{node.algebra_name} on the right uses outer variables {loose} that its left side lacks", stacklevel=2)
+
     def _sides(self, left: Solution, plan: Plan, needed, correlate: bool = True) -> tuple[Solution, Column | None]:
         """The right operand, and the conjuncts of its filter that name left variables only: they join rather than filter."""
         ask = needed | frozenset(left.public)
+        self._warn_nested(left, plan)
         outer: list[tuple[Filter, tuple]] = []
         inner = plan
         if isinstance(plan, Filter) and not plan.strict:

@@ -310,9 +310,9 @@ def exists_correlated_filter(scan):
     return scan("customer", c="c_custkey", bal="c_acctbal").exists(scan("orders", c="o_custkey", price="o_totalprice").filter("?price > ?bal * 50"))
 
 
-@register("SELECT n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
+@register("SELECT n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def minus(scan):
-    return scan("nation", n="n_nationkey", name="n_name").minus(scan("supplier", n="s_nationkey", where="s_acctbal > 0"))
+    return scan("nation", n="n_nationkey", name="n_name").minus(scan("supplier", n="s_nationkey", where="s_acctbal > 8000"))
 
 
 @register("SELECT n_nationkey AS n FROM nation")

@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -143,6 +144,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SparqlDataSource)
 
 
+def graph_text(fragments: DataFrame, charset: str = "utf-8") -> DataFrame:
+    """The fragments of a graph answer, in order, as one text."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "fragment"))), lambda x: F.hex(x["fragment"])), "")
+    return fragments.agg(F.decode(F.unhex(whole), charset).alias("text"))
+
+
 class EndpointSource:
     """A query at an endpoint as a source; all its columns are N-Triples text."""
 

@@ -139,6 +139,17 @@ def test_slice_of_an_optional_side_is_global(spark):
     assert rows_of(left.left_join(right.slice(0, 1, ("k",))), spark) == Counter([(1, 1), (2, None)])
 
 
+def test_nested_optional_is_bottom_up_and_warns(spark):
+    a, b, c = table(spark, ["x"], [(1,)]), table(spark, ["y"], [(2,)]), table(spark, ["y", "x"], [(2, 9)])
+    with pytest.warns(UserWarning, match="outer variables"):
+        assert rows_of(a.left_join(b.left_join(c)), spark) == Counter([(1, None)])
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert rows_of(a.left_join(table(spark, ["x", "y"], [(1, 2)]).left_join(c)), spark) == Counter([(1, 2)])
+
+
 def test_zero_columns_and_empty(spark):
     t = table(spark, ["x"], [(1,), (1,), (2,)])
     assert api.run(t.project(), spark).count() == 3

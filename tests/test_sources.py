@@ -14,7 +14,7 @@ from mergrove.functions import terms
 from mergrove.plans.plan import Leaf
 from mergrove.sources import results_text
 from mergrove.sources.config import Configuration, Endpoint, MediaType, escape_query_param
-from mergrove.sources.endpoint import EndpointSource, bind_join, fetch, register, request, values_query
+from mergrove.sources.endpoint import EndpointSource, bind_join, fetch, graph_text, register, request, values_query
 from mergrove.sources.results_files import ResultsFileSource, write_results
 from mergrove.sources.triples import TriplesSource, read_turtle, triples_of_table
 from mergrove.sources.web_socket import Conversation
@@ -323,7 +323,9 @@ def test_endpoint_reads_and_joins(spark, server):
     assert [tuple(r) for r in api.run(Leaf(TableSource(local, nt=("s",))).join(leaf), spark).collect()] == [("<s2>", 5, '"c"')]
     assert api.ask(Leaf(EndpointSource(f"json@{server}/x", "ASK {?s <p> ?o}")), spark)
     register(spark)
-    got = spark.read.format("sparql").options(uri=f"{server}/x", query="CONSTRUCT {?s ?p ?o} WHERE {?s ?p ?o}", mode="graph").load().collect()
+    graph = spark.read.format("sparql").options(uri=f"{server}/x", query="CONSTRUCT {?s ?p ?o} WHERE {?s ?p ?o}", mode="graph").load()
+    assert graph_text(graph).first().text == "<a> <b> <c> ."
+    got = graph.collect()
     assert [(r.chunk, r.media_type, bytes(r.fragment)) for r in got] == [(0, "text/turtle", b"<a> <b> <c> .")]
     with pytest.raises(WrongQueryType):
         EndpointSource(server, "DESCRIBE <a>")
