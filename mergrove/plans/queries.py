@@ -20,8 +20,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Schemas by path: a table that several leaves scan has its footers read once, not by a job for each leaf.
+_SCHEMAS: dict = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def register(sql: str | None = None):
