@@ -258,6 +258,17 @@ def _compare(op: str, a: Value, b: Value) -> Column:
         same = {"=": False, "!=": True}.get(op)
         both = a.column.isNotNull() & b.column.isNotNull()
         return F.when(both, F.lit(same)) if same is not None else _null("boolean")
+    if "num" in (a.domain, b.domain) or "str" in (a.domain, b.domain):
+        # one side's type is known, which leaves one way in which the other can be like it
+        known, other = (b, a) if a.domain == "nt" else (a, b)
+        if known.domain == "num":
+            alike, found = _num(other).isNotNull(), test(_num(a), _num(b))
+        else:
+            plain = terms.datatype(other.column).isin(terms.XSD + "string", terms.LANG_STRING)
+            alike, found = plain & (F.lower(terms.lang(other.column)) == known.tag.lower()), test(_text(a), _text(b))
+        both = a.column.isNotNull() & b.column.isNotNull()
+        alike = F.coalesce(alike, F.lit(False))
+        return F.when(both, F.when(alike, found).otherwise(F.lit(op == "!="))) if op in ("=", "!=") else F.when(both & alike, found)
     # run-time types: numbers by value, times by instant, other literals of one datatype and language by text
     x, y = _term(a), _term(b)
     n = test(_num(a), _num(b))

@@ -104,13 +104,17 @@ def datatype(nt: Column) -> Column:
     )
 
 
-def is_numeric(nt: Column) -> Column:
-    return datatype(nt).isin(*[XSD + n for n in NUMBERS]) & number(nt).isNotNull()
+_NUMBER = rf'^"([^"\\]+)"\^\^<{XSD}(?:{"|".join(NUMBERS)})>$'
 
 
 def number(nt: Column) -> Column:
-    """The value of a numeric literal as a double."""
-    return F.when(datatype(nt).isin(*[XSD + n for n in NUMBERS]), lexical(nt).try_cast("double"))
+    """The value of a numeric literal as a double; NULL for any other term."""
+    digits = F.regexp_extract(nt, _NUMBER, 1)
+    return F.when(digits != "", F.trim(digits).try_cast("double"))
+
+
+def is_numeric(nt: Column) -> Column:
+    return F.when(nt.isNotNull(), number(nt).isNotNull())
 
 
 def expand(nt: Column) -> Column:

@@ -110,6 +110,9 @@ def test_unselected_variables_join(spark, graph):
 def test_tables_as_triples(spark):
     df = spark.createDataFrame([(1, "x", 7), (2, None, 7)], "k int, name string, other long")
     rows = {tuple(r) for r in triples_of_table(df, "t", "k", links={"other": "u"}).collect()}
+    one = api.triples(triples_of_table(df, "t", "k"), "SELECT ?s ?o { ?s :name ?o }", {"": P})
+    plan = api.run(one, spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Generate" not in plan
     assert (iri("t/1"), iri("name"), '"x"') in rows and (iri("t/2"), iri("other"), iri("u/7")) in rows and len(rows) == 5
 
 
