@@ -15,6 +15,7 @@ back one sum a text.  All that moves is packed by partition, 64-bit hashes of wo
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -343,7 +344,8 @@ def train(rows: DataFrame, bits: int, order: int, word_share: float, gram_share:
 
 # --- scoring --------------------------------------------------------------------------------------------------
 
-_HELD: dict[int, tuple[Automaton, Coder]] = {}
+#: The automaton of the query that a worker runs, opened once.
+_HELD: dict[str, tuple[Automaton, Coder]] = {}
 
 
 def _ask(model: Automaton, coder: Coder, rows: list[np.ndarray], batch: int, bits: int) -> Iterator[tuple[int, bytes]]:
@@ -394,7 +396,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model, tally = train(rows.where("not held_out"), bits, order, word_share, gram_share, least)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType
-    key = hash((id(model), model.total, model.distinct))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _HELD:
