@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import take, written
 from .components import components
@@ -173,8 +172,6 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
     last = F.when(F.col("own"), F.col("x") + F.col("y")).otherwise(F.col("x"))
     pairs = dealt.select("cell", "chunk", "vec", "rep", "mass", F.explode(F.sequence(F.lit(0), last - 1)).alias("other"))
     blocks = pairs.select("cell", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "vec", "rep", "mass")
-    id_type = placed.schema["rep"].dataType
-
     def solve(table: pa.Table) -> pa.Table:
         first = np.asarray(table["chunk"]) == table["lo"][0].as_py()
         same = table["lo"][0] == table["hi"][0]
@@ -195,7 +192,7 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
             out[0] += [ids[both[i]] for i, _ in edges]
             out[1] += [0] * len(edges)
             out[2] += [ids[both[j]] for _, j in edges]
-        arrow = pa.int64() if isinstance(id_type, T.LongType) else None
+        arrow = table.schema.field("rep").type
         return pa.table({"rep": pa.array(out[0], arrow), "n": pa.array(out[1], pa.int64()), "other": pa.array(out[2], arrow)})
 
     found = written(blocks.groupBy("cell", "lo", "hi").applyInArrow(solve, f"rep {kind}, n long, other {kind}"), "links")

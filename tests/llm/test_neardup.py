@@ -63,4 +63,6 @@ def test_null_repeated_and_empty(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as rep", "2 as VEC")).collect()
     assert sorted((str(r.id), r.n_links, r.component_id, r.kept) for r in got) == [("5", 1, 5, True), ("5", 1, 5, True), ("7", 0, 7, True), ("None", 0, None, False)]
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    assert {r.id: (r.n_links, r.component_id) for r in neardup.near_duplicates(named).collect()} == {"a": (1, "a"), "b": (1, "a"), "c": (0, "c")}
     assert neardup.near_duplicates(spark.createDataFrame([(1, None, 1)], SCHEMA)).collect()[0].n_links == 0
