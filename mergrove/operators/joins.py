@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.sparql_text import common_vars
 from .solution import Solution, fresh
 
+#: Bytes up to which a side that the caller has flagged as small is sent to all tasks.
+MAX_BROADCAST = 256 << 20
+
 INNER, LEFT, SEMI, ANTI = "inner", "left", "left_semi", "left_anti"
 
 
@@ -56,11 +59,16 @@ def _bound(s: Solution, shared: list[str], side: str) -> Column:
     return _all([F.col(c).isNotNull() for v in shared for c in (s.columns[v][:1] if side == "left" else s.columns[v])])
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether a side that a caller calls small is, by Catalyst's estimate; if not (or unknown) the planner decides alone."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= MAX_BROADCAST
+
+
 def matched(left: Solution, right: Solution, how: str, minus: bool = False, extra: Column | None = None, hint: str = "") -> DataFrame:
     """``left`` joined with ``right`` (both aligned) by compatibility; ``extra`` is a further condition."""
     shared = common_vars(left.public, right.columns)
-    right_df = right.df.hint("broadcast") if hint == "right" else right.df
-    left_df = left.df.hint("broadcast") if hint == "left" and how == INNER else left.df
+    right_df = right.df.hint("broadcast") if hint == "right" and _small(right.df) else right.df
+    left_df = left.df.hint("broadcast") if hint == "left" and how == INNER and _small(left.df) else left.df
     if not shared:
         if how == INNER and extra is None:
             return left_df.crossJoin(right_df)

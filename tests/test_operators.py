@@ -268,7 +268,12 @@ def test_plans_stay_on_keys(spark):
             assert "SortMergeJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
         from mergrove.plans.plan import LeftJoin
 
-        assert "BroadcastHashJoin" in physical(LeftJoin(sure, maybe, OperatorFlags.SMALL_SECOND))
+        known = Leaf(TableSource(spark.range(5).selectExpr("cast(id as int) as k"), never_null=True))
+        assert "BroadcastHashJoin" in physical(LeftJoin(sure, known, OperatorFlags.SMALL_SECOND))
+        # a side of unknown or great size stays with the planner, whatever the caller says
+        assert "BroadcastHashJoin" not in physical(LeftJoin(sure, maybe, OperatorFlags.SMALL_SECOND))
+        many = Leaf(TableSource(spark.range(1 << 40).selectExpr("cast(id as int) as k"), never_null=True))
+        assert "BroadcastHashJoin" not in physical(LeftJoin(sure, many, OperatorFlags.SMALL_SECOND))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
