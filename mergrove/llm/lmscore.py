@@ -223,7 +223,7 @@ class Automaton:
         if not self._ready:
             self._open()
         memo, n, state, total = self.memo, len(self.vocabulary), 0, 0.0
-        if len(memo) > 1_000_000:
+        if len(memo) > 400_000:
             memo.clear()
         for w in tokens:
             if w < 0:
@@ -242,7 +242,7 @@ class Automaton:
 class Coder(dict):
     """Words to token numbers; a word outside the vocabulary to its hash, as a negative number."""
 
-    def __init__(self, vocabulary: np.ndarray, most: int = 600_000):
+    def __init__(self, vocabulary: np.ndarray, most: int = 300_000):
         super().__init__()
         self.numbers = {h: i for i, h in enumerate(vocabulary.tolist())}
         self.end, self.most = self.numbers.get(END, _NONE), most
