@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             stats = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), stats], ["label", "stats"])
 
-    got = rows.mapInArrow(run, "label int, stats array<double>").orderBy("label", "stats").collect()
+    got = sorted(rows.mapInArrow(run, "label int, stats array<double>").collect(), key=lambda r: (r.label, r.stats))
     return fit(np.array([r.stats for r in got]), np.array([r.label for r in got]))
 
 
