@@ -1,7 +1,7 @@
 """A training-corpus pipeline over ``documents``: five stages, each written as a table and read again.
 
-Quality classifier (bad documents go), line dedup within each source, SimHash near-dedup (one document of each
-group stays), mixing of the sources to target weights, and SentencePiece encoding.
+Quality classifier (bad documents go), line dedup within each source, near-dedup (one document of each group with
+similar shingle sets stays), mixing of the sources to target weights, and SentencePiece encoding.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergrove.llm import linededup, mixing, quality, sentencepieces, simhash
+from mergrove.llm import linededup, mixing, quality, sentencepieces, shinglesets
 from mergrove.llm.common import parts_for, scratch
 
 #: The tokenizer's model file.
@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of each group whose sets of five-word shingles are 0.8 similar or more."""
+    return shinglesets.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
-    ("simhash near-dedup", near_stage),
+    ("near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("sentencepiece", encoding_stage),
 ]

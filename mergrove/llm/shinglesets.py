@@ -1,0 +1,148 @@
+"""Near-duplicate texts by the exact Jaccard similarity of their shingle sets.
+
+Two texts are linked when their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
+more.  No link is lost to a sketch.  Candidates come from prefixes: in any fixed order of all shingles, two sets
+that similar share one among the first ``n - ceil(similarity * n) + 1`` of each, at places and sizes that leave
+room for the overlap needed.  Shingles that a sample finds common come last in the order, which is for speed
+alone.  Candidates are then compared by their whole sets.  Equal sets are one node; sets of candidates alone move.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import input_bytes, take, written
+from .components import components
+
+SEED = 42
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's distinct ``width``-word shingles; a shorter text is one shingle, an empty one none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.array([], np.uint64)
+    whole = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in whole), np.uint64))
+
+
+def node(found: np.ndarray) -> int:
+    """The name of a shingle set: a signed hash of all of it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def _common(rows: DataFrame, width: int, sample_bytes: int, least: int = 4) -> np.ndarray:
+    """Shingles that several texts of a sample hold; it has at most about ``sample_bytes`` of text."""
+    fraction = min(1.0, sample_bytes / max(1, input_bytes(rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+            found = [shingles(t.as_py(), width) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.array([], np.uint64)]).view(np.int64))], ["key"])
+
+    held = rows.select("text").sample(fraction, 1).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    got = held.where(F.col("n") >= least).select("key").toArrow()
+    return np.sort(got["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``table``."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def links(rows: DataFrame, width: int, similarity: float, sample_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, node)`` of each row of ``rows(id, text)``, and ``(a, b)``: all links between different nodes."""
+    ratio = Fraction(str(similarity))
+    num, den = ratio.numerator, ratio.denominator
+    if not 0 < ratio <= 1:
+        raise ValueError(f"a similarity above 0 and up to 1, not {similarity}")
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, width, sample_bytes))
+    kind = rows.schema["id"].dataType
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+            names, sizes, keys = [], [], []
+            for t in b.column(1):
+                found = shingles(t.as_py(), width)
+                n = len(found)
+                names.append(node(found))
+                sizes.append(n)
+                late = _in(found, common)
+                keys.append(np.r_[found[~late], found[late]][: n - -(-num * n // den) + 1 if n else 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "keys"]
+            )
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    marked = written(rows.mapInArrow(mark, schema), "shingles")
+    sets = marked.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    entries = sets.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    a, b = (entries.select(*[F.col(c).alias(f"{side}_{c}") for c in entries.columns]) for side in "ab")
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node"))).where(
+        (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+        & (room * (num + den) >= (F.col("a_n") + F.col("b_n")) * num)
+    )
+    candidates = written(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "candidates")
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
+    reps = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("rep"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
+            names, held = [], []
+            for t, asked in zip(b.column(0), b.column(1).to_pylist()):
+                found = shingles(t.as_py(), width)
+                if node(found) == asked:  # ids may repeat
+                    names.append(asked)
+                    held.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["node", "keys"])
+
+    texts = rows.join(reps, rows.id == reps.rep).select("text", "node")
+    full = written(texts.mapInArrow(whole, "node long, keys array<long>").dropDuplicates(["node"]), "sets")
+    compared = candidates.join(full.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return marked.select("id", "node"), compared.where(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+
+
+def _with_node(docs: DataFrame, text_at: int, width: int) -> DataFrame:
+    """``docs`` with the node as a last column ``node``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = pa.array([node(shingles(t.as_py(), width)) for t in b.column(text_at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, names], [*b.schema.names, "node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, sample_bytes: int = 8 << 20) -> DataFrame:
+    """The rows and columns of ``docs``, one row of each group of near-duplicates: the one with its smallest id.
+
+    Groups are what links reach.  Null and empty texts equal each other and nothing else.  Where ids repeat, rows are
+    known by id and shingle set, and of equal ones one stays.  Rows with a null id stay, and link nothing.
+    """
+    names = docs.columns
+    rows = take(docs, id=id_col, text=text_col).where("id is not null")
+    marked, found = links(rows, width, similarity, sample_bytes)
+    nodes = components(found)
+    classes = marked.groupBy("node").agg(F.min("id").alias("rep")).join(nodes, "node", "left")
+    least = classes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("rep", "node")).alias("low"))
+    first = written(least.select(F.col("low.rep").alias("id"), F.col("low.node").alias("own_node")), "first")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(id_col)}"
+    if marked.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] in (None, 1):
+        return plain.join(first, F.col(own) == F.col("id"), "left_semi").union(plain.where(F.col(own).isNull())).toDF(*names)
+    coded = _with_node(plain, names.index(text_col), width)
+    kept = coded.join(first, (F.col(own) == F.col("id")) & (F.col("node") == F.col("own_node")), "left_semi").dropDuplicates([own, "node"])
+    return kept.union(coded.where(F.col(own).isNull())).drop("node").toDF(*names)
