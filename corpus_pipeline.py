@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from mergrove.llm import linededup, mixing, quality, sentencepieces, shinglesets
 from mergrove.llm.common import parts_for, scratch
@@ -38,11 +39,24 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.in_order(docs, parts_for(docs, 32 << 20))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, the row's place from 0 in the files it was read from, one after the other; null without files."""
+    if not docs.inputFiles():
+        return docs.withColumn("position", F.lit(None).cast("long"))
+    file = F.col("_metadata.file_path")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = docs.groupBy(file.alias("file")).agg(F.count("*").alias("n"))
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = docs.select("*", file.alias("own_file"), F.col("_metadata.row_index").alias("at")).join(F.broadcast(starts), F.col("own_file") == F.col("file"))
+    return rows.select(*docs.columns, (F.col("start") + F.col("at")).alias("position"))
+
+
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, source, n_tokens, ids, ids_sha256, round_trip, parity)`` of every document."""
-    keyed = docs.select(F.struct("doc_id", "source").alias("doc_id"), "text")
+    """``(doc_id, source, position, n_tokens, ids, ids_sha256, round_trip, parity)`` of every document; sorting by
+    ``position`` gives the mixture."""
+    keyed = _placed(docs).select(F.struct("doc_id", "source", "position").alias("doc_id"), "text")
     coded = sentencepieces.encode(keyed, sentencepieces.read_model(MODEL))
-    return coded.select("id.doc_id", "id.source", "n_tokens", "ids", "ids_sha256", "round_trip", "parity")
+    return coded.select("id.doc_id", "id.source", "id.position", "n_tokens", "ids", "ids_sha256", "round_trip", "parity")
 
 
 STAGES = [
