@@ -1,24 +1,27 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is an n-gram model with absolute discounting and normalised backoff.  Its contexts are states; an arc
-carries a token to the longest context that then ends the text, and a failure arc leads to the state of the next
-shorter context at the price of the backoff weight.  A text is scored in one left-to-right traversal that carries
-the state and adds up log-probabilities.
-
-Counts come from all training texts.  The vocabulary of states holds the words that make up at least ``word_share``
-of all tokens, and an n-gram is kept from ``gram_share`` of them on: there are at most ``1 / share`` of either, so
-the automaton has a proven bound at any size of corpus and goes to every task.  Rarer words, without bound, stay
-where they were counted: tasks send each partition of the counts the rare words of a batch of texts, and get
-back one sum a text.  All that moves is packed by partition, 64-bit hashes of words for words.
+The model is an n-gram model of all training texts, with nothing pruned.  Each order is smoothed by the one below:
+
+    P(w | h) = (c(h w) + s P(w | h')) / (c(h) + s),     h' = h without its first word,
+
+down to unigrams with half a count for each word and for the unknown one.  As an automaton: every n-gram seen below
+the highest order is a state; from state h an arc for each word seen after it carries log P(w | h) and leads to the
+longest state that then ends the text; a failure arc to h' costs log s / (c(h) + s), which is what is left for words
+not seen after h.  Weights need no more than counts, so states and arcs can lie wherever their counts do.
+
+The automaton grows with the corpus and is held nowhere as a whole.  Texts travel in batches.  A batch asks for its
+distinct n-grams by key, packed by partition of the key; a partition adds up what all batches have of a key and
+answers with the totals.  The answers are the batch's own part of the automaton, exact for its texts, which one
+left-to-right traversal a text then scores.  One exchange both counts and answers, a hot n-gram is one key a batch,
+and no task, driver or broadcast holds more than a batch or a partition of bounded size.
+
+Words and n-grams are known by 62 bits of a hash: n different ones share a count with a chance of about n^2 / 2^63.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,446 +32,274 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import part_bits, take, written
+from .common import part_bits, parts_for, take, written
 
-#: Words are known by 63 bits of their hash; the end of a text by a value that no hash has.
-_MASK, END = (1 << 63) - 1, 1 << 63
-_NONE = -1
+#: The end of a text is a token of its own; words have the other half of the hashes.
+END = 1 << 63
+_MASK = END - 1
+#: The low bits of a key hold its order, so that all orders are one set of keys.
+_ORDER_BITS = 2
+MOST_WORDS = 1 << _ORDER_BITS
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) & _MASK
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
-
-
 def held_out(row_id, folds: int = 5, fold: int = 1):
     return F.coalesce(F.crc32(row_id.cast("string")) % folds == fold, F.lit(False))
 
 
-# --- counting -------------------------------------------------------------------------------------------------
-
-
-def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The partition of each key, evenly whatever the keys."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-
-
-def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Keys and counts, packed by partition."""
-    part = _spread(keys, bits)
-    order = np.lexsort((keys, part))
-    keys, counts, part = keys[order], counts[order], part[order]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], int)
-    ends = np.r_[starts[1:], len(part)] if len(part) else starts
-    blobs = [_pack(keys[s:e].astype(np.uint64), counts[s:e].astype(np.int64)) for s, e in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-
-def _pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(_unpack(blob), np.uint64)
-    return flat[: len(flat) // 2], flat[len(flat) // 2 :].view(np.int64)
-
-
-def _tally(rows: DataFrame, label: str) -> DataFrame:
-    """``(part, blob, n, v)``: keys with their total counts, the sum of counts, the number of keys."""
-
-    def add(table: pa.Table) -> pa.Table:
-        got = [_pairs(b.as_py()) for b in table["blob"]]
-        keys, at = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, np.concatenate([c for _, c in got]))
-        return pa.table({"part": table["part"][:1], "blob": pa.array([_pack(keys, total)], pa.binary()), "n": [int(total.sum())], "v": [len(keys)]})
-
-    return written(rows.groupBy("part").applyInArrow(add, "part int, blob binary, n long, v long"), label)
+class WordHashes(dict):
+    """Hashes of words, kept as met."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word) & _MASK
+        return h
 
-def _above(tally: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys counted at least ``least`` times; the caller knows how many there can be."""
+    def of(self, text: str | None, most: int = 300_000) -> np.ndarray:
+        """The hashes of a text's tokens, its end included."""
+        if len(self) > most:
+            self.clear()
+        w = words(text)
+        out = np.empty(len(w) + 1, np.uint64)
+        out[:-1] = np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+        out[-1] = END
+        return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for blob in b.column(0):
-                k, c = _pairs(blob.as_py())
-                out.append(_pack(k[c >= least], c[c >= least]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["blob"])
 
-    got = [_pairs(r.blob) for r in tally.select("blob").mapInArrow(cut, "blob binary").collect()]
-    keys = np.concatenate([k for k, _ in got] or [np.array([], np.uint64)])
-    counts = np.concatenate([c for _, c in got] or [np.array([], np.int64)])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+_HASHES = WordHashes()
 
 
-def count_words(rows: DataFrame, bits: int, most: int = 400_000) -> DataFrame:
-    """Counts of all tokens of ``rows(text)`` by word hash; a task holds ``most`` words at a time."""
+# --- n-grams by key -------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        texts = 0
 
-        def flush() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_hash, held), np.uint64, len(held))
-            counts = np.fromiter(held.values(), np.int64, len(held))
-            return _dealt(np.r_[keys, np.uint64(END)][: len(keys) + (texts > 0)], np.r_[counts, texts][: len(keys) + (texts > 0)], bits)
+def _mix(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9FB21C651E98DF25)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
 
-        for b in batches:
-            for t in b.column(0):
-                held.update(words(t.as_py()))
-                texts += 1
-                if len(held) >= most:
-                    yield flush()
-                    held.clear()
-                    texts = 0
-        if texts:
-            yield flush()
 
-    return _tally(rows.select("text").mapInArrow(run, "part int, blob binary"), "words")
+def gram_keys(hashes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of all n-grams of texts laid end to end, order by order, and the places in which those of each order end."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keys, ends, at = [], [], None
+    for k in range(order):
+        before = np.zeros(len(hashes), np.uint64) if at is None else np.r_[np.uint64(0), at[:-1]]
+        at = _mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+        ends.append(np.flatnonzero(place >= k))
+        keys.append(at[ends[-1]] & ~np.uint64(MOST_WORDS - 1) | np.uint64(k))
+    return np.concatenate(keys), ends
 
 
-# --- the model ------------------------------------------------------------------------------------------------
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers, byte plane by byte plane, so that leading zeros take no room."""
+    head = np.array([len(arrays), *map(len, arrays)], np.int64)
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 + 8 * n, []
+    for size in np.frombuffer(raw, np.int64, n, 8).tolist():
+        out.append(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
+        at += 8 * size
+    return out
+
+
+def _requests(hashes: np.ndarray, sizes: np.ndarray, learns: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """For each partition a batch's distinct keys there, sorted, and how often its training texts have each."""
+    keys, ends = gram_keys(hashes, sizes, order)
+    mine = np.repeat(learns, sizes)
+    found, at = np.unique(keys, return_inverse=True)
+    times = np.bincount(at[np.concatenate([mine[e] for e in ends])], minlength=len(found)).astype(np.uint64)
+    part = (found >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        yield int(part[s]), _pack(np.diff(found[s:e], prepend=np.uint64(0)), times[s:e])
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """A partition's answers: to each batch the totals of the keys it asked for, and the number of words seen."""
+    got = [_unpack(b.as_py()) for b in table["blob"]]
+    keys = [np.cumsum(k, dtype=np.uint64) for k, _ in got]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(found), np.uint64)
+    np.add.at(total, at, np.concatenate([c for _, c in got]))
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    blobs = [_pack(total[i]) for i in np.split(at, cuts)]
+    seen = int(((found & np.uint64(MOST_WORDS - 1) == 0) & (total > 0)).sum())
+    return pa.table({"batch": table["batch"], "part": table["part"], "blob": pa.array(blobs, pa.binary()), "v": pa.array([seen] + [0] * (len(blobs) - 1), pa.int64())})
+
+
+# --- the automaton --------------------------------------------------------------------------------------------
 
 
-@dataclass
 class Automaton:
-    """``vocabulary``: hashes by token number (sorted, ``END`` last); ``grams[k]``: sorted keys of the kept (k+2)-grams,
-    each the number of its context one order below times the vocabulary plus its last token.
+    """The states and arcs of the n-grams of some texts.
 
-    States are numbered: 0 is the empty context, then the words, then the kept n-grams order by order.
+    State 0 is the empty context.  A state's arcs are keyed ``state * words + word``, words numbered from 0; each has
+    a weight and a target.  ``fail`` and ``back`` are the failure arcs' targets and weights.
     """
 
-    vocabulary: np.ndarray
-    counts: np.ndarray
-    total: int
-    distinct: int
-    grams: list[np.ndarray]
-    gram_counts: list[np.ndarray]
-    discount: float = 0.5
-
-    def __post_init__(self):
-        n = len(self.vocabulary)
-        self.norm = self.total + 0.5 * (self.distinct + 1)
-        self.unigram = np.log10((self.counts + 0.5) / self.norm)
-        self.first = [0, 1, 1 + n]
-        for g in self.grams:
-            self.first.append(self.first[-1] + len(g))
-        self.fail = np.zeros(self.first[-1], np.int64)
-        self.back = np.zeros(self.first[-1])
-        self.log = [self.unigram]
-        context_counts, below = self.counts, self.unigram
-        suffix = np.arange(n)  # of each n-gram one order below: the number of its suffix (of words: themselves)
-        for k, (keys, counts) in enumerate(zip(self.grams, self.gram_counts)):
-            context, last = (keys // n).astype(np.int64), (keys % n).astype(np.int64)
-            p = (counts - self.discount) / context_counts[context]
+    def __init__(self, norm: float, n_words: int, strengths: Sequence[float]):
+        self.norm, self.n_words, self.strengths = norm, n_words, strengths
+        self.arcs: dict[int, int] = {}
+        self.weight: list[float] = []
+        self.to: list[int] = []
+        self.back, self.fail = [0.0], [0]
+        self.unknown = math.log10(0.5 / norm)
+
+    @staticmethod
+    def of(codes: np.ndarray, ends: list[np.ndarray], number: np.ndarray, counts: np.ndarray, n_words: int, norm: float, strengths: Sequence[float]) -> Automaton:
+        """From texts' word numbers: ``ends`` are the places in which n-grams of each order end, ``number`` names the
+        distinct n-gram of each (order by order), ``counts`` their counts by that name."""
+        out = Automaton(norm, n_words, strengths)
+        order = len(ends)
+        state_of = np.zeros(len(counts), np.int64)  # of each n-gram that is a state
+        smooth = np.zeros(len(codes))
+        context_state = np.zeros(len(codes), np.int64)  # the context of order k, by the place after it
+        context_count = np.zeros(len(codes))
+        shorter_state = np.zeros(len(codes), np.int64)  # of the longest seen n-gram of a lower order that ends at a place
+        low = 0
+        for k, where in enumerate(ends):
+            names = number[low : low + len(where)]
+            low += len(where)
+            c = counts[names].astype(float)
             if k == 0:
-                shorter, own_suffix = self.unigram[last], last
+                p = (c + 0.5) / norm
             else:
-                # the suffix of (context, last) is (suffix of context, last), which is kept whenever the n-gram is
-                own_suffix = np.searchsorted(self.grams[k - 1], suffix[context].astype(np.uint64) * np.uint64(n) + last.astype(np.uint64))
-                shorter = below[own_suffix]
-            size = len(context_counts)
-            spent, covered = np.bincount(context, p, size), np.bincount(context, 10.0**shorter, size)
-            with np.errstate(divide="ignore"):
-                weight = np.log10(np.maximum(1 - spent, 1e-12) / np.maximum(1 - covered, 1e-12))
-            weight[np.bincount(context, minlength=size) == 0] = 0.0
-            start = self.first[1 + k]
-            self.back[start : start + size] = weight
-            # failure: a k+1-gram's state falls to its suffix's; words fall to the empty context
-            here = self.first[2 + k]
-            self.fail[here : here + len(keys)] = self.first[1 + k] + own_suffix
-            self.log.append(np.log10(p))
-            context_counts, below, suffix = counts, self.log[-1], own_suffix
-        # to the empty context by failures alone
-        self.drain = np.zeros(len(self.back))
-        for s in range(1, len(self.back)):
-            self.drain[s] = self.back[s] + self.drain[self.fail[s]]
-        self._ready = False
-
-    def _open(self) -> None:
-        """Arcs as one table from (state, token) to (state, log-probability), longer contexts first found."""
-        n = len(self.vocabulary)
-        self.arcs: dict[int, tuple[int, float]] = {}
-        for k, keys in enumerate(self.grams):
-            states = self.first[1 + k] + (keys // n).astype(np.int64)
-            for s, w, to, p in zip(states.tolist(), (keys % n).astype(np.int64).tolist(), range(self.first[2 + k], self.first[2 + k] + len(keys)), self.log[k + 1].tolist()):
-                self.arcs[s * n + w] = (to, p)
-        self.memo: dict[int, tuple[int, float]] = {}
-        self._fail, self._back, self._drain, self._uni = self.fail.tolist(), self.back.tolist(), self.drain.tolist(), self.unigram.tolist()
-        self._ready = True
-
-    def step(self, state: int, token: int) -> tuple[int, float]:
-        """Where a token leads, following failure arcs as needed, and its log-probability."""
-        n, paid = len(self.vocabulary), 0.0
-        while state:
-            arc = self.arcs.get(state * n + token)
-            if arc:
-                return arc[0], paid + arc[1]
-            paid += self._back[state]
-            state = self._fail[state]
-        return 1 + token, paid + self._uni[token]
+                s = strengths[k - 1]
+                p = (c + s * smooth[where]) / (context_count[where] + s)
+            smooth[where] = p
+            _, first = np.unique(names, return_index=True)
+            seen = first[c[first] > 0]
+            places, kept = where[seen], names[seen]
+            base = len(out.weight)
+            # arcs lead to the state of the n-gram, or of its suffix if no state is as long
+            if k < order - 1:
+                state_of[kept] = np.arange(len(out.back), len(out.back) + len(kept))
+                to = state_of[kept]
+                out.back += np.log10(strengths[k] / (c[seen] + strengths[k])).tolist()
+                out.fail += shorter_state[places].tolist()
+            else:
+                to = shorter_state[places]
+            out.weight += np.log10(p[seen]).tolist()
+            out.to += to.tolist()
+            out.arcs.update(zip((context_state[places] * n_words + codes[places]).tolist(), range(base, base + len(kept))))
+            if k < order - 1:
+                here = np.zeros(len(codes), np.int64)
+                here[where] = state_of[names] * (c > 0)
+                number_seen = np.zeros(len(codes))
+                number_seen[where] = c
+                context_state = np.r_[0, here[:-1]]
+                context_count = np.r_[0.0, number_seen[:-1]]
+                shorter_state = np.where(here > 0, here, shorter_state)
+        return out
 
     def score(self, tokens: list[int]) -> float:
-        """The log-probability of a token sequence without that of its rare words (negative numbers) themselves."""
-        if not self._ready:
-            self._open()
-        memo, n, state, total = self.memo, len(self.vocabulary), 0, 0.0
-        if len(memo) > 400_000:
-            memo.clear()
+        """The log-probability of a token sequence: one traversal from left to right."""
+        arcs, weight, to, back, fail, n = self.arcs, self.weight, self.to, self.back, self.fail, self.n_words
+        state, total = 0, 0.0
         for w in tokens:
-            if w < 0:
-                total += self._drain[state]
-                state = 0
-                continue
-            key = state * n + w
-            move = memo.get(key)
-            if move is None:
-                move = memo[key] = self.step(state, w)
-            state = move[0]
-            total += move[1]
+            while (arc := arcs.get(state * n + w)) is None and state:
+                total += back[state]
+                state = fail[state]
+            if arc is None:
+                total += self.unknown
+            else:
+                total += weight[arc]
+                state = to[arc]
         return total
 
 
-class Coder(dict):
-    """Words to token numbers; a word outside the vocabulary to its hash, as a negative number."""
-
-    def __init__(self, vocabulary: np.ndarray, most: int = 300_000):
-        super().__init__()
-        self.numbers = {h: i for i, h in enumerate(vocabulary.tolist())}
-        self.end, self.most = self.numbers.get(END, _NONE), most
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        code = self.numbers.get(h, h - (1 << 63))
-        self[word] = code
-        return code
-
-    def codes(self, text: str | None) -> np.ndarray:
-        """The codes of a text's tokens, its end included."""
-        if len(self) > self.most:
-            self.clear()
-        w = words(text)
-        out = np.empty(len(w) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
-        out[-1] = self.end
-        return out
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions in sorted ``keys``, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), _NONE)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, _NONE)
-
-
-def _grams_ending(codes: np.ndarray, breaks: np.ndarray, grams: list[np.ndarray], n: int) -> np.ndarray:
-    """For each place the number of the longest-order kept gram ending there, -1 if none: ``breaks`` start a text."""
-    at = np.where(codes >= 0, codes, _NONE)
-    for keys in grams:
-        before = np.r_[_NONE, at[:-1]]
-        before[breaks] = _NONE
-        good = (before >= 0) & (codes >= 0)
-        next_at = np.full(len(codes), _NONE)
-        next_at[good] = _find(keys, before[good].astype(np.uint64) * np.uint64(n) + codes[good].astype(np.uint64))
-        at = next_at
-    return at
-
-
-def count_grams(rows: DataFrame, vocabulary: np.ndarray, usable: np.ndarray, grams: list[np.ndarray], bits: int, flush_tokens: int = 2_000_000) -> DataFrame:
-    """Counts of the n-grams one order above ``grams`` whose context and suffix are both kept.
-
-    ``usable``: which words are frequent enough to be in any kept n-gram at all.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, usable, grams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, usable, grams = shared.value
-        coder, n = Coder(vocabulary), len(vocabulary)
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes = np.concatenate(held)
-            breaks = np.r_[0, np.cumsum([len(h) for h in held])[:-1]]
-            codes = np.where((codes >= 0) & usable[np.maximum(codes, 0)], codes, _NONE)
-            at = _grams_ending(codes, breaks, grams, n)
-            before = np.r_[_NONE, at[:-1]]
-            before[breaks] = _NONE
-            good = (before >= 0) & (at >= 0)
-            keys, counts = np.unique(before[good].astype(np.uint64) * np.uint64(n) + codes[good].astype(np.uint64), return_counts=True)
-            return _dealt(keys, counts, bits)
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(coder.codes(t.as_py()))
-                size += len(held[-1])
-                if size >= flush_tokens:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return _tally(rows.select("text").mapInArrow(run, "part int, blob binary"), "grams")
-
-
-def train(rows: DataFrame, bits: int, order: int, word_share: float, gram_share: float, least: int) -> tuple[Automaton, DataFrame]:
-    """The automaton of ``rows(text)`` and the counts of all its words by partition."""
-    tally = count_words(rows, bits)
-    total, distinct = tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    vocabulary, counts = _above(tally, max(least, math.ceil(word_share * total)))
-    if END not in vocabulary[-1:]:
-        ends = 0  # no training text, or so few that the end is rare too
-        for r in tally.where(F.col("part") == int(_spread(np.array([END], np.uint64), bits)[0])).collect():
-            keys, c = _pairs(r.blob)
-            ends = int(c[keys == END].sum())
-        vocabulary, counts = np.r_[vocabulary, np.uint64(END)], np.r_[counts, ends]
-    floor = max(least, math.ceil(gram_share * total))
-    usable = np.r_[counts >= floor, False][: len(counts)]
-    grams, gram_counts = [], []
-    for _ in range(order - 1):
-        keys, c = _above(count_grams(rows, vocabulary, usable, grams, bits), floor)
-        grams.append(keys)
-        gram_counts.append(c)
-    return Automaton(vocabulary, counts, int(total), int(distinct), grams, gram_counts), tally
-
-
 # --- scoring --------------------------------------------------------------------------------------------------
 
-#: The automaton of the query that a worker runs, opened once.
-_HELD: dict[str, tuple[Automaton, Coder]] = {}
-
-
-def _ask(model: Automaton, coder: Coder, rows: list[np.ndarray], batch: int, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Requests of a batch: for each partition the rare words' hashes and in which texts, how often, they are."""
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
-    codes = np.concatenate(rows)
-    rare = codes < 0
-    owner, keys = owner[rare], (codes[rare] & np.int64(_MASK)).astype(np.uint64)
-    if not len(keys):
-        return
-    part = _spread(keys, bits)
-    order = np.lexsort((owner, keys, part))
-    keys, owner, part = keys[order], owner[order], part[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]
-    at = np.flatnonzero(new)
-    times = np.diff(np.r_[at, len(keys)])
-    keys, owner, part = keys[at], owner[at], part[at]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    for s, e in zip(starts, np.r_[starts[1:], len(part)]):
-        k, o, t = keys[s:e], owner[s:e], times[s:e]
-        fresh = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        texts = np.diff(np.r_[fresh, len(k)])
-        head = np.array([len(fresh), len(k)], np.uint64)
-        yield int(part[s]), _pack(head, k[fresh], texts.astype(np.uint32), o.astype(np.uint32), t.astype(np.uint32))
-
-
-def _request(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of a request: word hash, text, times."""
-    raw = _unpack(blob)
-    n, m = np.frombuffer(raw, np.uint64, 2).tolist()
-    keys = np.frombuffer(raw, np.uint64, n, 16)
-    texts, owner, times = (np.frombuffer(raw, np.uint32, c, 16 + 8 * n + o) for c, o in ((n, 0), (m, 4 * n), (m, 4 * n + 4 * m)))
-    return np.repeat(keys, texts), owner, times
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, word_share: float = 2e-6, gram_share: float = 1e-5,
-                least: int = 3, batch_tokens: int = 1_000_000, part_bytes: int = 16 << 20) -> DataFrame:
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strengths: Sequence[float] = (1000.0, 10.0),
+                batch_tokens: int = 300_000, part_bytes: int = 4 << 20) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1 (null ids learn too).  ``base_score`` is the smoothed
-    unigram log-probability of the tokens (words in ASCII lower case, then the end), ``score`` the automaton's.  Null
-    and empty texts are one token, the end.  Repeated rows count each; other columns change nothing; an empty
-    table gives no row; without training rows every token is unseen.
+    unigram log-probability of the tokens (words in ASCII lower case, then the end), ``score`` the automaton's;
+    ``strengths`` are the s above, for two words on.  Null and empty texts are one token, the end.  Repeated rows
+    count each; other columns change nothing; an empty table gives no row; without training rows every token is unseen.
     """
+    if not 1 <= order <= MOST_WORDS or len(strengths) < order - 1 or any(not s > 0 for s in strengths):
+        raise ValueError(f"an order from 1 to {MOST_WORDS}, and a strength above 0 for each order above 1")
     rows = take(docs, id=id_col, text=text_col).select("id", "text", held_out(F.col("id")).alias("held_out"))
-    bits = part_bits(docs, part_bytes)
-    model, tally = train(rows.where("not held_out"), bits, order, word_share, gram_share, least)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType
-    key = uuid.uuid4().hex
+    parts = parts_for(docs, 16 << 20)
+    bits = part_bits(docs, part_bytes, least=max(4, math.ceil(math.log2(4 * parts))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = (shared.value, Coder(shared.value.vocabulary))
-        model, coder = _HELD[key]
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts in batches: their ids, and packed their tokens' numbers, those numbers' hashes, sizes and folds."""
         task = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
-        ids, out, size, serial = [], [], 0, 0
+        ids, aside, size, serial = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            asked = list(_ask(model, coder, held, task + serial, bits))
-            n, m = len(held), len(asked)
-            none = lambda k, t: pa.nulls(k, t)
-            cells = list(zip(*out))
-            return pa.RecordBatch.from_arrays([
-                pa.array([task + serial] * (n + m), pa.int64()),
-                pa.concat_arrays([none(n, pa.int32()), pa.array([p for p, _ in asked], pa.int32())]),
-                pa.concat_arrays([none(n, pa.binary()), pa.array([b for _, b in asked], pa.binary())]),
-                pa.concat_arrays([pa.array(range(n), pa.int32()), none(m, pa.int32())]),
-                pa.concat_arrays([pa.concat_arrays(ids), none(m, ids[0].type)]),
-                *[pa.concat_arrays([pa.array(c, t), none(m, t)]) for c, t in zip(cells, (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-            ], names)
+            hashes, codes = np.unique(np.concatenate(held), return_inverse=True)
+            sizes = np.array([len(h) for h in held], np.uint64)
+            learned = int(sizes[~np.array(aside)].sum())
+            blob = _pack(codes.astype(np.uint64), np.diff(hashes, prepend=np.uint64(0)), sizes, np.array(aside, np.uint64))
+            together = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
+            return pa.RecordBatch.from_arrays([pa.array([task + serial], pa.int64()), together, pa.array([blob], pa.binary()), pa.array([learned], pa.int64())], ["batch", "ids", "texts", "learned"])
 
         for b in batches:
             for i in range(b.num_rows):
-                codes = coder.codes(b.column(1)[i].as_py())
-                known = codes[codes >= 0]
+                held.append(_HASHES.of(b.column(1)[i].as_py()))
                 ids.append(b.column(0).slice(i, 1))
-                seen = len(known) if model.total else 0
-                out.append((b.column(2)[i].as_py(), len(codes), seen, float(model.unigram[known].sum()), model.score(codes.tolist())))
-                held.append(codes)
-                size += len(codes)
-                if size >= batch_tokens:
+                aside.append(b.column(2)[i].as_py())
+                size += len(held[-1])
+                if size >= batch_tokens or len(held) >= 50_000:
                     yield flush()
-                    held, ids, out, size, serial = [], [], [], 0, serial + 1
+                    held, ids, aside, size, serial = [], [], [], 0, serial + 1
         if held:
             yield flush()
 
-    names = ["batch", "part", "blob", "row", "id", "held_out", "n_tokens", "n_known", "base", "score"]
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), kind, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))])
-    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, schema), "scored")
-    norm = model.norm
-
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        keys, counts = (np.array([], np.uint64), np.array([], np.int64)) if not counted.num_rows else _pairs(counted["blob"][0].as_py())
-        out = []
-        for blob in asked["blob"]:
-            wanted, owner, times = _request(blob.as_py())
-            at = _find(keys, wanted)
-            c = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-            mine, where = np.unique(owner, return_inverse=True)
-            logs = np.bincount(where, times * np.log10((c + 0.5) / norm), len(mine))
-            known = np.bincount(where, times * (c > 0), len(mine)).astype(np.int64)
-            out.append(_pack(mine.astype(np.uint64), known, logs))
-        return pa.table({"batch": asked["batch"], "blob": pa.array(out, pa.binary())})
-
-    def total(table: pa.Table) -> pa.Table:
-        got = [np.frombuffer(_unpack(b.as_py()), np.uint64).reshape(3, -1) for b in table["blob"]]
-        row, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        known = np.zeros(len(row), np.int64)
-        np.add.at(known, at, np.concatenate([g[1].view(np.int64) for g in got]))
-        logs = np.bincount(at, np.concatenate([g[2].view(np.float64) for g in got]), len(row))
-        return pa.table({"b2": pa.array([table["batch"][0].as_py()] * len(row), pa.int64()), "r2": pa.array(row.astype(np.int32)), "known": pa.array(known), "logs": pa.array(logs)})
-
-    asked = scored.where("part is not null").select("part", "batch", "blob")
-    replies = asked.groupBy("part").cogroup(tally.select("part", "blob").groupBy("part")).applyInArrow(answer, "batch long, blob binary")
-    sums = replies.groupBy("batch").applyInArrow(total, "b2 long, r2 int, known long, logs double")
-    texts = scored.where("part is null").drop("part", "blob")
-    joined = texts.join(sums, (F.col("batch") == F.col("b2")) & (F.col("row") == F.col("r2")), "left")
-    more = F.coalesce("logs", F.lit(0.0))
-    return joined.select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType()), T.StructField("learned", T.LongType())])
+    coded = written(rows.mapInArrow(code, schema), "coded")
+
+    def texts_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        codes, hashes, sizes, aside = _unpack(blob)
+        return codes.astype(np.int64), np.cumsum(hashes, dtype=np.uint64), sizes.astype(np.int64), aside > 0
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                codes, hashes, sizes, aside = texts_of(blob.as_py())
+                asked = list(_requests(hashes[codes], sizes, ~aside, order, bits))
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(asked), pa.int64()), pa.array([p for p, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], ["batch", "part", "blob"])
+
+    asked = coded.select("batch", "texts").mapInArrow(ask, "batch long, part int, blob binary")
+    answers = written(asked.repartition(parts, "part").groupBy("part").applyInArrow(_totals, "batch long, part int, blob binary, v long"), "answers")
+    total = coded.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
+    distinct = answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    norm = total + 0.5 * (distinct + 1)
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def solve(texts: pa.Table, got: pa.Table) -> pa.Table:
+        codes, hashes, sizes, aside = texts_of(texts["texts"][0].as_py())
+        n = len(hashes)
+        keys, ends = gram_keys(hashes[codes], sizes, order)
+        number = np.unique(keys, return_inverse=True)[1]
+        blobs = dict(zip(got["part"].to_pylist(), got["blob"]))
+        counts = np.concatenate([_unpack(blobs[p].as_py())[0] for p in sorted(blobs)])
+        model = Automaton.of(codes, ends, number, counts, n, norm, strengths)
+        c = counts[number[: len(codes)]].astype(float)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        base = np.bincount(text, np.log10((c + 0.5) / norm), len(sizes))
+        known = np.bincount(text, c > 0, len(sizes)).astype(np.int64)
+        scores, low, tokens = [], 0, codes.tolist()
+        for size in sizes.tolist():
+            scores.append(model.score(tokens[low : low + size]))
+            low += size
+        return pa.table([texts["ids"].combine_chunks().flatten(), pa.array(aside), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(scores, pa.float64())], names)
+
+    kinds = (kind, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
+    by_batch = lambda df: df.repartition(parts, "batch").groupBy("batch")
+    return by_batch(coded.select("batch", "ids", "texts")).cogroup(by_batch(answers.select("batch", "part", "blob"))).applyInArrow(
+        solve, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))

@@ -1,7 +1,8 @@
-"""Language-model scores: the base against plain counts, the automaton against plain backoff, probabilities that sum to one."""
+"""Language-model scores: against the model's definition over plain counts, with nothing pruned; probabilities that sum to one."""
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from mergrove.llm import lmscore
 
 def tokens(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    return [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w] + [None]
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w] + [None]
 
 
 def corpus(seed, n=150):
@@ -21,94 +22,102 @@ def corpus(seed, n=150):
     common = ["The", "cat", "sat", "on", "mat", "é"]
     rows = []
     for i in range(n):
-        w, last = [], rng.choice(common)
+        w = []
         for _ in range(rng.randrange(0, 40)):
-            last = rng.choice(common[common.index(last) : common.index(last) + 2] or common) if last in common and rng.random() < 0.7 else rng.choice(common)
+            at = common.index(w[-1]) if w and w[-1] in common else 0
+            last = common[(at + 1) % 6] if rng.random() < 0.7 else rng.choice(common)
             w.append(last if rng.random() < 0.9 else f"rare{rng.randrange(200)}")
         rows.append((i, " ".join(w)))
-    return [*rows, (900, None), (901, ""), (902, "unseen words only"), (903, "the\tCAT\nsat")]
+    twice = " ".join(f"once{i}" for i in range(30))
+    return [*rows, (900, None), (901, ""), (902, "unseen words only"), (903, "the\tCAT\nsat"), (904, twice), (905, twice), (None, "a null id learns")]
+
+
+def is_out(row_id):
+    return row_id is not None and zlib.crc32(str(row_id).encode()) % 5 == 1
 
 
 class Plain:
-    """The same model from its definition: discounted n-grams, normalised backoff, the unigram below."""
+    """The same model from its definition."""
 
-    def __init__(self, texts, order, word_share, gram_share, least):
-        self.n, self.order = [Counter() for _ in range(order + 1)], order
+    def __init__(self, texts, order, strengths):
+        self.n, self.order, self.strengths = Counter(), order, strengths
         for t in texts:
             for k in range(1, order + 1):
-                self.n[k].update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
-        self.total, self.types = sum(self.n[1].values()), len(self.n[1])
-        vocabulary = {g for g, c in self.n[1].items() if c >= max(least, math.ceil(word_share * self.total))} | {(None,)}
-        floor = max(least, math.ceil(gram_share * self.total))
-        self.kept = [None, vocabulary]
-        usable = {g for g in vocabulary if self.n[1][g] >= floor}
-        for k in range(2, order + 1):
-            below = self.kept[k - 1] if k > 2 else usable
-            self.kept.append({g for g, c in self.n[k].items() if c >= floor and g[:-1] in below and g[1:] in below and all((w,) in usable for w in g)})
-
-    def uni(self, w):
-        return (self.n[1][(w,)] + 0.5) / (self.total + 0.5 * (self.types + 1))
+                self.n.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+        ones = [c for g, c in self.n.items() if len(g) == 1]
+        self.total, self.types = sum(ones), len(ones)
 
     def p(self, context, w):
         if not context:
-            return self.uni(w)
-        g = (*context, w)
-        k = len(g)
-        if g in self.kept[k]:
-            return (self.n[k][g] - 0.5) / self.n[k - 1][context]
-        after = [x for x in self.kept[k] if x[:-1] == context]
-        lower = self.p(context[1:], w)
-        if not after:
-            return lower
-        left = 1 - sum((self.n[k][x] - 0.5) / self.n[k - 1][context] for x in after)
-        return left / (1 - sum(self.p(context[1:], x[-1]) for x in after)) * lower
+            return (self.n[(w,)] + 0.5) / (self.total + 0.5 * (self.types + 1))
+        s = self.strengths[len(context) - 1]
+        return (self.n[(*context, w)] + s * self.p(context[1:], w)) / (self.n[context] + s)
 
     def score(self, t):
-        out, context = 0.0, ()
-        for w in t:
-            known = (w,) in self.kept[1]
-            while context and context not in self.kept[len(context)]:
-                context = context[1:]
-            out += math.log10(self.p(context, w))
-            context = (*context, w)[-(self.order - 1) :] if known and self.order > 1 else ()
-        return out
-
-
-@pytest.mark.parametrize(("order", "word_share", "gram_share", "least"), [(1, 0.001, 0.01, 2), (2, 0.001, 0.002, 2), (3, 0.02, 0.004, 3), (4, 0.0001, 0.001, 2)])
-def test_matches_plain_model(spark, order, word_share, gram_share, least):
+        return sum(math.log10(self.p(tuple(t[max(0, i - self.order + 1) : i]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize(("order", "strengths", "batch"), [(1, (), 100), (2, (5.0,), 100), (3, (7.0, 2.0), 60), (3, (1000.0, 10.0), 10**6), (4, (9.0, 4.0, 1.5), 200)])
+def test_against_counts(spark, order, strengths, batch):
     rows = corpus(order)
+    model = Plain([tokens(t) for i, t in rows if not is_out(i)], order, strengths)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = lmscore.score_texts(df, order=order, word_share=word_share, gram_share=gram_share, least=least, batch_tokens=200)
-    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    model = Plain([tokens(t) for i, t in rows if not fold(i)], order, word_share, gram_share, least)
-    got = {r.id: r for r in out.collect()}
+    got = lmscore.score_texts(df, order=order, strengths=strengths, batch_tokens=batch).collect()
     assert len(got) == len(rows)
-    for i, t in rows:
-        w, r = tokens(t), got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i), len(w), sum(model.n[1][(x,)] > 0 for x in w), model.total)
-        assert r.base_score == pytest.approx(sum(math.log10(model.uni(x)) for x in w)) and r.score == pytest.approx(model.score(w))
+    texts = dict(rows)
+    for r in got:
+        t = tokens(texts[r.id])
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (is_out(r.id), len(t), model.total)
+        assert r.n_known == sum(model.n[(w,)] > 0 for w in t)
+        assert r.base_score == pytest.approx(sum(math.log10(model.p((), w)) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(model.score(t), rel=1e-9)
 
 
 def test_probabilities_sum_to_one():
-    vocabulary = np.array([3, 5, 9, lmscore.END], np.uint64)
-    counts = np.array([40, 30, 20, 10])
-    bigrams = np.array([0 * 4 + 1, 0 * 4 + 2, 1 * 4 + 0, 2 * 4 + 3], np.uint64)
-    trigrams = np.array([0 * 4 + 0, 2 * 4 + 1], np.uint64)  # (3 5)->3 and (5 3)->5
-    m = lmscore.Automaton(vocabulary, counts, 110, 8, [bigrams, trigrams], [np.array([12, 9, 14, 8]), np.array([6, 7])])
-    m._open()
-    for state in range(len(m.back)):
-        known = sum(10 ** m.step(state, w)[1] for w in range(4))
-        # four rare types with ten tokens between them, and one unseen
-        rare = 10 ** float(m.drain[state]) * (10 + 0.5 * 4 + 0.5) / m.norm
-        assert known + rare == pytest.approx(1.0)
+    texts = [tokens(t) for _, t in corpus(9, 30)]
+    words = sorted({w or "" for t in texts for w in t}) + ["never seen"]
+    model = Plain(texts, 3, (6.0, 3.0))
+    for context in [(), ("the",), ("the", "cat"), ("cat", "the"), ("never", "seen")]:
+        assert sum(model.p(context, w or None) for w in words) == pytest.approx(1)
+
+
+def test_automaton_follows_failure_arcs():
+    # words 0, 1, 2; the text 0 1 0 2 was seen, so that 1 0 1 is new to the state (1, 0) and falls to (0)
+    hashes = np.array([10, 20, 10, 30], np.uint64)
+    keys, ends = lmscore.gram_keys(hashes, np.array([4]), 3)
+    found, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    m = lmscore.Automaton.of(np.array([0, 1, 0, 2]), ends, number, counts, 3, 6.0, (2.0, 1.0))
+    uni = [2.5 / 6, 1.5 / 6, 1.5 / 6]
+    one_after_zero = (1 + 2 * uni[1]) / (2 + 2)
+    assert 10 ** m.score([0]) == pytest.approx(uni[0])
+    assert 10 ** m.score([0, 1]) == pytest.approx(uni[0] * one_after_zero)
+    zero_after_one = (1 + 2 * uni[0]) / (1 + 2)
+    seen = (1 + zero_after_one) / (1 + 1)
+    assert 10 ** m.score([0, 1, 0]) == pytest.approx(uni[0] * one_after_zero * seen)
+    assert 10 ** m.score([0, 1, 0, 1]) == pytest.approx(uni[0] * one_after_zero * seen * (1 / (1 + 1)) * one_after_zero)
+    assert 10 ** m.score([2, 0]) == pytest.approx(uni[2] * 2 / (1 + 2) * uni[0])
+
+
+def test_nothing_is_lost_as_the_corpus_grows(spark):
+    """A text that occurs twice scores as high among many other texts as by its own counts."""
+    twice = " ".join(f"pair{i}" for i in range(50))
+    rows = [(i, " ".join(f"w{(i * 7919 + j * 31) % 5000}" for j in range(200))) for i in range(600)]
+    rows += [(10_000, twice), (10_002, twice)]
+    got = {r.id: r for r in lmscore.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), batch_tokens=5000).collect()}
+    learned = sum(not is_out(i) for i in (10_000, 10_002))
+    assert learned
+    model = Plain([tokens(t) for i, t in rows if not is_out(i)], 3, (1000.0, 10.0))
+    assert got[10_000].score == pytest.approx(model.score(tokens(twice)))
+    assert got[10_000].score > got[10_000].base_score * 0.5
 
 
 def test_odd_input(spark):
-    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (3, "z " * 60_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as SCORE")
+    df = spark.createDataFrame([(None, None, 1, "x"), (None, "a b", 2, "y"), (3, "a b", None, "z")], "doc_id long, text string, TEXT int, Doc_ID string")
     got = lmscore.score_texts(df).collect()
-    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [1, 3, 3, 3, 60_001] and all(r.score < 0 for r in got)
+    assert len(got) == 3 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
     assert lmscore.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    # nothing to learn from: every token is unseen, at probability one of the only type there is
-    held = spark.createDataFrame([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    out = next(i for i in range(100) if is_out(i))
+    held = spark.createDataFrame([(out, "a b c"), (out, None)], "doc_id long, text string")
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in lmscore.score_texts(held).collect()} == {(0, 0, 0.0, 0.0)}
+    with pytest.raises(ValueError, match="order"):
+        lmscore.score_texts(df, order=5)
