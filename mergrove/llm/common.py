@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -27,9 +28,12 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session names none."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.  A session that names none gets a
+    temporary one if it runs within this process alone, as in tests, and is refused elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="mergrove-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -57,6 +61,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of finished shuffles go now: Spark deletes them when the driver's garbage is next collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """About how many bytes ``df`` has: Catalyst's estimate (for a file scan, its files), or 2 KB a row where it knows none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

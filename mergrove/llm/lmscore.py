@@ -15,13 +15,15 @@ answers with the totals.  The answers are the batch's own part of the automaton,
 left-to-right traversal a text then scores.  One exchange both counts and answers, a hot n-gram is one key a batch,
 and no task, driver or broadcast holds more than a batch or a partition of bounded size.
 
-Words and n-grams are known by 62 bits of a hash: n different ones share a count with a chance of about n^2 / 2^63.
+Words are known by 63 bits of a hash, and n-grams by 20 bits more than the logarithm of their number: about one in a
+million of them shares its count with another, at any size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import part_bits, parts_for, take, written
+from .common import part_bits, parts_for, release, take, written
 
 #: The end of a text is a token of its own; words have the other half of the hashes.
 END = 1 << 63
 _MASK = END - 1
-#: The low bits of a key hold its order, so that all orders are one set of keys.
-_ORDER_BITS = 2
-MOST_WORDS = 1 << _ORDER_BITS
+MOST_WORDS = 8
+#: Bits of an n-gram's key beyond the logarithm of the number of n-grams.
+SPARE_BITS = 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,16 +82,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_keys(hashes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys of all n-grams of texts laid end to end, order by order, and the places in which those of each order end."""
+def gram_keys(hashes: np.ndarray, sizes: np.ndarray, order: int, bits: int = 64) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the keys of all n-grams of texts laid end to end, and the places in which they end.
+
+    Words have keys of 64 bits, longer n-grams of ``bits``."""
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keys, ends, at = [], [], None
     for k in range(order):
-        before = np.zeros(len(hashes), np.uint64) if at is None else np.r_[np.uint64(0), at[:-1]]
+        before = np.full(len(hashes), k, np.uint64) if at is None else np.r_[np.uint64(0), at[:-1]]
         at = _mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
         ends.append(np.flatnonzero(place >= k))
-        keys.append(at[ends[-1]] & ~np.uint64(MOST_WORDS - 1) | np.uint64(k))
-    return np.concatenate(keys), ends
+        keys.append(at[ends[-1]] if not k else at[ends[-1]] >> np.uint64(64 - bits))
+    return keys, ends
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; where each is met; and the number of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -109,34 +124,55 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _requests(hashes: np.ndarray, sizes: np.ndarray, learns: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, bytes]]:
-    """For each partition a batch's distinct keys there, sorted, and how often its training texts have each."""
-    keys, ends = gram_keys(hashes, sizes, order)
+def _cuts(keys: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Where the partitions begin in sorted keys of ``width`` bits: the first ``bits`` of a key are its partition."""
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist() + [len(keys)]
+
+
+def _requests(hashes: np.ndarray, sizes: np.ndarray, learns: np.ndarray, order: int, width: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """For each partition a batch's distinct words and n-grams there, sorted by key, and how often its training texts have each."""
+    keys, ends = gram_keys(hashes, sizes, order, width)
     mine = np.repeat(learns, sizes)
-    found, at = np.unique(keys, return_inverse=True)
-    times = np.bincount(at[np.concatenate([mine[e] for e in ends])], minlength=len(found)).astype(np.uint64)
-    part = (found >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
-        yield int(part[s]), _pack(np.diff(found[s:e], prepend=np.uint64(0)), times[s:e])
+    packs = []
+    for ks, es, w in ((keys[:1], ends[:1], 64), (keys[1:], ends[1:], width)):
+        found, _, number = distinct(np.concatenate([*ks, np.zeros(0, np.uint64)]))
+        learned = np.concatenate([*(mine[e] for e in es), np.zeros(0, bool)])
+        packs.append((found, np.bincount(number[learned], minlength=len(found)).astype(np.uint64), _cuts(found, w, bits)))
+    for part in range(1 << bits):
+        arrays = [x for found, times, cut in packs for x in (np.diff(found[cut[part] : cut[part + 1]], prepend=np.uint64(0)), times[cut[part] : cut[part + 1]])]
+        if len(arrays[0]) or len(arrays[2]):
+            yield part, _pack(*arrays)
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """A partition's answers: to each batch the totals of the keys it asked for, and the number of words seen."""
+    """A partition's answers: to each batch the totals of the words and n-grams it asked for; and the number of words seen."""
     got = [_unpack(b.as_py()) for b in table["blob"]]
-    keys = [np.cumsum(k, dtype=np.uint64) for k, _ in got]
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(found), np.uint64)
-    np.add.at(total, at, np.concatenate([c for _, c in got]))
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    blobs = [_pack(total[i]) for i in np.split(at, cuts)]
-    seen = int(((found & np.uint64(MOST_WORDS - 1) == 0) & (total > 0)).sum())
+    answers, seen = [], 0
+    for low in (0, 2):
+        keys = [np.cumsum(g[low], dtype=np.uint64) for g in got]
+        found, _, number = distinct(np.concatenate(keys))
+        # exact as doubles up to 2^53
+        total = np.bincount(number, np.concatenate([g[low + 1] for g in got]), len(found)).astype(np.uint64)
+        answers.append(np.split(total[number], np.cumsum([len(k) for k in keys])[:-1]))
+        seen = int((total > 0).sum()) if low == 0 else seen
+    blobs = [_pack(w, g) for w, g in zip(*answers)]
     return pa.table({"batch": table["batch"], "part": table["part"], "blob": pa.array(blobs, pa.binary()), "v": pa.array([seen] + [0] * (len(blobs) - 1), pa.int64())})
 
 
 # --- the automaton --------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Grams:
+    """The n-grams of one order in texts laid end to end: the places in which they end, by these the number of the
+    distinct n-gram and its count in the training texts, and one index of ``ends`` for each distinct n-gram."""
+
+    ends: np.ndarray
+    number: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+
+
 class Automaton:
     """The states and arcs of the n-grams of some texts.
 
@@ -153,50 +189,36 @@ class Automaton:
         self.unknown = math.log10(0.5 / norm)
 
     @staticmethod
-    def of(codes: np.ndarray, ends: list[np.ndarray], number: np.ndarray, counts: np.ndarray, n_words: int, norm: float, strengths: Sequence[float]) -> Automaton:
-        """From texts' word numbers: ``ends`` are the places in which n-grams of each order end, ``number`` names the
-        distinct n-gram of each (order by order), ``counts`` their counts by that name."""
+    def of(codes: np.ndarray, grams: list[Grams], n_words: int, norm: float, strengths: Sequence[float]) -> Automaton:
+        """From texts' word numbers laid end to end, and their n-grams order by order."""
         out = Automaton(norm, n_words, strengths)
-        order = len(ends)
-        state_of = np.zeros(len(counts), np.int64)  # of each n-gram that is a state
+        states = 1
         smooth = np.zeros(len(codes))
-        context_state = np.zeros(len(codes), np.int64)  # the context of order k, by the place after it
+        context = np.zeros(len(codes), np.int64)  # by the place after it: the state of the context one order below
         context_count = np.zeros(len(codes))
-        shorter_state = np.zeros(len(codes), np.int64)  # of the longest seen n-gram of a lower order that ends at a place
-        low = 0
-        for k, where in enumerate(ends):
-            names = number[low : low + len(where)]
-            low += len(where)
-            c = counts[names].astype(float)
-            if k == 0:
-                p = (c + 0.5) / norm
-            else:
-                s = strengths[k - 1]
-                p = (c + s * smooth[where]) / (context_count[where] + s)
-            smooth[where] = p
-            _, first = np.unique(names, return_index=True)
-            seen = first[c[first] > 0]
-            places, kept = where[seen], names[seen]
+        shorter = np.zeros(len(codes), np.int64)  # by place: the longest state of a lower order that ends there
+        for k, g in enumerate(grams):
+            c = g.counts.astype(float)
+            p = (c + 0.5) / norm if k == 0 else (c + strengths[k - 1] * smooth[g.ends]) / (context_count[g.ends] + strengths[k - 1])
+            smooth[g.ends] = p
+            seen = np.sort(g.first[c[g.first] > 0])  # as the texts run, which is how they will be met
+            places = g.ends[seen]
             base = len(out.weight)
-            # arcs lead to the state of the n-gram, or of its suffix if no state is as long
-            if k < order - 1:
-                state_of[kept] = np.arange(len(out.back), len(out.back) + len(kept))
-                to = state_of[kept]
-                out.back += np.log10(strengths[k] / (c[seen] + strengths[k])).tolist()
-                out.fail += shorter_state[places].tolist()
-            else:
-                to = shorter_state[places]
             out.weight += np.log10(p[seen]).tolist()
-            out.to += to.tolist()
-            out.arcs.update(zip((context_state[places] * n_words + codes[places]).tolist(), range(base, base + len(kept))))
-            if k < order - 1:
-                here = np.zeros(len(codes), np.int64)
-                here[where] = state_of[names] * (c > 0)
-                number_seen = np.zeros(len(codes))
-                number_seen[where] = c
-                context_state = np.r_[0, here[:-1]]
-                context_count = np.r_[0.0, number_seen[:-1]]
-                shorter_state = np.where(here > 0, here, shorter_state)
+            out.arcs.update(zip((context[places] * n_words + codes[places]).tolist(), range(base, base + len(seen))))
+            if k == len(grams) - 1:  # arcs lead to the longest state, that of the n-gram without its first word
+                out.to += shorter[places].tolist()
+                break
+            out.to += range(states, states + len(seen))
+            out.back += np.log10(strengths[k] / (c[seen] + strengths[k])).tolist()
+            out.fail += shorter[places].tolist()
+            state_of = np.zeros(int(g.number.max(initial=-1)) + 1, np.int64)
+            state_of[g.number[seen]] = np.arange(states, states + len(seen))
+            states += len(seen)
+            here, number_seen = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+            here[g.ends], number_seen[g.ends] = state_of[g.number], c
+            context, context_count = np.r_[0, here[:-1]], np.r_[0.0, number_seen[:-1]]
+            shorter = np.where(here > 0, here, shorter)
         return out
 
     def score(self, tokens: list[int]) -> float:
@@ -219,7 +241,7 @@ class Automaton:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strengths: Sequence[float] = (1000.0, 10.0),
-                batch_tokens: int = 300_000, part_bytes: int = 4 << 20) -> DataFrame:
+                batch_tokens: int = 600_000, part_bytes: int = 4 << 20) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     Learns from the rows whose crc32(id as text) mod 5 is not 1 (null ids learn too).  ``base_score`` is the smoothed
@@ -229,6 +251,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 1 <= order <= MOST_WORDS or len(strengths) < order - 1 or any(not s > 0 for s in strengths):
         raise ValueError(f"an order from 1 to {MOST_WORDS}, and a strength above 0 for each order above 1")
+    spark = docs.sparkSession
     rows = take(docs, id=id_col, text=text_col).select("id", "text", held_out(F.col("id")).alias("held_out"))
     kind = rows.schema["id"].dataType
     parts = parts_for(docs, 16 << 20)
@@ -241,12 +264,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids, aside, size, serial = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            hashes, codes = np.unique(np.concatenate(held), return_inverse=True)
+            hashes, _, codes = distinct(np.concatenate(held))
             sizes = np.array([len(h) for h in held], np.uint64)
             learned = int(sizes[~np.array(aside)].sum())
             blob = _pack(codes.astype(np.uint64), np.diff(hashes, prepend=np.uint64(0)), sizes, np.array(aside, np.uint64))
             together = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
-            return pa.RecordBatch.from_arrays([pa.array([task + serial], pa.int64()), together, pa.array([blob], pa.binary()), pa.array([learned], pa.int64())], ["batch", "ids", "texts", "learned"])
+            return pa.RecordBatch.from_arrays([pa.array([task + serial], pa.int64()), together, pa.array([blob], pa.binary()), pa.array([learned], pa.int64()), pa.array([len(codes)], pa.int64())], ["batch", "ids", "texts", "learned", "tokens"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -260,8 +283,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield flush()
 
-    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType()), T.StructField("learned", T.LongType())])
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType()), T.StructField("learned", T.LongType()), T.StructField("tokens", T.LongType())])
     coded = written(rows.mapInArrow(code, schema), "coded")
+    total, tokens = coded.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    width = min(64, max(bits + 8, (order * tokens + 1).bit_length() + SPARE_BITS))
 
     def texts_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         codes, hashes, sizes, aside = _unpack(blob)
@@ -271,25 +296,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             for batch, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 codes, hashes, sizes, aside = texts_of(blob.as_py())
-                asked = list(_requests(hashes[codes], sizes, ~aside, order, bits))
+                asked = list(_requests(hashes[codes], sizes, ~aside, order, width, bits))
                 yield pa.RecordBatch.from_arrays([pa.array([batch] * len(asked), pa.int64()), pa.array([p for p, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], ["batch", "part", "blob"])
 
     asked = coded.select("batch", "texts").mapInArrow(ask, "batch long, part int, blob binary")
     answers = written(asked.repartition(parts, "part").groupBy("part").applyInArrow(_totals, "batch long, part int, blob binary, v long"), "answers")
-    total = coded.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
-    distinct = answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    norm = total + 0.5 * (distinct + 1)
+    del asked
+    release(spark)
+    distinct_words = answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    norm = total + 0.5 * (distinct_words + 1)
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def solve(texts: pa.Table, got: pa.Table) -> pa.Table:
         codes, hashes, sizes, aside = texts_of(texts["texts"][0].as_py())
-        n = len(hashes)
-        keys, ends = gram_keys(hashes[codes], sizes, order)
-        number = np.unique(keys, return_inverse=True)[1]
         blobs = dict(zip(got["part"].to_pylist(), got["blob"]))
-        counts = np.concatenate([_unpack(blobs[p].as_py())[0] for p in sorted(blobs)])
-        model = Automaton.of(codes, ends, number, counts, n, norm, strengths)
-        c = counts[number[: len(codes)]].astype(float)
+        counts = [np.concatenate(x) for x in zip(*(_unpack(blobs[p].as_py()) for p in sorted(blobs)))]
+        keys, ends = gram_keys(hashes[codes], sizes, order, width)
+        grams = []
+        for at, ks in enumerate((keys[:1], keys[1:])):
+            _, first, number = distinct(np.concatenate([*ks, np.zeros(0, np.uint64)]))
+            low = 0
+            for e in ends[:1] if not at else ends[1:]:
+                high = low + len(e)
+                mine = number[low:high]
+                grams.append(Grams(e, mine, counts[at][mine], first[(first >= low) & (first < high)] - low))
+                low = high
+        model = Automaton.of(codes, grams, len(hashes), norm, strengths)
+        c = grams[0].counts.astype(float)
         text = np.repeat(np.arange(len(sizes)), sizes)
         base = np.bincount(text, np.log10((c + 0.5) / norm), len(sizes))
         known = np.bincount(text, c > 0, len(sizes)).astype(np.int64)
