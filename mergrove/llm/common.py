@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +64,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the files of finished shuffles go now: Spark deletes them when the driver's garbage is next collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second finds unused
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def input_bytes(df: DataFrame) -> int:

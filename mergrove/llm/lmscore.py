@@ -52,27 +52,26 @@ def held_out(row_id, folds: int = 5, fold: int = 1):
     return F.coalesce(F.crc32(row_id.cast("string")) % folds == fold, F.lit(False))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept as met."""
+class Vocabulary(dict):
+    """Numbers of words as met, and their hashes; the end of a text is number 0."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [END]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word) & _MASK
-        return h
+        self[word] = n = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word) & _MASK)
+        return n
 
-    def of(self, text: str | None, most: int = 300_000) -> np.ndarray:
-        """The hashes of a text's tokens, its end included."""
-        if len(self) > most:
-            self.clear()
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's tokens, its end included."""
         w = words(text)
-        out = np.empty(len(w) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
-        out[-1] = END
+        out = np.zeros(len(w) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
         return out
 
 
-_HASHES = WordHashes()
-
-
 # --- n-grams by key -------------------------------------------------------------------------------------------
 
 
@@ -176,23 +175,16 @@ class Grams:
 class Automaton:
     """The states and arcs of the n-grams of some texts.
 
-    State 0 is the empty context.  A state's arcs are keyed ``state * words + word``, words numbered from 0; each has
-    a weight and a target.  ``fail`` and ``back`` are the failure arcs' targets and weights.
+    State 0 is the empty context.  A state's arcs are keyed ``state * words + word``, words numbered from 0, and sorted;
+    each has a weight and a target.  ``fail`` and ``back`` are the failure arcs' targets and weights.
     """
 
-    def __init__(self, norm: float, n_words: int, strengths: Sequence[float]):
-        self.norm, self.n_words, self.strengths = norm, n_words, strengths
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.to: list[int] = []
-        self.back, self.fail = [0.0], [0]
-        self.unknown = math.log10(0.5 / norm)
-
-    @staticmethod
-    def of(codes: np.ndarray, grams: list[Grams], n_words: int, norm: float, strengths: Sequence[float]) -> Automaton:
+    def __init__(self, codes: np.ndarray, grams: list[Grams], n_words: int, norm: float, strengths: Sequence[float]):
         """From texts' word numbers laid end to end, and their n-grams order by order."""
-        out = Automaton(norm, n_words, strengths)
+        self.n_words, self.order = n_words, len(grams)
+        self.unknown = math.log10(0.5 / norm)
         states = 1
+        keys, weights, targets, back, fail = [], [], [], [np.zeros(1)], [np.zeros(1, np.int64)]
         smooth = np.zeros(len(codes))
         context = np.zeros(len(codes), np.int64)  # by the place after it: the state of the context one order below
         context_count = np.zeros(len(codes))
@@ -201,40 +193,67 @@ class Automaton:
             c = g.counts.astype(float)
             p = (c + 0.5) / norm if k == 0 else (c + strengths[k - 1] * smooth[g.ends]) / (context_count[g.ends] + strengths[k - 1])
             smooth[g.ends] = p
-            seen = np.sort(g.first[c[g.first] > 0])  # as the texts run, which is how they will be met
+            seen = g.first[c[g.first] > 0]
             places = g.ends[seen]
-            base = len(out.weight)
-            out.weight += np.log10(p[seen]).tolist()
-            out.arcs.update(zip((context[places] * n_words + codes[places]).tolist(), range(base, base + len(seen))))
+            keys.append(context[places] * n_words + codes[places])
+            weights.append(np.log10(p[seen]))
             if k == len(grams) - 1:  # arcs lead to the longest state, that of the n-gram without its first word
-                out.to += shorter[places].tolist()
+                targets.append(shorter[places])
                 break
-            out.to += range(states, states + len(seen))
-            out.back += np.log10(strengths[k] / (c[seen] + strengths[k])).tolist()
-            out.fail += shorter[places].tolist()
+            targets.append(np.arange(states, states + len(seen)))
+            back.append(np.log10(strengths[k] / (c[seen] + strengths[k])))
+            fail.append(shorter[places])
             state_of = np.zeros(int(g.number.max(initial=-1)) + 1, np.int64)
-            state_of[g.number[seen]] = np.arange(states, states + len(seen))
+            state_of[g.number[seen]] = targets[-1]
             states += len(seen)
             here, number_seen = np.zeros(len(codes), np.int64), np.zeros(len(codes))
             here[g.ends], number_seen[g.ends] = state_of[g.number], c
             context, context_count = np.r_[0, here[:-1]], np.r_[0.0, number_seen[:-1]]
             shorter = np.where(here > 0, here, shorter)
-        return out
-
-    def score(self, tokens: list[int]) -> float:
-        """The log-probability of a token sequence: one traversal from left to right."""
-        arcs, weight, to, back, fail, n = self.arcs, self.weight, self.to, self.back, self.fail, self.n_words
-        state, total = 0, 0.0
-        for w in tokens:
-            while (arc := arcs.get(state * n + w)) is None and state:
-                total += back[state]
-                state = fail[state]
-            if arc is None:
-                total += self.unknown
-            else:
-                total += weight[arc]
-                state = to[arc]
-        return total
+        joined = np.concatenate(keys)
+        ranked = np.argsort(joined)
+        # one more than any key, so that a search always ends on some arc
+        self.keys = np.r_[joined[ranked], np.iinfo(np.int64).max]
+        self.weight, self.to = np.r_[np.concatenate(weights)[ranked], 0.0], np.r_[np.concatenate(targets)[ranked], 0]
+        self.back, self.fail = np.concatenate(back), np.concatenate(fail)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words lead from states, and at what log-probability: failure arcs until there is an arc."""
+        key = state * self.n_words + word
+        arc = np.searchsorted(self.keys, key)
+        to, paid = self.to[arc], self.weight[arc]
+        lost = np.flatnonzero(self.keys[arc] != key)
+        if len(lost):
+            at = state[lost]
+            to[lost], paid[lost] = 0, self.unknown
+            some = at > 0
+            if some.any():
+                lost, at = lost[some], at[some]
+                to[lost], further = self.step(self.fail[at], word[lost])
+                paid[lost] = self.back[at] + further
+        return to, paid
+
+    def score(self, codes: np.ndarray, sizes: np.ndarray, piece: int = 512) -> np.ndarray:
+        """The log-probabilities of texts laid end to end: each is traversed once from left to right.
+
+        Texts advance side by side, long ones in pieces.  A state is what the last ``order - 1`` words leave, so a
+        piece that begins that many words earlier, from the empty context, arrives at its own first word in the state
+        that the whole text has there.
+        """
+        pieces = np.maximum(1, -(-sizes // piece))
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        low = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * piece
+        lead = np.minimum(low, self.order - 1)
+        length = np.minimum(low + piece, sizes[text]) - low + lead
+        begin = (np.cumsum(sizes) - sizes)[text] + low - lead
+        by_length = np.argsort(-length)
+        length, begin, lead = length[by_length], begin[by_length], lead[by_length]
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        active = len(text) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0))), side="right")
+        for t, n in enumerate(active.tolist()):
+            state[:n], paid = self.step(state[:n], codes[begin[:n] + t])
+            total[:n] += paid if t >= self.order - 1 else np.where(lead[:n] <= t, paid, 0.0)
+        return np.bincount(text[by_length], total, len(sizes))
 
 
 # --- scoring --------------------------------------------------------------------------------------------------
@@ -262,9 +281,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         task = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         ids, aside, size, serial = [], [], 0, 0
+        vocabulary = Vocabulary()
 
         def flush() -> pa.RecordBatch:
-            hashes, _, codes = distinct(np.concatenate(held))
+            met = np.concatenate(held)
+            all_hashes = np.array(vocabulary.hashes, np.uint64)
+            used = np.flatnonzero(np.bincount(met, minlength=len(all_hashes)))
+            used = used[np.argsort(all_hashes[used])]
+            hashes, number = all_hashes[used], np.zeros(len(all_hashes), np.int64)
+            number[used] = np.arange(len(used))
+            codes = number[met]
             sizes = np.array([len(h) for h in held], np.uint64)
             learned = int(sizes[~np.array(aside)].sum())
             blob = _pack(codes.astype(np.uint64), np.diff(hashes, prepend=np.uint64(0)), sizes, np.array(aside, np.uint64))
@@ -273,13 +299,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for b in batches:
             for i in range(b.num_rows):
-                held.append(_HASHES.of(b.column(1)[i].as_py()))
+                held.append(vocabulary.of(b.column(1)[i].as_py()))
                 ids.append(b.column(0).slice(i, 1))
                 aside.append(b.column(2)[i].as_py())
                 size += len(held[-1])
                 if size >= batch_tokens or len(held) >= 50_000:
                     yield flush()
                     held, ids, aside, size, serial = [], [], [], 0, serial + 1
+                    if len(vocabulary) > 300_000:
+                        vocabulary = Vocabulary()
         if held:
             yield flush()
 
@@ -321,16 +349,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 mine = number[low:high]
                 grams.append(Grams(e, mine, counts[at][mine], first[(first >= low) & (first < high)] - low))
                 low = high
-        model = Automaton.of(codes, grams, len(hashes), norm, strengths)
+        scores = Automaton(codes, grams, len(hashes), norm, strengths).score(codes, sizes)
         c = grams[0].counts.astype(float)
         text = np.repeat(np.arange(len(sizes)), sizes)
         base = np.bincount(text, np.log10((c + 0.5) / norm), len(sizes))
         known = np.bincount(text, c > 0, len(sizes)).astype(np.int64)
-        scores, low, tokens = [], 0, codes.tolist()
-        for size in sizes.tolist():
-            scores.append(model.score(tokens[low : low + size]))
-            low += size
-        return pa.table([texts["ids"].combine_chunks().flatten(), pa.array(aside), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(scores, pa.float64())], names)
+        return pa.table([texts["ids"].combine_chunks().flatten(), pa.array(aside), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(scores)], names)
 
     kinds = (kind, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
     by_batch = lambda df: df.repartition(parts, "batch").groupBy("batch")

@@ -88,16 +88,34 @@ def test_automaton_follows_failure_arcs():
     for k, e in zip(keys, ends):
         found, first, number = lmscore.distinct(k)
         grams.append(lmscore.Grams(e, number, np.bincount(number)[number], first))
-    m = lmscore.Automaton.of(np.array([0, 1, 0, 2]), grams, 3, 6.0, (2.0, 1.0))
+    m = lmscore.Automaton(np.array([0, 1, 0, 2]), grams, 3, 6.0, (2.0, 1.0))
+    score = lambda tokens: float(m.score(np.array(tokens), np.array([len(tokens)]))[0])
     uni = [2.5 / 6, 1.5 / 6, 1.5 / 6]
     one_after_zero = (1 + 2 * uni[1]) / (2 + 2)
-    assert 10 ** m.score([0]) == pytest.approx(uni[0])
-    assert 10 ** m.score([0, 1]) == pytest.approx(uni[0] * one_after_zero)
+    assert 10 ** score([0]) == pytest.approx(uni[0])
+    assert 10 ** score([0, 1]) == pytest.approx(uni[0] * one_after_zero)
     zero_after_one = (1 + 2 * uni[0]) / (1 + 2)
     seen = (1 + zero_after_one) / (1 + 1)
-    assert 10 ** m.score([0, 1, 0]) == pytest.approx(uni[0] * one_after_zero * seen)
-    assert 10 ** m.score([0, 1, 0, 1]) == pytest.approx(uni[0] * one_after_zero * seen * (1 / (1 + 1)) * one_after_zero)
-    assert 10 ** m.score([2, 0]) == pytest.approx(uni[2] * 2 / (1 + 2) * uni[0])
+    assert 10 ** score([0, 1, 0]) == pytest.approx(uni[0] * one_after_zero * seen)
+    assert 10 ** score([0, 1, 0, 1]) == pytest.approx(uni[0] * one_after_zero * seen * (1 / (1 + 1)) * one_after_zero)
+    assert 10 ** score([2, 0]) == pytest.approx(uni[2] * 2 / (1 + 2) * uni[0])
+
+
+def test_pieces_of_long_texts_score_as_whole_ones():
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 700, 3, 64, 0, 129])
+    hashes = rng.integers(0, 9, sizes.sum()).astype(np.uint64)
+    keys, ends = lmscore.gram_keys(hashes, sizes, 3)
+    grams = []
+    for k, e in zip(keys, ends):
+        _, first, number = lmscore.distinct(k)
+        learned = (e > 100) & (e < 300)  # of these words alone, so that many n-grams are unseen
+        grams.append(lmscore.Grams(e, number, np.bincount(number, learned)[number], first))
+    codes = hashes.astype(np.int64)
+    m = lmscore.Automaton(codes, grams, 9, 1000.0, (5.0, 2.0))
+    whole = m.score(codes, sizes, 10**6)
+    for piece in (1, 2, 3, 7, 64):
+        assert np.allclose(m.score(codes, sizes, piece), whole)
 
 
 def test_nothing_is_lost_as_the_corpus_grows(spark):
