@@ -70,34 +70,30 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_near_vecto
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(w for words in rules.STOP_WORDS.values() for w in words))
 
 SQL = {
+    # weights are doubles, so 2^52 of them are whole numbers; all slots in one run, where the operator has segments from 8,192 blocks on
     "op2_mixing": r"""
-WITH RECURSIVE n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-f AS (SELECT greatest(1000, 4 * count(*)) AS size, count(*) AS k, sum(sqrt(n)) AS total FROM n),
-x AS (SELECT s, sqrt(n) / total * (size - k) AS exact, size FROM n, f),
-q AS (
-  SELECT s, CAST(1 + floor(exact) AS BIGINT)
-    + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, s) <= size - sum(CAST(1 + floor(exact) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS share, size
-  FROM x),
-l AS (SELECT list(s ORDER BY s) AS names, list(share ORDER BY s) AS shares, any_value(size) AS size FROM q),
+WITH RECURSIVE n AS (
+  SELECT coalesce(source, '') AS s, CAST(sqrt(count(*)) * CAST(4503599627370496 AS DOUBLE) AS HUGEINT) AS w, (count(*) + 15) // 16 AS k
+  FROM documents GROUP BY 1),
+l AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws, list(k ORDER BY s) AS ks, CAST(sum(w) AS HUGEINT) AS total FROM n),
 e AS (
-  SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(shares, lambda k: CAST(0 AS BIGINT)) AS done, shares, size FROM l
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(ws, lambda w: CAST(0 AS BIGINT)) AS done, ws, ks, total FROM l
   UNION ALL
-  SELECT t + 1, p, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), shares, size
+  SELECT t + 1, CASE WHEN best < 9000000000000000 THEN p ELSE 0 END,
+    list_transform(done, lambda d, i: CASE WHEN i = p AND best < 9000000000000000 THEN d + 1 ELSE d END), ws, ks, total
   FROM (
-    SELECT *, list_position(o, list_min(o)) AS p FROM (
-      SELECT *, list_transform(done, lambda d, i: CASE WHEN d < shares[i] AND d * size // shares[i] <= t
-        THEN ((d + 1) * size + shares[i] - 1) // shares[i] * 1000000 + i ELSE 9000000000000000 END) AS o
-      FROM e WHERE t < size))),
-w AS (SELECT names[pick] AS s, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS own FROM e, l WHERE pick > 0),
+    SELECT *, list_position(o, list_min(o)) AS p, list_min(o) AS best FROM (
+      SELECT *, list_transform(done, lambda d, i: CASE WHEN d < ks[i] AND d * total // ws[i] <= t
+        THEN CAST(((d + 1) * total + ws[i] - 1) // ws[i] * 1000000 + i AS BIGINT) ELSE 9000000000000000 END) AS o
+      FROM e WHERE list_sum(done) < list_sum(ks)))),
+r AS (SELECT names[pick] AS s, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) AS block FROM e, l WHERE pick > 0),
 d AS (
   SELECT doc_id, source, coalesce(source, '') AS s,
-    (row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1) // 16 AS j
+    (row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1) // 16 + 1 AS block
   FROM documents)
-SELECT doc_id, source, CAST(j + 1 AS BIGINT) AS block,
-  CAST(j // share * size + (j % share) * size // share AS BIGINT) AS release,
-  CAST(j // share * size + ((j % share + 1) * size + share - 1) // share AS BIGINT) AS deadline,
-  CAST(j // share * size + slot AS BIGINT) AS slot
-FROM d JOIN q USING (s) JOIN w ON w.s = d.s AND w.own = j % share""",
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST((block - 1) * total // w AS BIGINT) AS release,
+  CAST((block * total + w - 1) // w AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot
+FROM d JOIN n USING (s) JOIN r USING (s, block), l""",
     "op3_near_vectors": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
