@@ -45,13 +45,13 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), content), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float) -> DataFrame:
     """``(host, drop)``: for each host of ``pages(host, text)`` that has any, the hashes of its boilerplate lines."""
     total = pages.groupBy("host").agg(F.count("*").alias("total"))
     held = (
         pages.select("host", F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
         .groupBy("host", "line").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
+        .where(F.col("n") > 1)
     )
     return (
         held.join(total, "host").where(F.col("n") > F.lit(max_ratio) * F.col("total"))
@@ -59,10 +59,11 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     )
 
 
-def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", max_ratio: float = 0.1) -> DataFrame:
     """The rows and columns of ``docs``; from each text the boilerplate lines of its host are gone.
 
-    A line goes if at least ``min_pages`` pages of the host, and more than ``max_ratio`` of them, hold it.  Blank
+    A line goes if more than ``max_ratio`` of the host's pages hold it, and more than one: what a single page has is not
+    shared.  Lines are compared by 64 bits of a hash, within their host.  Blank
     lines and the line ends that are left stay as they are; a text without boilerplate is returned unchanged.
     Rows with a null host form one host; null texts stay null yet count as pages; repeated rows count each;
     other columns, clashing names included, pass through; an empty table gives an empty one.
@@ -70,7 +71,7 @@ def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", max_ratio
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     host, text = F.col(f"c{names.index(host_col)}"), F.col(f"c{names.index(text_col)}")
-    found = written(boilerplate(plain.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")), max_ratio, min_pages), "boilerplate")
+    found = written(boilerplate(plain.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")), max_ratio), "boilerplate")
     joined = plain.join(found, F.coalesce(host.cast("string"), F.lit("")) == found.host, "left")
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(content(x))))
     cleaned = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n"))

@@ -47,9 +47,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cleaned = linededup.line_dedup(pages.withColumn("before", F.size(linededup.lines(F.col("text")))), "host")
     left = F.size(linededup.lines(F.col("text")))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")  # noqa: E731  a null page has no lines
     return cleaned.select(
-        "page_id", "host", F.col("before").cast("long").alias("n_lines"), (F.col("before") - left).cast("long").alias("n_dropped"),
-        F.md5("text").alias("kept_md5"),
+        "page_id", "host", count(F.col("before")).alias("n_lines"), count(F.col("before") - left).alias("n_dropped"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
     )
 
 
@@ -149,7 +150,7 @@ FROM b""",
 WITH a AS (
   SELECT row_number() OVER () AS r, page_id,
     coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '') AS host,
-    regexp_replace(regexp_replace(regexp_replace(html,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
       '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'),
       '(?i)</?(?:p|div|li|ul|ol|nav|h[1-6]|br|title|article|table|tr|td|footer|header|body|html|head|section|aside)\b[^>]*>', chr(10), 'g'),
       '<[^>]*>', '', 'g') AS t0
@@ -163,7 +164,7 @@ x AS (
 y AS (SELECT *, trim(l, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS c FROM x),
 h AS (SELECT host, count(*) AS total FROM p GROUP BY host),
 k AS (SELECT host, c, count(DISTINCT r) AS n FROM y WHERE c <> '' GROUP BY host, c),
-d AS (SELECT host, c FROM k JOIN h USING (host) WHERE n >= 10 AND n > CAST(0.1 AS DOUBLE) * total),
+d AS (SELECT host, c FROM k JOIN h USING (host) WHERE n > 1 AND n > CAST(0.1 AS DOUBLE) * total),
 z AS (SELECT y.*, d.c IS NOT NULL AS gone FROM y LEFT JOIN d USING (host, c))
 SELECT page_id, host, count(*) FILTER (c <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped,
        md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_md5

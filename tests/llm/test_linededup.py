@@ -2,19 +2,20 @@
 
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
-from mergrove.llm import linededup
+from mergrove.llm import linededup, queries
 
 
-def brute(rows, ratio, least):
+def brute(rows, ratio):
     """rows: (host, text)"""
     blank = " \t\r\x0b\f"
     pages, held = Counter(), defaultdict(Counter)
     for h, t in rows:
         pages[h or ""] += 1
         held[h or ""].update({x.strip(blank) for x in (t or "").split("\n")} - {""})
-    gone = {h: {x for x, n in c.items() if n >= least and n > ratio * pages[h]} for h, c in held.items()}
+    gone = {h: {x for x, n in c.items() if n > 1 and n > ratio * pages[h]} for h, c in held.items()}
     return [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(blank) not in gone[h or ""] or not x.strip(blank)) for h, t in rows]
 
 
@@ -25,11 +26,11 @@ def test_matches_plain_version(spark):
         rows.append((host, "\n".join(["Menu ", f"body {i}", "", "  ", f"sometimes{i % 7}", "\tfoot\r", f"tail {i % 2}"])))
     rows += [("a", None), ("a", ""), ("lone", "Menu\nfoot"), ("b", "\n\n"), ("big", rows[-1][1])]
     df = spark.createDataFrame([(i, h, t, i) for i, (h, t) in enumerate(rows)], "k int, host string, text string, drop int")
-    for ratio, least in ((0.1, 3), (0.5, 2), (0.99, 1)):
-        out = linededup.line_dedup(df, "host", max_ratio=ratio, min_pages=least)
+    for ratio in (0.1, 0.5, 0.99):
+        out = linededup.line_dedup(df, "host", max_ratio=ratio)
         assert out.columns == ["k", "host", "text", "drop"]
         got = {r.k: r.text for r in out.collect()}
-        assert [got[i] for i in range(len(rows))] == brute(rows, ratio, least)
+        assert [got[i] for i in range(len(rows))] == brute(rows, ratio)
 
 
 def test_no_python_runs(spark):
@@ -53,3 +54,16 @@ def test_pages(spark):
     assert [x for x in df.first().t.split("\n") if x.strip()] == ["T", "One two&<3 ", "four", "five"]
     hosts = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", linededup.host_of(F.col("u")).alias("h")).orderBy("i").collect()
     assert [r.h for r in hosts] == ["example.com", "host.org", "h", "", "", "["]
+
+
+def test_small_sites_and_the_query(spark, tmp_path):
+    """Two of a site's three pages are over a tenth of them; a null page counts, and has no lines."""
+    page = lambda *x: "".join(f"<p>{y}</p>" for y in x)
+    rows = [(1, "http://a/1", page("menu", "one")), (2, "http://a/2", page("menu", "two")), (3, "http://a/3", page("three")), (4, "http://b/1", page("menu")), (5, "http://c/", None), (6, None, None), (6, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.page_id, r.host, r.n_lines, r.n_dropped) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, "a", 2, 1), (2, "a", 2, 1), (3, "a", 1, 0), (4, "b", 1, 0), (5, "c", 0, 0), (6, "", 0, 0), (6, "", 0, 0)]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    sql = Counter(db.execute(f"SELECT page_id, host, n_lines, n_dropped, kept_md5 FROM ({queries.SQL['op7_line_dedup']})").fetchall())
+    assert sql == Counter(tuple(r) for r in queries.op7_line_dedup(spark, str(tmp_path)).select("page_id", "host", "n_lines", "n_dropped", "kept_md5").collect())
