@@ -172,11 +172,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     if not languages or not n:
         return Model(languages or (UNDETERMINED,), idf, np.zeros((COLUMNS, max(1, len(languages)))), np.zeros(max(1, len(languages))), 1.0)
-    # a hash of the id picks about ``each`` rows a language, in one narrow pass; the exact bound is applied below
+    # a hash of id and text picks about ``each`` different rows a language, however often a row repeats; the exact bound is applied below
     each = max(1, max_fit // len(languages))
     span = 1 << 40
     chance = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(span, int(1.3 * span * each / counts[k]) + 1))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < chance)
+    hashed = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(span)).alias("h"), F.col("lang").cast("string").alias("lang"), "text")
+    picked = hashed.where(F.col("h") < chance).groupBy("h", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +188,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                  pa.array([c.astype(np.int16).tobytes() for c in cells], pa.binary()),
                  pa.array([c[i].astype(np.int32).tobytes() for (_, _, c), i in zip(got, cells)], pa.binary())], ["h", "lang", "cells", "n"])
 
-    found = picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(span)).alias("h"), F.col("lang").cast("string"), "text").mapInArrow(run, "h long, lang string, cells binary, n binary").collect()
+    found = picked.select("h", "lang", "text").mapInArrow(run, "h long, lang string, cells binary, n binary").collect()
     by_lang: dict[str, int] = {}
     x, y = [], []
     for r in sorted(found, key=lambda r: (r.h, r.lang, bytes(r.cells), bytes(r.n))):

@@ -77,7 +77,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pool: float = 0.5, ridge: float = 0.02) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, pool: float, ridge: float) -> Model:
     """Fit both classes; ``pool`` mixes in the pooled covariance, ``ridge`` a scaled identity.
 
     Without rows of a class, its Gaussian is the pooled one with a prior of half a row.
@@ -101,6 +101,27 @@ def fit(x: np.ndarray, y: np.ndarray, pool: float = 0.5, ridge: float = 0.02) ->
     return Model(centre, scale, np.array(means), np.array(whiten), np.array(const))
 
 
+#: What :func:`choose` tries.
+POOLS, RIDGES = (0.1, 0.3, 0.5, 0.7, 0.9), (0.005, 0.02, 0.08)
+
+
+def choose(x: np.ndarray, y: np.ndarray, folds: int = 5) -> tuple[float, float]:
+    """``pool`` and ``ridge`` by cross-validation over the rows given, none else: the least mean log loss on the fold left
+    out, each class weighing the same; ties go to more pooling, then to the larger ridge.  Row ``i`` is in fold ``i % folds``."""
+    fold = np.arange(len(y)) % folds
+    seen = [k for k in (0, 1) if (y == k).any()]
+    best = (np.inf, 0.0, 0.0)
+    for pool in POOLS if len(seen) == 2 and len(y) >= 2 * folds else POOLS[-1:]:
+        for ridge in RIDGES if len(y) >= 2 * folds else RIDGES[-1:]:
+            p = np.full(len(y), 0.5)
+            for f in range(folds if len(y) >= 2 * folds else 0):
+                p[fold == f] = fit(x[fold != f], y[fold != f], pool, ridge).score(x[fold == f])
+            right = np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1)
+            loss = sum(-np.log(right[y == k]).mean() for k in seen)
+            best = min(best, (round(float(loss), 12), -pool, -ridge))
+    return -best[1], -best[2]
+
+
 def held_out(row_id, folds: int = 5, fold: int = 0):
     """Whether crc32 of the id as text leaves ``fold``; a null id is never held out."""
     return F.coalesce(F.crc32(row_id.cast("string")) % folds == fold, F.lit(False))
@@ -108,21 +129,26 @@ def held_out(row_id, folds: int = 5, fold: int = 0):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_fit: int = 20_000) -> Model:
-    """Fit on at most ``max_fit`` labelled rows outside the held-out fold, those with the smallest hashes of their id."""
+    """Fit on at most ``max_fit`` labelled rows outside the held-out fold, those with the smallest hashes of their id.
+
+    How far the covariances are shrunk is chosen by cross-validation among these rows.  The driver gets their
+    statistics alone, and no more than ``max_fit`` of them, however often an id repeats.
+    """
     spark = docs.sparkSession
     marks = take(labels, id=id_col, label=label_col).where("id is not null and label is not null")
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     chosen = [(r.id, int(r.label)) for r in marks.orderBy(F.xxhash64("id"), "id").limit(max_fit).collect()]
     few = F.broadcast(spark.createDataFrame(chosen, f"id {marks.schema['id'].dataType.simpleString()}, label int"))
-    rows = take(docs, id=id_col, text=text_col).join(few, "id").select("label", "text")
+    rows = take(docs, id=id_col, text=text_col).join(few, "id").select(F.xxhash64("id").alias("h"), "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), stats], ["label", "stats"])
+            stats = pa.array([statistics(t.as_py()) for t in b.column(2)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), stats], ["h", "label", "stats"])
 
-    got = sorted(rows.mapInArrow(run, "label int, stats array<double>").collect(), key=lambda r: (r.label, r.stats))
-    return fit(np.array([r.stats for r in got]), np.array([r.label for r in got]))
+    got = rows.mapInArrow(run, "h long, label int, stats array<double>").orderBy("h", "label", "stats").limit(max_fit).collect()
+    x, y = np.array([r.stats for r in got]).reshape(-1, len(FEATURES)), np.array([r.label for r in got], int)
+    return fit(x, y, *choose(x, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +176,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **colum
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns) -> DataFrame:
-    """The rows and columns of ``docs`` whose whole text scores ``threshold`` or more."""
+    """The rows and columns of ``docs`` whose whole text scores ``threshold`` or more.
+
+    Null and empty texts are scored as empty ones; rows with a null id and repeated rows are judged like any other; other
+    columns pass through, clashing names included; without labels all scores rest on the prior alone; an empty table
+    gives an empty one.
+    """
     text_col = columns.get("text_col", "text")
     model = train(docs, labels, **columns)
     names = docs.columns

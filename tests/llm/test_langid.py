@@ -57,6 +57,19 @@ def test_frequencies_cover_everything(spark):
     assert n == 4 and (df == plain).all()
 
 
+def test_repeated_rows_are_learned_from_once(spark):
+    """A row that repeats without end does not fill the driver: it is one of the rows picked."""
+    rows = [(1, "the cat and dog", "aa")] * 3000 + [(i, "und der die nicht", "bb") for i in range(2, 40)]
+    seen = []
+    learn = langid.follow_leader
+    langid.follow_leader = lambda x, y, *a: seen.append(len(x)) or learn(x, y, *a)
+    try:
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), max_fit=4000)
+    finally:
+        langid.follow_leader = learn
+    assert model.languages == ("aa", "bb") and seen[0] <= 40
+
+
 def test_odd_input(spark):
     rows = [(1, None, "aa"), (2, "", "aa"), (3, "12 !?", "aa"), (None, "the cat", "aa"), (5, "und der", None), (6, "und die", "bb"), (6, "und die", "bb"), (7, "the dog " * 20_000, "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as LANG_PRED", "2 as h")
