@@ -7,7 +7,10 @@ import math
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +46,26 @@ def scratch(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the tables that :func:`written` has made in this process; call it when results have been saved."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that :func:`written` has made in this process, from number ``since`` on, but those of ``keep``.
+
+    Results are computed when they are asked for, so call it when they have been saved.
+    """
+    kept = {f._written for f in keep if hasattr(f, "_written")}
+    for name in _WRITTEN[since:]:
+        if name not in kept:
+            _delete(spark, name)
+            _WRITTEN.remove(name)
+
+
+def made() -> int:
+    """The number of tables made and not yet deleted."""
+    return len(_WRITTEN)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -59,7 +77,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(spark)}/mergrove/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`written` has made and nothing needs any more."""
+    _delete(df.sparkSession, df._written)
+    _WRITTEN.remove(df._written)
 
 
 def release(spark: SparkSession) -> None:
@@ -82,6 +108,38 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
     return max(least, own, math.ceil(input_bytes(df) / bytes_each))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal first ``keys`` columns (integers), from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(k)[batch.num_rows - 1] for k in range(keys)]
+        other = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            other |= batch.column(k).to_numpy(zero_copy_only=False) != last[k].as_py()
+        at = np.flatnonzero(other)
+        if len(at):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(at[-1]) + 1)])
+            held, batch = [], batch.slice(int(at[-1]) + 1)
+        elif held and any(held[-1].column(k)[held[-1].num_rows - 1] != last[k] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def run_bounds(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Where runs of equal rows begin and end."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(new)] if len(new) else [])
+
+
 def part_bits(df: DataFrame, bytes_each: int, least: int = 4, most: int = 24) -> int:
     """Logarithm of the number of packed partitions, each for about ``bytes_each`` of the input."""
     return min(most, max(least, math.ceil(math.log2(max(1, input_bytes(df) / bytes_each)))))

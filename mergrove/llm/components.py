@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,6 +22,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "links",
     )
+    first = edges
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     seen = None
     for _ in range(max_rounds):
@@ -31,11 +32,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
+        before = edges
         edges = written(
             joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b"))).distinct(),
             "links",
         )
+        if before is not first:  # ``nodes`` reads that one
+            discard(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == (state.n, state.h):
             break

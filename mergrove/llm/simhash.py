@@ -1,18 +1,21 @@
 """SimHash near-duplicates, found with BK-trees.
 
-A text's fingerprint has a bit set where more than half of its shingles' hashes have it set.  Fingerprints
-that differ in at most ``radius`` bits are linked.  The 64 bits are cut into ``radius + 2`` equal blocks; two
-linked fingerprints agree on at least two of them, so each pair of blocks keys one shard of the index.  A
-shard's tree is a BK-tree: a child hangs on the edge labelled with its distance to the parent, and a search
-follows only edges within the radius of the distance it measured.  A shard above ``tree_size`` is dealt into
-several trees; each of them is sent to every task holding that shard's queries, so no tree is unbounded and
-none is searched by texts that cannot match.
+A text's fingerprint has a bit set where more than half of its shingles' hashes have it set.  Fingerprints that differ
+in at most ``radius`` bits are linked.  A shard's tree is a BK-tree: a child hangs on the edge labelled with its distance
+to the parent, and a search follows only edges within the radius of the distance it measured.
+
+One tree over all fingerprints would have to be gathered in one place, and its search grows with their number.  So the 64
+bits are cut into ``radius + 1`` blocks, of which two linked fingerprints agree on one at least, and a shard holds those
+that agree on the first bits of a block: as many bits as make a shard about ``tree_size``, the whole block where
+fingerprints crowd.  Within a shard the tree does the search.  A shard that is still larger is dealt into several trees;
+each of them goes to every task holding that shard's queries, so no tree is unbounded and none is searched by texts that
+cannot match.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import take, written
+from .common import run_bounds, take, whole_runs, written
 from .components import components
 
 BITS, SEED = 64, 42
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's ``width``-word shingles (repeats count; no word: zero)."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's ``width``-word shingles, repeats included; a shorter text is one shingle, an empty one none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    hash_one = xxhash.xxh64_intdigest
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), 1 << 16):
-        hashes = np.array([hash_one(s, SEED) for s in shingles[at : at + (1 << 16)]], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's ``width``-word shingles (repeats count; no word: zero)."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -103,63 +112,52 @@ def _forest(pairs: Iterator[tuple[np.ndarray, int]], queries: np.ndarray, values
     return a, b
 
 
+def _block(i: int, radius: int) -> tuple[int, int]:
+    """The lowest bit of block ``i`` and its number of bits."""
+    cuts = [BITS * k // (radius + 1) for k in range(radius + 2)]
+    return cuts[i], cuts[i + 1] - cuts[i]
+
+
 def links(prints: DataFrame, radius: int = 2, tree_size: int = 2048) -> DataFrame:
     """``(a, b)``: links that span each group of the distinct fingerprints ``prints(fp)`` at ``radius`` bits or fewer."""
-    blocks = radius + 2
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in pair)) for pair in combinations(range(blocks), 2)]
-    keyed = prints.select(
-        "fp",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("block", "part"),
-    )
-    sizes = keyed.groupBy("block", "part").agg(F.count("*").alias("n"))
-    large = written(
-        sizes.where(F.col("n") > tree_size).select("block", "part", F.ceil(F.col("n") / tree_size).cast("int").alias("trees")), "shards"
-    )
-    dealt = keyed.join(large, ["block", "part"], "left").select(
-        "fp", "block", "part", F.coalesce("trees", F.lit(1)).alias("trees")
-    )
+    n = prints.count()
+    wanted = max(0, math.ceil(math.log2(max(1, n / tree_size))))
+
+    def first(i: int, bits: int | None):
+        """The first ``bits`` of block ``i`` (None: all of it)."""
+        low, size = _block(i, radius)
+        bits = size if bits is None else min(bits, size)
+        return F.shiftrightunsigned("fp", low + size - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+    each = range(radius + 1) if wanted else range(1)
+    keyed = prints.select("fp", F.posexplode(F.array(*[F.struct(first(i, wanted).alias("part"), first(i, None).alias("whole")) for i in each])).alias("block", "key"))
+    keyed = keyed.select("fp", "block", "key.part", "key.whole")
+    large = written(keyed.groupBy("block", "part").agg(F.count("*").alias("n")).where(F.col("n") > 2 * tree_size).select("block", "part", F.lit(1).alias("crowded")), "shards")
+    keyed = keyed.join(large, ["block", "part"], "left").select(
+        "fp", (F.col("block") * 2 + F.coalesce("crowded", F.lit(0))).alias("block"), F.when(F.col("crowded").isNull(), F.col("part")).otherwise(F.col("whole")).alias("part"))
+    split = keyed.where("block % 2 = 1").groupBy("block", "part").agg(F.ceil(F.count("*") / tree_size).cast("int").alias("trees")).where("trees > 1")
+    dealt = keyed.join(written(split, "trees"), ["block", "part"], "left").select("fp", "block", "part", F.coalesce("trees", F.lit(1)).alias("trees"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     # tree i is searched by the queries of chunks 0..i: each two chunks meet once
-    rows = dealt.withColumn("own", chunk).select(
-        "fp", "block", "part", "own",
-        F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"),
-    ).select("fp", "block", "part", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"), "own")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "block", "part", "hi", "lo").sortWithinPartitions("block", "part", "hi", "lo", "own")
-
-    def solve(shard: np.ndarray, own: np.ndarray, hi: int) -> tuple[list, list]:
-        trees = shard[own == hi] if own.min() != own.max() else shard
-        asks = shard[own != hi] if own.min() != own.max() else shard
-        return _forest(near(trees, asks, radius), asks.view(np.int64), trees.view(np.int64))
+    rows = dealt.withColumn("own", chunk).select("fp", "block", "part", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    rows = rows.select("block", "part", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"), "own", "fp")
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(3 * n / 200_000))
+    rows = rows.repartition(parts, "block", "part", "hi", "lo").sortWithinPartitions("block", "part", "hi", "lo", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(rows: np.ndarray) -> pa.RecordBatch | None:
+        for table in whole_runs(batches, 4):
+            *keys, own, fp = (c.to_numpy() for c in table.columns)
             a, b = [], []
-            keys = rows[1:]
-            starts = np.flatnonzero(np.r_[True, (keys[:4, 1:] != keys[:4, :-1]).any(0)])
-            for s, e in zip(starts, np.r_[starts[1:], rows.shape[1]]):
-                if e - s > 1 and not (keys[2, s] != keys[3, s] and keys[4, s] == keys[4, e - 1]):
-                    x, y = solve(rows[0, s:e].view(np.uint64), keys[4, s:e], keys[2, s])
-                    a += x
-                    b += y
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            rows = np.concatenate(held, axis=1)
-            last = np.flatnonzero((rows[1:5] != rows[1:5, -1:]).any(0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held = [rows[:, cut:]]
-            if cut and (out := flush(rows[:, :cut])) is not None:
-                yield out
-        if held and held[0].size and (out := flush(held[0])) is not None:
-            yield out
+            for s, e in run_bounds(keys):
+                if e - s == 1 or keys[2][s] != keys[3][s] and own[s] == own[e - 1]:
+                    continue  # alone, or one chunk without the other
+                mine, prints = own[s:e], fp[s:e].view(np.uint64)
+                tree, ask = (prints, prints) if keys[2][s] == keys[3][s] else (prints[mine == keys[2][s]], prints[mine != keys[2][s]])
+                x, y = _forest(near(tree, ask, radius), ask.view(np.int64), tree.view(np.int64))
+                a += x
+                b += y
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").where("a <> b")
 
@@ -183,32 +181,3 @@ def near_duplicates(
     return marked.join(named, marked.fp == named.print).select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def _with_print(docs: DataFrame, text_at: int, width: int) -> DataFrame:
-    """``docs`` with the fingerprint as a last column ``fp``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(text_at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "fp"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, **options) -> DataFrame:
-    """The rows and columns of ``docs``, one row of each group of near-duplicates: the one with its smallest id.
-
-    Rows are known by their ids; where ids repeat, by id and fingerprint, and of equal ones one stays.  Rows with a
-    null id cannot be named by a group and stay.
-    """
-    names = docs.columns
-    groups = written(near_duplicates(docs, id_col, text_col, width, **options).where("id is not null"), "groups")
-    first = groups.where(F.col("id") == F.col("component_id")).select("id", F.conv("fingerprint", 16, -10).cast("long").alias("print"))
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    own = f"c{names.index(id_col)}"
-    if groups.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] in (None, 1):
-        return plain.join(first, F.col(own) == F.col("id"), "left_semi").union(plain.where(F.col(own).isNull())).toDF(*names)
-    plain = _with_print(plain, names.index(text_col), width)
-    kept = plain.join(first, (F.col(own) == F.col("id")) & (F.col("fp") == F.col("print")), "left_semi").dropDuplicates([own, "fp"])
-    return kept.union(plain.where(F.col(own).isNull())).drop("fp").toDF(*names)

@@ -8,9 +8,9 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from mergrove.llm import quality
+from mergrove.llm import common, quality
 from tests.llm.test_linededup import brute as plain_lines
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 def stages(spark):
     """What each stage returns, in turn."""
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
-    folder = corpus_pipeline.scratch(spark)
+    folder = common.scratch(spark)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = f"{folder}/test-{os.getpid()}-{i}"
         stage(spark, docs, SF).write.mode("overwrite").parquet(path)
@@ -51,14 +51,13 @@ def test_quality_stage(spark, stages):
 
 def test_line_stage(stages):
     before = rows(stages[0])
-    want = plain_lines([(r["source"], r["text"]) for r in before], 0.1, 10)
+    want = plain_lines([(r["source"], r["text"]) for r in before], 0.1)
     assert Counter((r["doc_id"], r["text"]) for r in rows(stages[1])) == Counter((r["doc_id"], t) for r, t in zip(before, want))
 
 
 def test_near_stage(stages):
     before = rows(stages[1])
-    group = brute_components({r["doc_id"]: brute_print(r["text"]) for r in before})
-    assert {r["doc_id"] for r in rows(stages[2])} == {d for d, c in group.items() if d == c}
+    assert {r["doc_id"] for r in rows(stages[2])} == brute_kept([(r["doc_id"], r["text"]) for r in before])
     text = {r["doc_id"]: r["text"] for r in before}
     assert all(r["text"] == text[r["doc_id"]] for r in rows(stages[2]))
 
@@ -90,13 +89,25 @@ def test_run_gives_the_last_stage(spark, stages):
 
 
 def test_stages_on_odd_input(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(None, "a b", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word the of and. " * 9000, "en", "s", 1)], schema)
-    for docs in (odd, odd.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() <= docs.count(), name
-            assert docs.count() or not out.count()
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, and columns that clash with a stage's own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Text int, DOC_ID int, file int, position int, fp int, node int, c1 int, slot int"
+    long = "word the of and. " * 9000
+    body = [(None, "a b", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (4, long, None, "t", None), (None, None, None, None, None)]
+    odd = spark.createDataFrame([(*r, *range(8)) for r in body], schema)
+    good = {"quality classifier": None, "line dedup": 7, "simhash near-dedup": 4, "mixing": 7, "sentencepiece": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        found = [tuple(r) for r in out.collect()]
+        if name == "sentencepiece":
+            texts = dict(zip([str(r[0]) for r in body], [r[1] for r in body]))
+            assert all((r[3] > 0) == bool(texts[str(r[0])]) for r in found if r[0] is not None) and all(r[6] and r[7] for r in found)
+        else:
+            assert out.columns == odd.columns and all(r[5:] == tuple(range(8)) for r in found)
+            assert not {r[:2] for r in found} - {r[:2] for r in body} or name == "line dedup"
+        assert good[name] is None or len(found) == good[name], name
+        if name == "simhash near-dedup":  # null and empty are one group, the two long texts another; null ids stay
+            assert Counter(str(r[0]) for r in found) == {"None": 2, "1": 1, "3": 1}
+        assert stage(spark, odd.limit(0), SF).count() == 0
 
 
 def test_import_guard_stands_alone():

@@ -81,17 +81,6 @@ def test_odd_input(spark):
     assert sorted((str(r.id), r.component_id) for r in got.collect()) == [("4", 4), ("4", 4), ("7", 7), ("9", 9), ("None", 4)]
 
 
-def test_keep_one(spark):
-    texts = ["a b c d e f", "a b c d e f", "x y z u v", "x y z u v", "lone text here"]
-    rows = [(5, texts[0]), (3, texts[1]), (9, texts[2]), (None, texts[3]), (7, texts[4]), (3, texts[1]), (9, "quite different words in here")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
-    got = sorted(map(str, ((r.doc_id, r.text) for r in simhash.keep_one(df).collect())))
-    assert simhash.keep_one(df).columns == df.columns
-    assert got == sorted(map(str, [(3, texts[0]), (9, texts[2]), (None, texts[3]), (7, texts[4]), (9, "quite different words in here")]))
-    plain = simhash.keep_one(df.where("doc_id in (5, 7, 9)").dropDuplicates(["doc_id"]))
-    assert plain.count() == 3 and simhash.keep_one(df.limit(0)).count() == 0
-
-
 def test_tables_are_deleted(spark):
     from mergrove.llm import common
 

@@ -1,10 +1,10 @@
-"""Near-duplicates by shingle sets: against all pairs, and planted copies through the pipeline's stage."""
+"""Near-duplicates by SimHash and shingle sets: against all pairs, and planted copies through the pipeline's stage."""
 
 import random
 import re
 
 import corpus_pipeline
-from mergrove.llm import shinglesets
+from mergrove.llm import similar
 
 SCHEMA = "doc_id long, text string"
 
@@ -54,14 +54,14 @@ def test_matches_all_pairs(spark):
     rows += [(i + 1000, t) for i, t in enumerate([None, "", " \n", "One two", "ONE  two", "one two three four five"])]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     for similarity in (0.8, 0.95):
-        got = [r.doc_id for r in shinglesets.keep_one(df, similarity=similarity).collect()]
+        got = [r.doc_id for r in similar.keep_one(df, similarity=similarity).collect()]
         assert sorted(got) == sorted(brute_kept(rows, similarity=similarity))
 
 
 def test_order_of_shingles_changes_nothing(spark):
     rows = planted(random.Random(4), 20, 4, lambda r: 80)
     df = spark.createDataFrame(rows, SCHEMA)
-    none, all_of_it = ({r.doc_id for r in shinglesets.keep_one(df, sample_bytes=n).collect()} for n in (1, 1 << 30))
+    none, all_of_it = ({r.doc_id for r in similar.keep_one(df, sample_bytes=n).collect()} for n in (1, 1 << 30))
     assert none == all_of_it == brute_kept(rows)
 
 
@@ -81,7 +81,7 @@ def test_ids_null_and_repeated(spark):
     texts = ["a b c d e f", "x y z u v"]
     rows = [(5, texts[0]), (3, texts[0]), (9, texts[1]), (None, texts[1]), (3, texts[0]), (9, "quite different words in here")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
-    out = shinglesets.keep_one(df)
+    out = similar.keep_one(df)
     assert out.columns == df.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(3, texts[0]), (9, texts[1]), (None, texts[1]), (9, "quite different words in here")]))
-    assert shinglesets.keep_one(df.limit(0)).count() == 0
+    assert similar.keep_one(df.limit(0)).count() == 0
