@@ -2,20 +2,19 @@
 
 A suffix starts at each word.  Two suffixes whose first ``window`` words agree meet below a node at least that deep
 of the suffix tree, so the tree's deep internal nodes are the repeats, and a stretch of neighbouring suffixes below
-such nodes is a maximal repeat.  Edges are labelled by hashes of their words and the tree is held in its sorted form
-(equal paths side by side), which numpy sorts and compares by the million.
+such nodes is a maximal repeat.
 
 Which suffixes go where:
-  1. Of every ``window`` words the smallest-hashed run of ``ANCHOR`` words is the anchor.  It depends on the words
-     alone, so equal windows have equal anchors; about one word in fifteen begins one.  Only suffixes around an anchor
-     that occurs twice can be below a deep node.  This is exact: no repeat is missed.
-  2. Those suffixes are dealt by a prefix as long as it takes to fit memory: the path down to the deep node itself,
-     which keeps equal suffixes together and splits common passages into as many groups as they have words.  Copies
-     within a batch go as one, with their number.
+  1. Of a suffix's first ``window`` words the smallest-hashed run of ``ANCHOR`` words is its anchor.  It depends on the
+     words alone, so suffixes that agree have equal anchors; about one word in fifteen begins one.  Only suffixes whose
+     anchor occurs twice can be below a deep node.  Hashes decide here what to leave out, which loses no repeat.
+  2. Suffixes are dealt by their anchor.  Neighbours mostly share it, so a stretch of them travels as one, in plain words.
+     Where an anchor has more than ``crowd`` occurrences, as in a passage of very many documents, its suffixes are dealt
+     by all of their first ``window`` words instead, equal ones of a batch as one.
+  3. Each group grows its trees.  All suffixes begin in one group; those that agree on a prefix are split by the next
+     words, and the prefix doubles, until a suffix is alone or ``window`` deep.  Words are compared themselves: numbers
+     stand for them that only the group gives out.  What is still together at that depth is below a deep node.
 Everything that moves is packed by partition and batch; a group's memory does not depend on the input.
-
-A path is known by 64 bits, so two different windows are taken for equal with a chance of (number of candidate
-suffixes)^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import part_bits, take, written
+from .common import part_bits, parts_for, release, take, written
 
 ANCHOR = 8
 #: In place of a partition: places that a batch itself has found repeated.
@@ -159,49 +158,123 @@ def _by_part(paths: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[s]), order[s:e]
 
 
-def leaves(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The inner nodes of a sorted group of suffix paths: where each begins, and its number of leaves."""
-    starts = np.flatnonzero(np.r_[True, paths[1:] != paths[:-1]]) if len(paths) else np.zeros(0, int)
-    return starts, np.diff(np.r_[starts, len(paths)])
+def _starts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key begins, and how often it is there."""
+    starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, int)
+    return starts, np.diff(np.r_[starts, len(sorted_keys)])
 
 
-def _ask(paths: np.ndarray, places: np.ndarray, bits: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
-    """Requests by partition, each path once with its number, and the places that are repeated within the batch.
+def _ask(keys: np.ndarray, places: np.ndarray, bits: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """Requests by partition, each anchor once with its number, and the places of those that are repeated within the batch.
 
-    A request has the places only of paths that are single here: the answer needs no others.
+    A request has the places only of anchors that are single here: the answer needs no others.
     """
     asked, repeated = [], [np.zeros(0, np.int64)]
-    for part, index in _by_part(paths, bits):
-        at, number = leaves(paths[index])
-        often = np.repeat(number > 1, number)
-        repeated.append(places[index[often]])
-        single = np.repeat(number == 1, number)
-        keys = paths[index[at]]
-        first = np.r_[keys[number == 1], keys[number > 1]]
-        asked.append((part, _pack(first, places[index[single]].astype(np.uint32))))
+    for part, index in _by_part(keys, bits):
+        at, number = _starts(keys[index])
+        repeated.append(places[index[np.repeat(number > 1, number)]])
+        mine = keys[index[at]]
+        several = number > 1
+        asked.append((part, _pack(np.r_[mine[~several], mine[several]], places[index[np.repeat(~several, number)]].astype(np.uint32), number[several].astype(np.uint32))))
     return asked, np.concatenate(repeated)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For a partition: the places of paths that another batch has too."""
-    got = [_unpack(b.as_py(), np.uint64, np.uint32) for b in table["blob"]]
-    everything = np.sort(np.concatenate([k for k, _ in got]))
-    at, number = leaves(everything)
-    deep = everything[at[number > 1]]
+def _answer(table: pa.Table, crowd: int) -> pa.Table:
+    """For a partition: to each batch the places of anchors that another batch has too, and those anchors that are crowded."""
+    got = [_unpack(b.as_py(), np.uint64, np.uint32, np.uint32) for b in table["blob"]]
+    keys = np.concatenate([k for k, _, _ in got])
+    numbers = np.concatenate([np.r_[np.ones(len(p), np.int64), n] for _, p, n in got])
+    order = np.argsort(keys)
+    at, _ = _starts(keys[order])
+    distinct, total = keys[order][at], np.add.reduceat(numbers[order], at) if len(at) else numbers[:0]
     batches, out = [], []
-    for batch, (keys, places) in zip(table["batch"].to_pylist(), got):
-        single = keys[: len(places)]
-        where = np.minimum(np.searchsorted(deep, single), max(0, len(deep) - 1))
-        hit = places[deep[where] == single] if len(deep) else places[:0]
-        if len(hit):
+    for batch, (mine, places, _) in zip(table["batch"].to_pylist(), got):
+        here = total[np.searchsorted(distinct, mine)]
+        again, crowded = places[here[: len(places)] > 1], np.sort(mine[here > crowd])
+        if len(again) or len(crowded):
             batches.append(batch)
-            out.append(_pack(hit))
+            out.append(_pack(again, crowded))
     return pa.table({"batch": pa.array(batches, pa.int64()), "blob": pa.array(out, pa.binary())})
 
 
+class Numbers(dict):
+    """A number for each word, as met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def grow(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Which of the suffixes at ``starts`` share their first ``window`` words with another of them.
+
+    ``words`` are numbered; ``node[i]`` names the inner node that the suffix at ``i`` is below, so far, or the leaf that it
+    is alone in.  Only suffixes that are not alone go on to a prefix of twice the length.
+    """
+    n = len(words)
+    node, depth, free = words.astype(np.int64), 1, int(words.max(initial=-1)) + 1
+    going = np.arange(n)
+
+    def split(at: np.ndarray, step: int, free: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The nodes of the suffixes ``at``, split by the node ``step`` words on, and which are not alone in theirs."""
+        on = np.where(at + step < n, node[np.minimum(at + step, n - 1)], -1)
+        order = np.lexsort((on, node[at]))
+        first, second = node[at][order], on[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        number = np.cumsum(new) - 1
+        out, many = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        out[order], many[order] = free + number, np.bincount(number)[number] > 1 if len(at) else False
+        return out, many, free + int(new.sum())
+
+    while 2 * depth <= window and len(going):
+        named, many, free = split(going, depth, free)
+        node[going] = named
+        going, depth = going[many], 2 * depth
+    if not len(starts):
+        return np.zeros(0, bool)
+    if depth == window:  # the nodes are as deep as asked for
+        number = np.unique(node[starts], return_inverse=True)[1]
+        return np.bincount(number)[number] > 1
+    return split(starts, window - depth, free)[1]
+
+
+def _trees(table: pa.Table, window: int) -> pa.Table:
+    """For a partition: to each batch the starts of those of its windows that are below a deep node."""
+    numbers, codes, sizes, owners, firsts = Numbers(), [], [], [], []
+    for i, blob in enumerate(table["blob"]):
+        places, text = _unpack(blob.as_py(), np.uint32, np.uint8)
+        stretches = text.tobytes().split(b"\n")
+        sizes += [x.count(b" ") + 1 for x in stretches]
+        owners += [i] * len(stretches)
+        firsts += [*places.tolist(), *[-1] * (len(stretches) - len(places))]
+        codes.append(np.fromiter(map(numbers.__getitem__, b" ".join(stretches).split(b" ")), np.int64))
+    size = np.array(sizes, np.int64)
+    windows = size - window + 1
+    offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    deep = grow(np.concatenate(codes), np.repeat(np.cumsum(size) - size, windows) + offset, window)
+    first = np.repeat(np.array(firsts, np.int64), windows)
+    owner = np.repeat(np.array(owners, np.int64), windows)[deep & (first >= 0)]
+    place = (first + offset)[deep & (first >= 0)]
+    batches, out = [], []
+    at, number = _starts(owner)
+    for s, k in zip(at.tolist(), number.tolist()):
+        batches.append(table["batch"][int(owner[s])].as_py())
+        out.append(_pack(place[s : s + k].astype(np.uint32)))
+    return pa.table({"batch": pa.array(batches, pa.int64()), "blob": pa.array(out, pa.binary())})
+
+
+def _anchors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch: the places of its repeated anchors, and the anchors that are crowded."""
+    got = [_unpack(b.as_py(), np.uint32, np.uint64) for b in table["blob"]]
+    places = np.concatenate([p for p, _ in got]) if got else np.zeros(0, np.uint32)
+    crowded = np.concatenate([c for _, c in got]) if got else np.zeros(0, np.uint64)
+    return np.sort(places).astype(np.int64), np.sort(crowded)
+
+
 def _places(table: pa.Table) -> np.ndarray:
     found = [_unpack(b.as_py(), np.uint32)[0] for b in table["blob"]]
-    return np.sort(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def _zip(text: bytes) -> bytes:
@@ -219,7 +292,7 @@ def _apart(blob: bytes) -> tuple[list[int], list[list[bytes]]]:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, texts: bool = False,
-                    batch_words: int = 700_000, part_bytes: int = 16 << 20) -> DataFrame:
+                    batch_words: int = 700_000, part_bytes: int = 8 << 20, crowd: int = 8192) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256, spans)`` for every row, and ``kept_text`` if ``texts``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Removed is each word in a run of ``window`` words that starts anywhere else too,
@@ -229,9 +302,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < ANCHOR:
         raise ValueError(f"a window has at least {ANCHOR} words")
+    spark = docs.sparkSession
     rows = take(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType
-    bits = part_bits(docs, part_bytes)
+    bits = part_bits(docs, part_bytes, least=6)
     names = ["batch", "part", "blob", "row", "id", "n_words", "sha", "words"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), kind, T.LongType(), T.StringType(), T.BinaryType()))])
 
@@ -246,7 +320,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             batch = Batch([w for w in held if len(w) >= window], window)
             places = batch.anchors()
             asked, own = _ask(batch.grams[places], places, bits)
-            asked += [(OWN, _pack(own.astype(np.uint32)))] if len(own) else []
+            asked += [(OWN, _pack(own.astype(np.uint32), np.zeros(0, np.uint64)))] if len(own) else []
             rows = [i for i, w in enumerate(held) if len(w) >= window]
             asked += [(TEXTS, _together(np.array(rows), [held[i] for i in rows]))] if rows else []
             n, m = len(held), len(asked)
@@ -275,22 +349,55 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     table = written(rows.mapInArrow(first, schema), "suffixes")
-    anchors = _resolve(table)
+    parts = parts_for(docs, part_bytes)
+    dealt = lambda df, *keys: df.repartition(parts, *keys)
+    asked = dealt(table.where("part >= 0").select("part", "batch", "blob"), "part").groupBy("part").applyInArrow(lambda t: _answer(t, crowd), "batch long, blob binary")
+    anchors = asked.union(table.where(F.col("part") == OWN).select("batch", "blob"))
     long_texts = table.where(F.col("part") == TEXTS).select("batch", "blob")
 
     def second(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """Requests for the suffixes around repeated anchors."""
+        """The stretches of suffixes around repeated anchors, in words, each once."""
         asked: list[tuple[int, bytes]] = []
         if texts.num_rows and found.num_rows:
-            batch = Batch(_apart(texts["blob"][0].as_py())[1], window)
-            starts = batch.candidates(_places(found))
-            asked, own = _ask(runs(batch.hashes, window)[starts], starts, bits)
-            asked += [(OWN, _pack(own.astype(np.uint32)))] if len(own) else []
+            held = _apart(texts["blob"][0].as_py())[1]
+            batch = Batch(held, window)
+            places, crowded = _anchors(found)
+            starts = batch.candidates(places)
+            low = batch.low[starts]
+            apart = np.isin(low, crowded)
+            new = np.ones(len(starts), bool)
+            new[1:] = (starts[1:] != starts[:-1] + 1) | (low[1:] != low[:-1]) | apart[1:]
+            begin = np.flatnonzero(new)
+            count = np.diff(np.r_[begin, len(starts)])
+            key = low[begin]
+            alone = apart[begin]
+            if alone.any():
+                key = np.where(alone, runs(batch.hashes, window)[starts[begin]], key)
+            words = [w for t in held for w in t]
+            by_part: dict[int, dict[bytes, list[int]]] = {}
+            part = (key * np.uint64(_BASE) >> np.uint64(64 - bits)).astype(np.int64).tolist()
+            for p, s, k in zip(part, starts[begin].tolist(), count.tolist()):
+                by_part.setdefault(p, {}).setdefault(b" ".join(words[s : s + k + window - 1]), []).append(s)
+            own = [np.zeros(0, np.int64)]
+            for p, stretches in by_part.items():
+                single = [(x, at[0]) for x, at in stretches.items() if len(at) == 1]
+                several = [(x, at) for x, at in stretches.items() if len(at) > 1]
+                own += [np.arange(s, s + x.count(b" ") + 2 - window) for x, at in several for s in at]
+                text = b"\n".join([x for x, _ in single] + [x for x, _ in several])
+                asked.append((p, _pack(np.array([s for _, s in single], np.uint32), np.frombuffer(text, np.uint8), level=3)))
+            repeated = np.concatenate(own)
+            asked += [(OWN, _pack(repeated.astype(np.uint32)))] if len(repeated) else []
         batch_id = [texts["batch"][0].as_py()] * len(asked) if asked else []
         return pa.table({"batch": pa.array(batch_id, pa.int64()), "part": pa.array([p for p, _ in asked], pa.int32()), "blob": pa.array([b for _, b in asked], pa.binary())})
 
-    deep = written(long_texts.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(second, "batch long, part int, blob binary"), "deep")
-    repeats = _resolve(deep)
+    by_batch = lambda df: dealt(df, "batch").groupBy("batch")
+    deep = written(by_batch(long_texts).cogroup(by_batch(anchors)).applyInArrow(second, "batch long, part int, blob binary"), "stretches")
+    del asked, anchors
+    release(spark)
+    grown = dealt(deep.where("part >= 0").select("part", "batch", "blob"), "part").groupBy("part").applyInArrow(lambda t: _trees(t, window), "batch long, blob binary")
+    repeats = written(grown.union(deep.where(F.col("part") == OWN).select("batch", "blob")), "repeats")
+    del grown
+    release(spark)
 
     def third(texts: pa.Table, found: pa.Table) -> pa.Table:
         """The words to remove from each text."""
@@ -310,7 +417,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["b2", "r2", "removed", "sha2", "spans", "kept"])
 
     with_texts = texts
-    removed = long_texts.groupBy("batch").cogroup(repeats.groupBy("batch")).applyInArrow(
+    removed = by_batch(long_texts).cogroup(by_batch(repeats)).applyInArrow(
         third, "b2 long, r2 int, removed long, sha2 string, spans array<struct<start:long,end:long>>, kept binary")
     all_texts = table.where(F.col("part").isNull()).select("batch", "row", "id", "n_words", "sha", *(["words"] if texts else []))
     joined = all_texts.join(removed, (F.col("batch") == F.col("b2")) & (F.col("row") == F.col("r2")), "left")
@@ -326,10 +433,3 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*b.columns[:5], text], b.schema.names)
 
     return plain.mapInArrow(unzip, T.StructType([*plain.schema.fields[:5], T.StructField("kept_text", T.StringType())]))
-
-
-def _resolve(table: DataFrame) -> DataFrame:
-    """``(batch, blob)``: places whose path is repeated, from the answers of the partitions and from the batches themselves."""
-    asked = table.where("part >= 0").select("part", "batch", "blob")
-    own = table.where(F.col("part") == OWN).select("batch", "blob")
-    return asked.groupBy("part").applyInArrow(_answer, "batch long, blob binary").union(own)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from mergrove.llm import substrings
@@ -50,6 +51,37 @@ def test_matches_plain_version(spark, seed, window, batch):
     assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in digest) == sorted(w[:4] for w in want)
 
 
+def test_crowded_anchors(spark):
+    """Anchors of many occurrences: their suffixes are dealt one by one, and nothing changes."""
+    rows = corpus(6, 12) + [(200 + i, f"a{i} b{i} " + "the same long passage of words that very many of the documents have in the midst of them " + f"c{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(w[:4] for w in brute(rows, 12))
+    for crowd, batch in ((1, 100), (3, 10**6), (40, 300)):
+        got = substrings.substring_dedup(df, window=12, batch_words=batch, crowd=crowd).collect()
+        assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_patterns_that_weaken_polynomial_hashes(spark):
+    """Thue-Morse words of two letters and their complements: polynomials modulo a power of two tell them apart badly."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    rows = [(0, " ".join("ab"[b] for b in bits)), (1, " ".join("ba"[b] for b in bits)), (2, " ".join("xy"[b] for b in bits[:2048])), (3, " ".join("xy"[b] for b in bits[1024:3000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for window in (35, 64):
+        got = substrings.substring_dedup(df, window=window, batch_words=1).collect()
+        assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(w[:4] for w in brute(rows, window))
+
+
+@pytest.mark.parametrize("window", [8, 9, 16, 35])
+def test_trees_compare_words_not_hashes(window):
+    rng = np.random.default_rng(window)
+    words = rng.integers(0, 2, 4000)
+    words[500:600] = words[3000:3100]
+    starts = np.flatnonzero(rng.random(4000 - window) < 0.7)
+    seen = Counter(tuple(words[s : s + window]) for s in starts)
+    assert substrings.grow(words, starts, window).tolist() == [seen[tuple(words[s : s + window])] > 1 for s in starts]
+    assert substrings.grow(words[:0], starts[:0], window).tolist() == []
+
+
 def test_repeated_rows_nulls_and_clashes(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (1, text), (None, "a b"), (2, None), (3, "y " * 60_000)]
