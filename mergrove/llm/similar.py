@@ -1,7 +1,7 @@
 """Near-duplicate texts: candidates by SimHash and BK-trees, decided by the Jaccard similarity of their shingle sets.
 
 Similar texts have fingerprints some way apart: at a similarity of exactly 0.8 each bit differs with a chance of 0.15, so
-that about ten of 64 do, and more than 22 in 3 of 100,000 cases (two unrelated texts: within 22 in one case of 100).  No blocks of
+that about ten of 64 do, and more than 20 in 3 of 10,000 cases (of texts unlike each other: no more than 20 in 2 of 1,000).  No blocks of
 bits are then both short enough to agree on and long enough to tell texts apart, so texts are dealt to shards by what they
 share.  In any fixed order of all shingles, two sets that similar have one in common among the first
 ``n - ceil(similarity * n) + 1`` of each; each such shingle is a shard.  Shingles that a sample finds common come last in
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, parts_for, release, run_bounds, take, whole_runs, written
+from .common import discard, input_bytes, parts_for, release, run_bounds, take, whole_runs, written
 from .components import components
 from .simhash import SEED, majority, near, shingle_hashes
 
@@ -91,28 +91,34 @@ def _near_pairs(prints: np.ndarray, first: np.ndarray | None, radius: int) -> It
         yield ask[asked], int(tree[k])
 
 
-def candidates(sets: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``(a, b)``: a spanning forest of each shard's near fingerprints, from ``sets(node, fp, keys, trees)``."""
-    entries = sets.select("node", "fp", F.posexplode("keys").alias("at", "key"), "trees")
-    entries = entries.select("key", F.get("trees", F.col("at")).cast("int").alias("trees"), "node", "fp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+def _fit(a, b, similarity: Fraction):
+    """Whether sets of these sizes can be similar."""
+    return np.minimum(a, b) * similarity.denominator >= np.maximum(a, b) * similarity.numerator
+
+
+def candidates(sets: DataFrame, similarity: Fraction, radius: int, parts: int) -> DataFrame:
+    """``(a, b)``: a spanning forest of each shard's near fingerprints of like sizes, from ``sets(node, fp, n, keys, trees)``."""
+    entries = sets.select("node", "fp", "n", F.posexplode("keys").alias("at", "key"), "trees")
+    entries = entries.select("key", F.get("trees", F.col("at")).cast("int").alias("trees"), "node", "fp", "n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
     # chunk c meets chunks 0..c: each two meet once
-    dealt = entries.select("key", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"), "own", "node", "fp")
-    rows = dealt.select("key", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"), "own", "node", "fp")
+    dealt = entries.select("key", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"), "own", "node", "fp", "n")
+    rows = dealt.select("key", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"), "own", "node", "fp", "n")
     rows = rows.repartition(parts, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, 3):
-            key, hi, lo, own, names, fp = (c.to_numpy() for c in table.columns)
+            key, hi, lo, own, names, fp, size = (c.to_numpy() for c in table.columns)
+            size = size.astype(np.int64)
             prints, a, b = fp.view(np.uint64), [], []
             for s, e in run_bounds([key, hi, lo]):
                 if e - s == 2 and hi[s] == lo[s]:
-                    if names[s] != names[s + 1] and int(prints[s] ^ prints[s + 1]).bit_count() <= radius:
+                    if names[s] != names[s + 1] and _fit(size[s], size[s + 1], similarity) and int(prints[s] ^ prints[s + 1]).bit_count() <= radius:
                         a.append(int(names[s]))
                         b.append(int(names[s + 1]))
                 elif e - s > 1:
                     groups, mine = Union(), names[s:e].tolist()
                     for asked, k in _near_pairs(prints[s:e], None if hi[s] == lo[s] else own[s:e] == hi[s], radius):
-                        for other in asked.tolist():
+                        for other in asked[_fit(size[s + asked], size[s + k], similarity)].tolist():
                             if groups.join(other, k):
                                 a.append(mine[other])
                                 b.append(mine[k])
@@ -144,7 +150,7 @@ def verified(sets: DataFrame, similarity: Fraction, radius: int, parts: int, chu
                 for asked, k in _near_pairs(fp[s:e].view(np.uint64), None if hi[s] == lo[s] else own[s:e] == hi[s], radius):
                     whole = flat[ends[s + k] : ends[s + k + 1]]
                     n = size[s + k]
-                    fits = asked[(np.minimum(size[s + asked], n) * den >= np.maximum(size[s + asked], n) * num) & (asked != k)]
+                    fits = asked[_fit(size[s + asked], n, similarity) & (asked != k)]
                     for other in fits.tolist():
                         if groups.root(other) == groups.root(k):
                             continue
@@ -161,7 +167,7 @@ def verified(sets: DataFrame, similarity: Fraction, radius: int, parts: int, chu
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 22,
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20,
                 tree_size: int = 2048, sample_bytes: int = 8 << 20, chunk_shingles: int = 1 << 20) -> DataFrame:
     """``(id, node, rep, component)`` for every row whose id is not null: its shingle set, and the group that links reach.
 
@@ -183,7 +189,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, expected = shared.value
         for b in _small(batches):
-            names, prints, keys, trees = [], [], [], []
+            names, prints, sizes, keys, trees = [], [], [], [], []
             for t in b.column(1):
                 found = shingles(t.as_py(), width)
                 n = len(found)
@@ -193,18 +199,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 many = np.ones(n, np.int16)
                 many[late] = np.minimum(np.ceil(expected[at[late]] / tree_size), 1000)
                 names.append(node(found))
+                sizes.append(n)
                 prints.append(np.uint64(majority(found)).view(np.int64))
                 keys.append(np.r_[found[~late], found[late]][:wanted].view(np.int64))
                 trees.append(np.r_[many[~late], many[late]][:wanted])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(np.array(prints, np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(trees, pa.list_(pa.int16()))], list(schema.names))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(np.array(prints, np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(trees, pa.list_(pa.int16()))], list(schema.names))
 
-    fields = {"id": kind, "node": T.LongType(), "fp": T.LongType(), "keys": T.ArrayType(T.LongType()), "trees": T.ArrayType(T.ShortType())}
+    fields = {"id": kind, "node": T.LongType(), "fp": T.LongType(), "n": T.IntegerType(), "keys": T.ArrayType(T.LongType()), "trees": T.ArrayType(T.ShortType())}
     schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
     marked = written(rows.mapInArrow(mark, schema), "shingles")
     nodes = written(marked.groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    # one row of each node; its keys are the same in all
-    sets = marked.join(nodes.select(F.col("node").alias("n2"), "rep"), (F.col("id") == F.col("rep")) & (F.col("node") == F.col("n2")), "left_semi").dropDuplicates(["node"])
-    found = written(candidates(sets, radius, parts), "candidates")
+    sets = marked.select("node", "fp", "n", "keys", "trees").dropDuplicates(["node"])
+    found = written(candidates(sets, ratio, radius, parts), "candidates")
     del sets
     release(spark)
     clusters = components(found).withColumnRenamed("component", "cluster")
@@ -223,10 +229,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.array(prints, np.int64)), pa.array(held, pa.list_(pa.int64()))], ["cluster", "node", "fp", "keys"])
 
     texts = rows.join(wanted, rows.id == wanted.rep).select("text", "cluster", "node")
-    full = written(texts.mapInArrow(whole, "cluster long, node long, fp long, keys array<long>").dropDuplicates(["node"]), "sets")
+    full = texts.mapInArrow(whole, "cluster long, node long, fp long, keys array<long>")
+    if (marked.groupBy("id", "node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1) > 1:  # rows that repeat
+        full = full.dropDuplicates(["node"])
+    full = written(full, "sets")
     del texts
     release(spark)
-    groups = components(verified(full, ratio, radius, parts, chunk_shingles))
+    groups = written(components(verified(full, ratio, radius, parts, chunk_shingles)), "components")
+    discard(full)
+    release(spark)
     named = nodes.join(groups, "node", "left").select(F.col("node").alias("n2"), "rep", F.coalesce("component", "node").alias("component"))
     return marked.select("id", "node").join(named, F.col("node") == F.col("n2")).select("id", "node", "rep", "component")
 
@@ -253,6 +264,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = written(near_groups(docs, id_col, text_col, width, **options), "groups")
     least = groups.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("low"))
     first = written(least.select(F.col("low.rep").alias("id"), F.col("low.node").alias("own_node")), "first")
+    release(docs.sparkSession)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = f"c{names.index(id_col)}"
     if groups.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] in (None, 1):
