@@ -9,7 +9,8 @@ x is copied to such cells (of lower number, so that each pair meets once), and c
 members are dealt into chunks and its pairs of chunks are separate tasks, so a cell may be of any size.
 
 Equal vectors are one class with a multiplicity; a task returns numbers of links and a spanning forest of them,
-never pairs.  Vectors without any structure lie within r of most cell borders; the join then compares all chunks.
+never pairs.  The number of pivots grows with that of the vectors, as far as a table of ``pivot_bytes`` holds them; every
+task has that table.  Vectors without any structure lie within r of most cell borders; the join then compares all chunks.
 """
 
 from __future__ import annotations
@@ -68,23 +69,24 @@ def block_links(a: np.ndarray, b: np.ndarray, mass_a: np.ndarray, mass_b: np.nda
     return count_a, count_b, edges
 
 
-def _pivots(classes: DataFrame, wanted: int) -> np.ndarray:
-    """Well-spread pivots: from a bounded sample by hash, each next one farthest from those chosen."""
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(8 * wanted).select("vec").collect()
-    points = unit(np.array([r.vec for r in sample]))
+def _pivots(classes: DataFrame, wanted: int, spread: int = 1024) -> np.ndarray:
+    """Pivots from a bounded sample by hash: the first ``spread`` each farthest from those before, further ones as they come."""
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(wanted, 8 * min(wanted, spread))).select("vec").toArrow()["vec"].combine_chunks()
+    points = unit(sample.flatten().to_numpy().reshape(len(sample), -1))
     chosen = [0]
     far = 2 - 2 * points @ points[0]
-    while len(chosen) < min(wanted, len(points)):
+    while len(chosen) < min(wanted, spread, len(points)):
         k = int(far.argmax())
         if far[k] <= 1e-12:
             break
         chosen.append(k)
         far = np.minimum(far, 2 - 2 * points @ points[k])
-    return points[chosen]
+    more = np.setdiff1d(np.arange(len(points)), chosen)[: wanted - len(chosen)] if wanted > spread else []
+    return points[[*chosen, *more]]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
-                    cell_rows: int = 4096, chunk_rows: int = 4096, max_pivots: int = 256) -> DataFrame:
+                    cell_rows: int = 8192, chunk_rows: int = 8192, pivot_bytes: int = 32 << 20) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
     ``n_links``: other rows linked directly; ``component_id``: smallest id reachable over links; ``kept``: whether
@@ -92,7 +94,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     other lengths than a row's own, link with nothing.  Rows with a null id take no part: no links, null
     component, not kept.  Repeated rows count as separate vectors.  An empty table gives none.
     """
-    rows = take(vectors, id=id_col, vec=vector_col).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    rows = take(vectors, id=id_col, vec=vector_col)
+    # single precision moves as it came; all arithmetic is in double
+    element = "float" if rows.schema["vec"].dataType.simpleString() == "array<float>" else "double"
+    rows = rows.select("id", F.col("vec").cast(f"array<{element}>").alias("vec"))
     usable = (
         F.col("id").isNotNull() & F.col("vec").isNotNull()
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -106,7 +111,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts, edges = None, None
     for n in sorted(lengths):
         own = classes.where(F.size("vec") == n) if len(lengths) > 1 else classes
-        c, e = _range_join(own, kind, cosine, cell_rows, chunk_rows, max_pivots)
+        c, e = _range_join(own, kind, element, cosine, cell_rows, chunk_rows, max(1, pivot_bytes // (8 * n)))
         counts, edges = (c, e) if counts is None else (counts.union(c), edges.union(e))
     if counts is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
@@ -123,7 +128,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, chunk_rows: int, max_pivots: int) -> tuple[DataFrame, DataFrame]:
+def _range_join(classes: DataFrame, kind: str, element: str, cosine: float, cell_rows: int, chunk_rows: int, max_pivots: int) -> tuple[DataFrame, DataFrame]:
     """``(rep, n)`` and ``(a, b)`` for ``classes(vec, rep, mass)`` of one length."""
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     n = classes.count()
@@ -131,13 +136,16 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
 
     def near(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x = unit(np.array(vec.to_pylist()))
+        x = unit(vec.flatten().to_numpy().reshape(len(vec), -1))
         square = np.maximum(2 - 2 * x @ pivots.T, 0)
         return square, square.argmin(1)
 
+    step = max(1, 4_000_000 // len(pivots))
+    small = lambda batches: (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.full(len(pivots), -1.0)
-        for b in batches:
+        for b in small(batches):
             if b.num_rows:
                 square, home = near(b.column(0))
                 np.maximum.at(far, home, np.sqrt(square[np.arange(len(home)), home]))
@@ -149,9 +157,7 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
         size[r.cell] = r.far
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in small(batches):
             square, home = near(b.column(0))
             d = np.sqrt(square)
             mine = d[np.arange(len(home)), home][:, None]
@@ -160,11 +166,11 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
             away = pa.array([np.flatnonzero(x).tolist() for x in reach], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32)), away], ["vec", "rep", "mass", "home", "away"])
 
-    placed = written(classes.select("vec", "rep", "mass").mapInArrow(assign, f"vec array<double>, rep {kind}, mass long, home int, away array<int>"), "placed")
+    placed = written(classes.select("vec", "rep", "mass").mapInArrow(assign, f"vec array<{element}>, rep {kind}, mass long, home int, away array<int>"), "placed")
     members = placed.select("vec", "rep", "mass", F.col("home").alias("cell"), F.lit(True).alias("own")).union(
         placed.select("vec", "rep", "mass", F.explode("away").alias("cell"), F.lit(False).alias("own")))
     chunks = lambda test: F.ceil(F.sum(test.cast("int")) / chunk_rows).cast("int")
-    table = F.broadcast(members.groupBy("cell").agg(chunks(F.col("own")).alias("x"), chunks(~F.col("own")).alias("y")))  # max_pivots rows at most
+    table = F.broadcast(members.groupBy("cell").agg(chunks(F.col("own")).alias("x"), chunks(~F.col("own")).alias("y")))  # a row a pivot, which all tasks have anyway
     dealt = members.join(table, "cell").where("x > 0")
     mod = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     dealt = dealt.withColumn("chunk", F.when(F.col("own"), mod(F.col("x"))).otherwise(F.col("x") + mod(F.greatest("y", F.lit(1)))))
@@ -195,5 +201,6 @@ def _range_join(classes: DataFrame, kind: str, cosine: float, cell_rows: int, ch
         arrow = table.schema.field("rep").type
         return pa.table({"rep": pa.array(out[0], arrow), "n": pa.array(out[1], pa.int64()), "other": pa.array(out[2], arrow)})
 
-    found = written(blocks.groupBy("cell", "lo", "hi").applyInArrow(solve, f"rep {kind}, n long, other {kind}"), "links")
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * len(pivots))
+    found = written(blocks.repartition(parts, "cell", "lo", "hi").groupBy("cell", "lo", "hi").applyInArrow(solve, f"rep {kind}, n long, other {kind}"), "links")
     return found.where("n > 0").select("rep", "n"), found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))

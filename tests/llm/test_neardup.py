@@ -40,10 +40,11 @@ def data(rng, n, dim):
 
 def test_matches_brute_force(spark):
     rng = np.random.default_rng(2)
-    for dim, cosine, sizes in ((8, 0.95, (40, 15, 64)), (3, 0.9, (10, 7, 16)), (16, 0.8, (4096, 4096, 4))):
+    # the second and fourth have as many pivots as rows ask for, the others as many as the bytes allow
+    for dim, cosine, sizes, kind in ((8, 0.95, (40, 15, 4 * 64), SCHEMA), (3, 0.9, (10, 7, 1 << 20), SCHEMA), (16, 0.8, (4096, 4096, 4), SCHEMA), (6, 0.9, (3, 9, 1 << 20), SCHEMA.replace("float", "double"))):
         rows = data(rng, 120, dim)
-        df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
-        got = neardup.near_duplicates(df, cosine=cosine, cell_rows=sizes[0], chunk_rows=sizes[1], max_pivots=sizes[2]).collect()
+        df = spark.createDataFrame([(*r, 1) for r in rows], kind)
+        got = neardup.near_duplicates(df, cosine=cosine, cell_rows=sizes[0], chunk_rows=sizes[1], pivot_bytes=sizes[2]).collect()
         assert {r.id: (r.n_links, r.component_id) for r in got} == brute(rows, cosine)
         assert all(r.kept == (r.id == r.component_id) for r in got) and len(got) == len(rows)
 
