@@ -137,13 +137,13 @@ m AS (
          length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
          length(bare) - length(replace(bare, '!', '')) AS bangs, len(ls) AS n_lines,
-         len(list_intersect(list_transform(w, lambda x: lower(rtrim(x, '.,;:!?'))), [{_STOPS}])) AS stops
+         len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOPS}))) AS stops
   FROM l LEFT JOIN c USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS k FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND stops >= 2 AND word_chars / k BETWEEN 2.0 AND 12.0 AND n_symbols / k <= 0.1
+       NOT base_failed AND stops / k >= 0.02 AND word_chars / k BETWEEN 2.0 AND 12.0 AND n_symbols / k <= 0.1
          AND bangs / k <= 0.5 AND n_repeat_words / k <= 0.5 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM b""",
     "op7_line_dedup": r"""

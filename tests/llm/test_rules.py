@@ -1,5 +1,6 @@
 """Quality rules against a plain Python version."""
 
+import random
 import re
 from collections import Counter
 
@@ -36,6 +37,28 @@ def test_counts_and_verdict(spark):
     assert {r.id for r in got if r.kept} == {9}
 
 
+def plain_verdict(text):
+    n, chars, symbols, dups, repeats = brute(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    stops = sum(w.rstrip(".,;:!?").lower() in {x for v in rules.STOP_WORDS.values() for x in v} for w in words)
+    failed = n < 50 or 100 * repeats > 50 * n
+    return not failed and 2 <= chars / n <= 12 and symbols / n <= 0.1 and stops / n >= 0.02 and dups / len(lines) <= 0.5 and (text or "").count("!") / n <= 0.5
+
+
+def test_verdict_against_plain_version(spark):
+    rng = random.Random(8)
+    pool = ["the", "Of,", "und", "w#", "a!", "!!", "supercalifragilistic", "b", "##", "x|y"]
+    texts = []
+    for i in range(200):
+        kind = rng.choices(pool, k=rng.randrange(1, 4)) + ["stone", "river"] * rng.randrange(4)
+        texts.append("".join(rng.choice(kind) + str(rng.randrange(400)) * rng.randrange(2) + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.randrange(30, 160))))
+    texts += [f"{'the ' * k}" + " ".join(f"word{i}" for i in range(100 - k)) for k in range(5)]
+    got = {r.id: r.kept for r in rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: plain_verdict(t) for i, t in enumerate(texts)}
+    assert got == want and 10 < sum(want.values()) < 190
+
+
 def test_empty_and_unknown(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, TEXT int, kept int")
     assert rules.quality_rules(empty).count() == 0
