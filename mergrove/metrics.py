@@ -45,7 +45,12 @@ class Observed:
         self.listeners.remove(listener)
 
     def collect(self, plan: Plan, spark: SparkSession) -> tuple[list, list[PlanMetrics]]:
-        """The rows of a plan and the metrics of its nodes, leaves first."""
+        """The rows of a plan, on the driver, and the metrics of its nodes, leaves first."""
+        return self.run(plan, spark, lambda df: df.collect())
+
+    def run(self, plan: Plan, spark: SparkSession, sink: Callable[[DataFrame], object] | None = None) -> tuple[object, list[PlanMetrics]]:
+        """What ``sink`` makes of a plan's DataFrame (default: it is computed and thrown away), and the metrics of its nodes,
+        leaves first."""
         watched: list[tuple[Plan, Observation]] = []
 
         def observe(node: Plan, df: DataFrame) -> DataFrame:
@@ -53,10 +58,11 @@ class Observed:
             watched.append((node, seen))
             return df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
-        start, rows, error = time.time(), [], None
+        sink = sink or (lambda df: df.write.format("noop").mode("overwrite").save())
+        start, made, error = time.time(), [], None
         df = to_df(plan, spark, observe)
         try:
-            rows = df.collect()
+            made = sink(df)
         except Exception as e:
             error = e
         end = time.time()
@@ -66,7 +72,7 @@ class Observed:
                 listener(m)
         if error:
             raise error
-        return rows, out
+        return made, out
 
 
 @dataclass(frozen=True)
@@ -86,7 +92,10 @@ def join_metrics(left: Plan, right: Plan, spark: SparkSession) -> JoinMetrics:
     keys = common_vars(l.public, r.columns)
     numbered = joins.Solution(l.df.withColumn("row__", F.monotonically_increasing_id()), l.public, l.columns, l.maybe, l.nt)
     marked = joins.Solution(r.df.withColumn("hit__", F.lit(1)), r.public, r.columns, r.maybe, r.nt)
-    df = joins.matched(numbered, marked, joins.LEFT) if keys else numbered.df.crossJoin(marked.df)
+    if not keys:  # every right row is compatible with every left row
+        n, m = l.df.count(), r.df.count()
+        return JoinMetrics(n, float(n > 0 and m == 0), float(m if n else 0), m if n else 0)
+    df = joins.matched(numbered, marked, joins.LEFT)
     per_row = df.groupBy("row__").agg(F.count("hit__").alias("n"))
     got = per_row.agg(F.count("*").alias("rows"), F.avg((F.col("n") == 0).cast("double")).alias("none"), F.avg("n").alias("mean"), F.max("n").alias("most")).first()
     return JoinMetrics(got.rows, got.none or 0.0, got["mean"] or 0.0, got.most or 0)

@@ -2,13 +2,15 @@
 
 Two rows are compatible when they agree on every variable that both bind.  Where all shared variables are
 certainly bound that is an equi-join, for which the planner picks the strategy.  Certainly bound variables stay
-equi-keys when others may be unbound.  If none is certain, each side is split into rows that bind all shared
-variables and the (few) rest, so that only the rest meets a condition without keys.
+equi-keys when others may be unbound.  If none is certain, pairs of rows are told apart by the set of shared variables
+that both bind: for each such set there is an equi-join on it.  Only rows that have no bound variable in common meet
+without keys, and of those every pair is a match.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.sparql_text import common_vars
 from .solution import Solution, fresh
 
+#: Up to so many uncertain variables every set of them has a join of its own; with more, rows that bind them all are
+#: joined by equality, and the rest by condition.
+MOST_SETS_OF = 4
+
 #: Bytes up to which a side that the caller has flagged as small is sent to all tasks.
 MAX_BROADCAST = 256 << 20
 
@@ -76,6 +82,8 @@ def matched(left: Solution, right: Solution, how: str, minus: bool = False, extr
     certain = {v for v in shared if v not in left.maybe and v not in right.maybe}
     if certain:
         return left_df.join(right_df, _match(left, right, shared, certain, minus, extra), how)
+    if len(shared) <= MOST_SETS_OF:
+        return _by_sets(left, right, shared, how, minus, extra)
     equal = _all([a == b for _, a, b in _pairs(left, right, shared)])
     equal = equal if extra is None else equal & extra
     loose = _match(left, right, shared, set(), minus, extra)
@@ -93,8 +101,49 @@ def matched(left: Solution, right: Solution, how: str, minus: bool = False, extr
     inner = lb.join(rb, equal, INNER).union(lb.join(rn, loose, INNER)).union(ln.join(right.df, loose, INNER))
     if how == INNER:
         return inner
-    alone = matched(left, right, ANTI, minus, extra)
-    return inner.union(alone.select(*alone.columns, *[F.lit(None).cast(right.df.schema[c].dataType).alias(c) for c in right.df.columns]))
+    return inner.union(_padded(matched(left, right, ANTI, minus, extra), right))
+
+
+def _padded(alone: DataFrame, right: Solution) -> DataFrame:
+    """Left rows without a match, beside an unbound right side."""
+    return alone.select(*alone.columns, *[F.lit(None).cast(right.df.schema[c].dataType).alias(c) for c in right.df.columns])
+
+
+def _by_sets(left: Solution, right: Solution, shared: list[str], how: str, minus: bool, extra: Column | None) -> DataFrame:
+    """The join as one for each set of variables that a pair of rows has in common; a pair has just one such set."""
+    sets = [c for k in range(len(shared), -1, -1) for c in combinations(shared, k)]
+    own = {v: F.col(left.columns[v][0]) for v in shared}
+    theirs = {v: [F.col(c) for c in right.columns[v]] for v in shared}
+    more = [] if extra is None else [extra]
+    common = []
+    for chosen in sets[:-1]:
+        test = list(more)
+        for v in shared:
+            a, bs = own[v], theirs[v]
+            if v not in chosen:
+                test.append(a.isNull() | _all([b.isNull() for b in bs]))
+            elif len(bs) == 1:
+                test.append(a == bs[0])
+            else:  # hidden uses: the first that is bound is the key, the others agree or are unbound
+                test += [a == F.coalesce(*bs), *[(a == b) | b.isNull() for b in bs]]
+        common.append(_all(test))
+    # a left row that binds just ``chosen`` has nothing in common with right rows that bind none of it
+    apart = []
+    for chosen in [] if minus else sets:
+        mine = _all([own[v].isNotNull() if v in chosen else own[v].isNull() for v in shared])
+        apart.append((mine, right.df.where(_all([b.isNull() for v in chosen for b in theirs[v]]))))
+    if how in (INNER, LEFT):
+        parts = [left.df.join(right.df, test, INNER) for test in common]
+        parts += [left.df.where(mine).crossJoin(others) if extra is None else left.df.where(mine).join(others, extra, INNER) for mine, others in apart]
+        parts += [_padded(_by_sets(left, right, shared, ANTI, minus, extra), right)] if how == LEFT else []
+        return reduce(DataFrame.union, parts)
+    found, rest = [], left.df
+    tests = [(test, right.df) for test in common]
+    tests += [(mine, others.limit(1)) if extra is None else (mine & extra, others) for mine, others in apart]  # any partner will do
+    for test, others in tests:
+        found.append(rest.join(others, test, SEMI))
+        rest = rest.join(others, test, ANTI)
+    return rest if how == ANTI else reduce(DataFrame.union, found)
 
 
 def join(left: Solution, right: Solution, how: str = INNER, extra: Column | None = None, hint: str = "") -> Solution:

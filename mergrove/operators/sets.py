@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,17 @@ def union(inputs: list[Solution], needed: frozenset[str] = frozenset()) -> Solut
     return _with(out, reduce(DataFrame.union, frames))
 
 
+#: Copies of a row are made in runs of so many, so that no array holds more.
+RUN = 4096
+
+
+def _copies(df: DataFrame, n: str) -> DataFrame:
+    """Each row ``n`` times: first one row a run, then the runs' own copies."""
+    run, k = fresh("run"), fresh("k")
+    runs = df.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN))))
+    return runs.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN).cast("long"), F.col(n) - F.col(run) * RUN)))).drop(run, k, n)
+
+
 def merge(inputs: list[Solution], needed: frozenset[str] = frozenset()) -> Solution:
     """Each row as often as in the input that has it most often: counts per input, then their maximum, then copies.
 
@@ -51,10 +63,10 @@ def merge(inputs: list[Solution], needed: frozenset[str] = frozenset()) -> Solut
     src, n = fresh("src"), fresh("n")
     if not names:
         counts = reduce(DataFrame.union, [f.agg(F.count("*").alias(n)) for f in frames]).agg(F.max(n).alias(n))
-        return _with(out, counts.select(F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(src)).select())
+        return _with(out, _copies(counts.where(F.col(n) > 0), n))
     tagged = reduce(DataFrame.union, [f.withColumn(src, F.lit(i)) for i, f in enumerate(frames)])
     counts = tagged.groupBy(*names, src).agg(F.count("*").alias(n)).groupBy(*names).agg(F.max(n).alias(n))
-    return _with(out, counts.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(src)).select(*names))
+    return _with(out, _copies(counts, n))
 
 
 def distinct(s: Solution) -> Solution:
@@ -62,24 +74,51 @@ def distinct(s: Solution) -> Solution:
     return _with(s, s.df.distinct() if s.df.columns else s.df.limit(1))
 
 
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its first equal in the batch; and those firsts."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        try:
+            own = column.dictionary_encode("encode").indices.to_numpy()
+        except pa.ArrowNotImplementedError:  # nested values
+            met: dict = {}
+            own = np.array([met.setdefault(repr(x), len(met)) for x in column.to_pylist()])
+        codes = np.unique(codes * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    _, first, at = np.unique(codes, return_index=True, return_inverse=True)
+    return first[at], np.sort(first)
+
+
 def windowed_distinct(s: Solution, window: int) -> Solution:
-    """Drops a row equal to one of the last ``window`` rows kept before it in its partition; bounded memory, no shuffle."""
+    """Drops a row equal to one of the last ``window`` rows kept before it in its partition; bounded memory, no shuffle.
+
+    Rows are numbered column by column; only rows that a batch has not shown yet are looked at one by one.  While
+    nothing leaves the window, what a batch keeps is its rows' first showings that the window lacks.
+    """
     schema = s.df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order: deque = deque()
         seen: set = set()
         for batch in batches:
-            keep = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]) if batch.num_columns else [()] * batch.num_rows:
-                new = row not in seen
-                keep.append(new)
-                if new:
-                    if len(order) == window:
-                        seen.discard(order.popleft())
-                    order.append(row)
-                    seen.add(row)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            equal, firsts = _numbers(batch)
+            rows = list(zip(*[c.take(pa.array(firsts)).to_pylist() for c in batch.columns]))
+            value = dict(zip(firsts.tolist(), map(repr, rows)))
+            keep = np.zeros(batch.num_rows, bool)
+            new = [i for i, x in value.items() if x not in seen]
+            if len(order) + len(new) <= window:
+                keep[new] = True
+                order.extend(value[i] for i in new)
+                seen.update(value[i] for i in new)
+            else:
+                for i, first in enumerate(equal.tolist()):
+                    x = value[first]
+                    if x not in seen:
+                        keep[i] = True
+                        if len(order) == window:
+                            seen.discard(order.popleft())
+                        order.append(x)
+                        seen.add(x)
+            yield batch.filter(pa.array(keep))
 
     if not schema.fields:
         return _with(s, s.df.limit(1))

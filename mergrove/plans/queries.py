@@ -6,14 +6,20 @@ unbound values make their own.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import api
-from ..functions import terms
+from ..functions import expr, terms
+from ..sources.results_files import ResultsFileSource, write_results
 from ..sources.tables import TableSource
 from ..sources.triples import TriplesSource, triples_of_table
 from .flags import OperatorFlags
+from .lower import lower
 from .plan import Leaf, Plan
 
 QUERIES: dict = {}
@@ -183,14 +189,25 @@ def join_multiplicity(scan):
     return scan("orders", o="o_orderkey", where="o_totalprice > 300000").join(scan("lineitem", o="l_orderkey"))
 
 
-@register("""WITH a AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n FROM customer),
-  b AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n FROM supplier WHERE s_suppkey <= 10)
-  SELECT c, coalesce(a.n, b.n) AS n, s FROM a JOIN b ON a.n = b.n OR a.n IS NULL OR b.n IS NULL""")
+#: Each order binds two of key, customer and price; any two orders have one of them in common at least.
+_TWO_OF = "CASE WHEN {i} % 3 <> 0 THEN o_orderkey END AS k, CASE WHEN {i} % 3 <> 1 THEN o_custkey END AS c, CASE WHEN {i} % 3 <> 2 THEN o_totalprice END AS p"
+
+
+@register(f"""WITH a AS (SELECT o_orderkey AS x, {_TWO_OF.format(i="o_orderkey")} FROM orders),
+  b AS (SELECT o_orderkey AS y, {_TWO_OF.format(i="(o_orderkey // 3)")} FROM orders),
+  j AS (SELECT * FROM a JOIN b ON a.k = b.k AND a.c = b.c AND (a.p IS NULL OR b.p IS NULL)
+    UNION ALL SELECT * FROM a JOIN b ON a.k = b.k AND a.p = b.p AND (a.c IS NULL OR b.c IS NULL)
+    UNION ALL SELECT * FROM a JOIN b ON a.c = b.c AND a.p = b.p AND (a.k IS NULL OR b.k IS NULL)
+    UNION ALL SELECT * FROM a JOIN b ON a.k = b.k AND (a.c IS NULL OR b.c IS NULL) AND (a.p IS NULL OR b.p IS NULL)
+    UNION ALL SELECT * FROM a JOIN b ON a.c = b.c AND (a.k IS NULL OR b.k IS NULL) AND (a.p IS NULL OR b.p IS NULL)
+    UNION ALL SELECT * FROM a JOIN b ON a.p = b.p AND (a.k IS NULL OR b.k IS NULL) AND (a.c IS NULL OR b.c IS NULL))
+  SELECT x, y, coalesce(k, k_1) AS k, coalesce(c, c_1) AS c, coalesce(p, p_1) AS p FROM j""")
 def join_compat_unbound(scan):
-    a = _maybe(scan, "customer", {"c_custkey": "c", "c_nationkey": "n"}, "c_nationkey", F.expr("c_custkey % 3 <> 0"), ("c",))
-    few = scan.frame("supplier").where("s_suppkey <= 10").select("s_suppkey", F.when(F.expr("s_suppkey % 4 <> 0"), F.col("s_nationkey")).alias("s_nationkey"))
-    b = Leaf(TableSource(few, {"s_suppkey": "s", "s_nationkey": "n"}, never_null=("s",)))
-    return a.join(b)
+    sides = {}
+    for var, i in (("x", "o_orderkey"), ("y", "(o_orderkey div 3)")):
+        df = scan.frame("orders").selectExpr(f"o_orderkey AS {var}", *_TWO_OF.format(i=i).split(", "))
+        sides[var] = Leaf(TableSource(df, never_null=(var,)))
+    return sides["x"].join(sides["y"])
 
 
 @register("""SELECT c_custkey AS c, o_orderkey AS o, l_linenumber AS l FROM customer
@@ -260,6 +277,12 @@ def distinct_window(scan):
     return scan("events", user="user_id", kind="event_type").distinct(16384, flags=OperatorFlags.ALLOW_DUPLICATES)
 
 
+@register("SELECT DISTINCT user_id AS user, event_type AS kind FROM events")
+def distinct_window_then_exact(scan):
+    """A window too small for the data loses no row and leaves only duplicates behind."""
+    return scan("events", user="user_id", kind="event_type").distinct(64, flags=OperatorFlags.ALLOW_DUPLICATES).distinct()
+
+
 @register("SELECT DISTINCT event_type AS kind, user_id AS u FROM events")
 def events_by_type_distinct_users(scan):
     return scan("events", kind="event_type", u="user_id").distinct()
@@ -328,12 +351,12 @@ def minus_disjoint(scan):
 
 
 @register("""WITH a AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n FROM customer),
-  b AS (SELECT CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS n FROM supplier WHERE s_suppkey <= 12)
+  b AS (SELECT CASE WHEN s_acctbal > 8500 THEN s_nationkey END AS n FROM supplier)
   SELECT c, n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.n = b.n)""")
 def minus_unbound(scan):
     a = _maybe(scan, "customer", {"c_custkey": "c", "c_nationkey": "n"}, "c_nationkey", F.expr("c_custkey % 3 <> 0"), ("c",))
-    few = scan.frame("supplier").where("s_suppkey <= 12").select(F.when(F.expr("s_suppkey % 4 <> 0"), F.col("s_nationkey")).alias("n"))
-    return a.minus(Leaf(TableSource(few)))
+    rich = scan.frame("supplier").select(F.when(F.expr("s_acctbal > 8500"), F.col("s_nationkey")).alias("n"))
+    return a.minus(Leaf(TableSource(rich)))
 
 
 @register("SELECT c_custkey AS c FROM customer WHERE c_nationkey = 5 AND c_mktsegment = 'BUILDING'")
@@ -364,11 +387,9 @@ def bgp_star(scan):
     return api.triples(_orders_as_triples(scan), 'SELECT ?o ?st ?c WHERE { ?o :o_orderstatus ?st; :o_custkey ?c . FILTER(?st = "F") }', _P)
 
 
-@register(f"SELECT {_O} AS o, '\"' || n_name || '\"' AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 3")
+@register(f"SELECT {_O} AS o, '\"' || n_name || '\"' AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def bgp_path(scan):
-    nations = scan.frame("nation").where("n_nationkey < 3")
-    data = _orders_as_triples(scan).where("p <> '<http://example.org/n_name>'").union(triples_of_table(nations.select("n_nationkey", "n_name"), "nation", "n_nationkey"))
-    return api.triples(data, "SELECT ?o ?name WHERE { ?o :o_custkey ?c . ?c :c_nationkey ?n . ?n :n_name ?name }", _P)
+    return api.triples(_orders_as_triples(scan), "SELECT ?o ?name WHERE { ?o :o_custkey ?c . ?c :c_nationkey ?n . ?n :n_name ?name }", _P)
 
 
 @register(f"SELECT {_C} AS c, CASE WHEN o_orderkey IS NOT NULL THEN {_O} END AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
@@ -407,3 +428,146 @@ def ebv_table(scan):
         terms.coerce_to_bool(typed(F.col("p_size") % 2 == 0, "boolean")).alias("truth"), terms.coerce_to_bool(F.lit('""')).alias("nothing"),
         terms.coerce_to_bool(terms.nt_literal(F.col("p_name"))).alias("text"),
     )
+
+
+# --- functions of filters, each as a column
+
+
+def _computed(plan: Plan, spark: SparkSession, keep: tuple[str, ...], **expressions: str) -> DataFrame:
+    """``keep`` and the values of expressions over a plan's solutions: whole numbers as longs, others as doubles."""
+    s = lower(plan, spark)
+    scope = {v: s.value(v) for v in s.columns}
+    out = [s.col(v).alias(v) for v in keep]
+    for name, text in expressions.items():
+        v = expr.compile_expr(text, scope)
+        out.append((v.column.cast("long" if v.type in terms.INTEGERS else "double") if v.domain == "num" else v.column).alias(name))
+    return s.df.select(*out)
+
+
+@register("""SELECT p_partkey AS p, length(p_name) AS n, substr(p_name, 3) AS tail, substr(p_name, 2, 4) AS mid, upper(p_name) AS up, lower(p_type) AS low,
+  starts_with(p_type, 'S') AS starts, ends_with(p_type, 'L') AS ends, contains(p_name, 'a') AS has,
+  CASE WHEN instr(p_name, ' ') > 0 THEN substr(p_name, 1, instr(p_name, ' ') - 1) ELSE '' END AS before,
+  CASE WHEN instr(p_name, ' ') > 0 THEN substr(p_name, instr(p_name, ' ') + 1) ELSE '' END AS after,
+  p_brand || '-' || p_size AS both, replace(p_name, ' ', '%20') AS uri, regexp_replace(p_name, '[aeiou]+', '_', 'g') AS swapped,
+  regexp_matches(p_name, '(?i)^[a-m].*\\d') AS found FROM part""")
+def functions_string(scan):
+    rows = scan("part", p="p_partkey", name="p_name", type="p_type", brand="p_brand", size="p_size")
+    return _computed(
+        rows, scan.spark, ("p",), n="STRLEN(?name)", tail="SUBSTR(?name, 3)", mid="SUBSTR(?name, 2, 4)", up="UCASE(?name)", low="LCASE(?type)",
+        starts='STRSTARTS(?type, "S")', ends='STRENDS(?type, "L")', has='CONTAINS(?name, "a")', before='STRBEFORE(?name, " ")', after='STRAFTER(?name, " ")',
+        both='CONCAT(?brand, "-", STR(?size))', uri='REPLACE(ENCODE_FOR_URI(?name), "%23", "#")', swapped='REPLACE(?name, "[aeiou]+", "_")', found='REGEX(?name, "^[a-m].*[0-9]", "i")',
+    )
+
+
+@register("""SELECT c_custkey AS c, abs(c_acctbal) AS a, CAST(floor(c_acctbal + 0.5) AS DOUBLE) AS r, CAST(ceil(c_acctbal) AS DOUBLE) AS up, CAST(floor(c_acctbal) AS DOUBLE) AS down,
+  c_acctbal + c_nationkey AS plus, c_acctbal - 2 AS less, -c_acctbal AS neg, c_acctbal * 3 AS times, c_acctbal / 4 AS part,
+  CASE WHEN c_nationkey <> 0 THEN c_acctbal / c_nationkey END AS div FROM customer""")
+def functions_numeric(scan):
+    rows = scan("customer", c="c_custkey", bal="c_acctbal", n="c_nationkey")
+    return _computed(
+        rows, scan.spark, ("c",), a="ABS(?bal)", r="ROUND(?bal)", up="CEIL(?bal)", down="FLOOR(?bal)", plus="?bal + ?n", less="?bal - 2", neg="-?bal", times="?bal * 3", part="?bal / 4", div="?bal / ?n",
+    )
+
+
+@register("""SELECT event_id AS e, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, CAST(floor(second(ts)) AS BIGINT) AS s,
+  CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+05:30' WHEN 2 THEN '-08:00' ELSE '' END AS zone,
+  CASE event_id % 4 WHEN 0 THEN 'PT0S' WHEN 1 THEN 'PT5H30M' WHEN 2 THEN '-PT8H' END AS away FROM events""")
+def functions_time(scan):
+    stamp = F.concat(F.lit("2020-02-29T01:02:03"), F.expr("CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+05:30' WHEN 2 THEN '-08:00' ELSE '' END"))
+    rows = scan.frame("events").select("event_id", "ts", stamp.alias("stamp"))
+    plan = Leaf(TableSource(rows, {"event_id": "e", "ts": "t", "stamp": "z"}, never_null=True))
+    return _computed(plan, scan.spark, ("e",), y="YEAR(?t)", m="MONTH(?t)", d="DAY(?t)", h="HOURS(?t)", mi="MINUTES(?t)", s="SECONDS(?t)", zone="TZ(?z)", away="STR(TIMEZONE(?z))")
+
+
+@register("SELECT s_suppkey AS s, md5(s_name) AS m, sha1(s_name) AS s1, sha256(s_name) AS s2, 128 AS n5, 96 AS n3 FROM supplier")
+def functions_hash(scan):
+    rows = scan("supplier", s="s_suppkey", name="s_name")
+    return _computed(rows, scan.spark, ("s",), m="MD5(?name)", s1="SHA1(?name)", s2="SHA256(?name)", n5="STRLEN(SHA512(?name))", n3="STRLEN(SHA384(?name))")
+
+
+_KIND = "CASE n_nationkey % 5 WHEN 0 THEN '<http://example.org/' || n_name || '>' WHEN 1 THEN '_:b' || n_nationkey WHEN 2 THEN '\"' || n_name || '\"@en-GB' WHEN 3 THEN '\"' || n_nationkey || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' ELSE '\"' || n_name || '\"' END"
+
+
+@register(f"""WITH t AS (SELECT n_nationkey AS n, n_name, n_nationkey % 5 AS k, {_KIND} AS x FROM nation)
+  SELECT n, k = 0 AS iri, k = 1 AS blank, k > 1 AS literal, k = 3 AS number, CASE k WHEN 0 THEN 'http://example.org/' || n_name WHEN 1 THEN NULL WHEN 3 THEN CAST(n AS VARCHAR) ELSE n_name END AS text,
+    CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 'en-GB' ELSE '' END AS lang, CASE k WHEN 2 THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' WHEN 3 THEN 'http://www.w3.org/2001/XMLSchema#integer' WHEN 4 THEN 'http://www.w3.org/2001/XMLSchema#string' END AS type,
+    CASE WHEN k >= 2 THEN k = 2 END AS english, true AS same FROM t""")
+def functions_terms(scan):
+    rows = scan.frame("nation").selectExpr("n_nationkey AS n", f"{_KIND} AS x")
+    plan = Leaf(TableSource(rows, {"n": "n", "x": "x"}, nt=("x",), never_null=True))
+    return _computed(
+        plan, scan.spark, ("n",), iri="isIRI(?x)", blank="isBLANK(?x)", literal="isLITERAL(?x)", number="isNUMERIC(?x)", text="STR(?x)", lang="LANG(?x)", type="STR(DATATYPE(?x))",
+        english='LANGMATCHES(LANG(?x), "EN")', same="sameTerm(?x, ?x)",
+    )
+
+
+@register("""SELECT c_custkey AS c, n = 3 AND b AS a, n = 3 OR b AS o, NOT (n = 3) AS no, n IN (1, 2, 3) AS among, n NOT IN (1, 2, 3) AS outside, n <= 12 AS most,
+  CASE WHEN n IS NOT NULL THEN CASE WHEN n < 12 THEN 'low' ELSE 'high' END END AS side, coalesce(n, -1) AS filled, n IS NOT NULL AS bound
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n, c_custkey % 2 = 0 AS b FROM customer)""")
+def functions_logic(scan):
+    rows = scan.frame("customer").selectExpr("c_custkey AS c", "CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS n", "c_custkey % 2 = 0 AS b")
+    plan = Leaf(TableSource(rows, never_null=("c", "b")))
+    return _computed(
+        plan, scan.spark, ("c",), a="?n = 3 && ?b", o="?n = 3 || ?b", no="!(?n = 3)", among="?n IN (1, 2, 3)", outside="?n NOT IN (1, 2, 3)", most="?n <= 12",
+        side='IF(?n < 12, "low", "high")', filled="COALESCE(?n, -1)", bound="BOUND(?n)",
+    ).withColumn("filled", F.col("filled").cast("long"))
+
+
+@register("""SELECT o_orderkey AS o, CAST(o_orderkey AS DOUBLE) AS whole, CAST(floor(o_totalprice) AS DOUBLE) AS small, o_totalprice AS real, o_orderkey % 2 = 1 AS truth, o_orderkey > 0 AS number,
+  CAST(o_orderkey AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS wrong, year(o_orderdate) AS y FROM orders""")
+def functions_casts(scan):
+    df = scan.frame("orders").selectExpr(
+        "o_orderkey AS o", "CAST(o_orderkey AS STRING) AS k", "CAST(floor(o_totalprice) AS STRING) AS f", "CAST(o_totalprice AS STRING) AS p",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'true' WHEN 2 THEN '0' ELSE '1' END AS b", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") AS d", "o_orderstatus AS s")
+    plan = Leaf(TableSource(df, never_null=True))
+    out = _computed(
+        plan, scan.spark, ("o",), whole="xsd:double(?k)", small="xsd:integer(?f)", real="xsd:double(?p)", truth="xsd:boolean(?b)", number="xsd:boolean(?o)", text="xsd:string(?o)",
+        wrong="xsd:double(?s)", y="YEAR(xsd:dateTime(?d))",
+    )
+    return out.withColumn("small", F.col("small").cast("double"))
+
+
+# --- results files: written, and read back as a source
+
+
+def _file(scan, label: str) -> str:
+    folder = scan.spark.conf.get("spark.checkpoint.dir", None) or scan.spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/mergrove/{label}-{uuid.uuid4().hex}"
+
+
+_ROUND = """SELECT '"' || n_name || '"' AS name, '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#int>' AS k, CASE WHEN n_regionkey <> 2 THEN '<http://example.org/' || n_regionkey || '>' END AS r FROM nation"""
+
+
+def _round_terms(scan) -> DataFrame:
+    return scan.frame("nation").select(
+        terms.nt_literal(F.col("n_name")).alias("name"), terms.to_nt(F.col("n_nationkey"), T.IntegerType()).alias("k"),
+        F.when(F.col("n_regionkey") != 2, terms.nt_iri(F.concat(F.lit("http://example.org/"), F.col("n_regionkey").cast("string")))).alias("r"))
+
+
+@register(_ROUND)
+def results_tsv(scan):
+    path = _file(scan, "results")
+    write_results(_round_terms(scan), path, ("name", "k", "r"))
+    return api.query(ResultsFileSource(scan.spark, path, "tsv"))
+
+
+@register(_ROUND)
+def results_json(scan):
+    def cell(name: str, kind: str, value, datatype=None):
+        parts = [F.lit(kind).alias("type"), value.alias("value"), *([F.lit(datatype).alias("datatype")] if datatype else [])]
+        return F.when(value.isNotNull(), F.struct(*parts)).alias(name)
+
+    region = F.when(F.col("n_regionkey") != 2, F.concat(F.lit("http://example.org/"), F.col("n_regionkey").cast("string")))
+    row = F.struct(cell("name", "literal", F.col("n_name")), cell("k", "literal", F.col("n_nationkey").cast("string"), terms.XSD + "int"), cell("r", "uri", region))
+    body = scan.frame("nation").agg(F.to_json(F.struct(F.struct(F.array(*map(F.lit, ("name", "k", "r"))).alias("vars")).alias("head"), F.struct(F.collect_list(row).alias("bindings")).alias("results"))).alias("value"))
+    path = _file(scan, "results")
+    body.coalesce(1).write.text(path)
+    return api.query(ResultsFileSource(scan.spark, path, "json"))
+
+
+@register("""SELECT '"' || n_name || '"' AS name, '"' || n_nationkey || '"' AS k, CASE WHEN n_regionkey <> 2 THEN '<http://example.org/' || n_regionkey || '>' END AS r FROM nation""")
+def results_csv(scan):
+    region = F.when(F.col("n_regionkey") != 2, F.concat(F.lit("http://example.org/"), F.col("n_regionkey").cast("string"))).otherwise("")
+    path = _file(scan, "results")
+    scan.frame("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("k"), region.alias("r")).coalesce(1).write.csv(path, header=True, emptyValue="")
+    return api.query(ResultsFileSource(scan.spark, path, "csv"))
