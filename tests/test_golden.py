@@ -1,0 +1,161 @@
+"""Small graphs whose answers are known: joins, optional parts, MINUS, (NOT) EXISTS and filters over triples."""
+
+from collections import Counter
+
+import pytest
+
+from mergrove import api
+from mergrove.plans.plan import Leaf
+from mergrove.sources.triples import TriplesSource
+
+BASE, INTEGER = "http://example.org/", "http://www.w3.org/2001/XMLSchema#integer"
+
+
+def term(x) -> str | None:
+    return None if x is None else f'"{x}"^^<{INTEGER}>' if isinstance(x, int) else f"<{BASE}{x}>"
+
+
+# Graphs as (subject, predicate, objects).
+JOINS = [
+    ("left1", "p1", [1]), ("left2", "p1", [2, 3]), ("left3", "p1", [4, 5]), ("left4", "p1", [6]), ("left5", "p1", [7]), ("left6", "p1", [8, 9]),
+    ("right1", "q1", [1]), ("right2", "q1", [2]), ("right3", "q1", [5]), ("right5.1", "q1", [7]), ("right5.2", "q1", [7]),
+    ("right6.1", "q1", [8]), ("right6.2", "q1", [8]), ("right6.3", "q1", [9]), ("right6.4", "q1", [9]),
+    ("left11", "p2", range(11, 20)), ("left12", "p2", range(21, 30, 2)), ("left13", "p2", range(32, 39, 2)), ("left14", "p2", range(41, 50, 2)),
+    ("right11", "q2", range(12, 19, 2)), ("right12", "q2", range(21, 30)), ("right13", "q2", range(31, 40)), ("right14.1", "q2", range(41, 50)), ("right14.2", "q2", range(41, 50)),
+    ("n1", "p3.1", ["n2"]), ("n2", "p3.2", ["n3", "n4"]), ("n3", "p3.3", ["n5"]), ("n4", "p3.3", ["n5"]), ("n5", "p3.4", ["n6"]),
+    ("s1", "p4", ["s2", "s3"]), ("s2", "p4", ["s4"]), ("s3", "p4", ["s4"]), ("s4", "p4", ["s5"]), ("s5", "p4", ["s6", "s7"]),
+]
+OPTIONAL = [
+    ("left1", "p1", [5]), ("left2", "p1", [2, 3]), ("left3", "p1", [23]), ("right1", "q1", [5]), ("right2", "q1", [3]), ("right3", "q1", [46]),
+    ("lleft1", "p2", range(11, 19)), ("lleft2", "p2", range(21, 29)), ("lright1", "q2", range(11, 18, 2)), ("lright2", "q2", range(21, 28, 2)), ("lright3", "q2", range(21, 28, 2)),
+    ("kleft", "p3", [1, 2, 3, 4]), *[(f"kright{i}", "q3", [1, 3] if i % 2 else [2, 3]) for i in range(1, 9)],
+]
+MINUS = [
+    ("left1", "p1", [23]), ("left2", "p1", [5]), ("left3", "p1", [2, 3]), ("left4", "p1", [7, 11]), ("left5", "p1", [17, 27]),
+    ("right1", "q1", [31]), ("right2", "q1", [5]), ("right3", "q1", [2]), ("right4", "q1", [11]),
+    ("left11", "p2", [2]), ("left12", "p2", [2, 3]), ("right11", "q2", [2, 3, 5, 7, 11, 17, 23, 27, 31]),
+    ("left21", "p3", range(11, 20)), ("left22", "p3", range(21, 30)), ("left23", "p3", range(31, 40)),
+    ("right21", "q3", range(11, 20, 2)), ("right22", "q3", range(22, 29, 2)), ("right23", "q3", range(31, 40, 2)), *[(f"right{i}", "q3", range(22, 29, 2)) for i in (24, 25, 26)],
+]
+EXISTS = [
+    ("left1", "p1", [1]), ("left2", "p1", [2]), ("left3", "p1", [4, 5]), ("left4", "p1", [6, 7]), ("left5", "p1", [8]),
+    ("right1", "q1", [1]), ("right2", "q1", [3]), ("right3", "q1", [4]), ("right4", "q1", [7]), ("right5.1", "q1", [8]),
+    ("left11", "p2", [*range(11, 20), *range(21, 30)]), ("right11", "q2", [*range(11, 20, 2), *range(22, 29, 2)]),
+]
+FILTERS = [("left11", "p1", [1]), ("left21", "p2", [1]), ("left22", "p2", [2]), *[(f"left3{i}", "p3", [i]) for i in range(1, 10)]]
+
+
+@pytest.fixture(scope="module")
+def ask(spark):
+    """A leaf from a graph and a query text."""
+    frames = {}
+
+    def leaf(graph, text):
+        if id(graph) not in frames:
+            rows = [(term(s), term(p), term(o)) for s, p, objects in graph for o in objects]
+            frames[id(graph)] = spark.createDataFrame(rows, "s string, p string, o string").coalesce(1).cache()
+        return Leaf(TriplesSource(frames[id(graph)], text, {"": BASE}))
+
+    return leaf
+
+
+def hold(spark, plan, columns, rows):
+    df = api.run(plan, spark)
+    assert df.columns == columns
+    assert Counter(tuple(r) for r in df.collect()) == Counter(tuple(map(term, r)) for r in rows)
+
+
+ALL, ANY = "SELECT * WHERE {{ {} }}", "ASK {{ {} }}"
+HALVES = [("left11", n, "right11") for n in range(12, 19, 2)] + [("left12", n, "right12") for n in range(21, 30, 2)] + [("left13", n, "right13") for n in range(32, 39, 2)] + [
+    ("left14", n, r) for n in range(41, 50, 2) for r in ("right14.1", "right14.2")]
+PATHS = [(a, "s4", "s5", d) for a in ("s2", "s3") for d in ("s6", "s7")]
+
+
+@pytest.mark.parametrize(("operands", "columns", "rows"), [
+    ([":left1 :p1 ?o", "?s :q1 ?o"], "o s", [(1, "right1")]),
+    ([":left2 :p1 ?o", "?s :q1 ?o"], "o s", [(2, "right2")]),
+    ([":left3 :p1 ?o", "?s :q1 ?o"], "o s", [(5, "right3")]),
+    ([":left4 :p1 ?o", "?s :q1 ?o"], "o s", []),
+    ([":left5 :p1 ?o", "?s :q1 ?o"], "o s", [(7, "right5.1"), (7, "right5.2")]),
+    ([":left6 :p1 ?o", "?s :q1 ?o"], "o s", [(8, "right6.1"), (8, "right6.2"), (9, "right6.3"), (9, "right6.4")]),
+    ([":left1 :p1 ?o", "SELECT ?o WHERE { ?s :q1 ?o }"], "o", [(1,)]),
+    (["ASK { ?s :q1 ?o }", ":left1 :p1 ?o"], "o", [(1,)]),
+    ([":left2 :p1 ?o", "SELECT ?o WHERE { ?s :q1 ?o }"], "o", [(2,)]),
+    (["?left :p2 ?o", "?right :q2 ?o"], "left o right", HALVES),
+    ([":n1 :p3.1 ?b", "?b :p3.2 ?c", "?c :p3.3 :n5"], "b c", [("n2", "n3"), ("n2", "n4")]),
+    (["?c :p3.3 :n5", "?b :p3.2 ?c", ":n1 :p3.1 ?b"], "c b", [("n3", "n2"), ("n4", "n2")]),
+    (["?a :p3.1 ?b", "?b :p3.2 ?c", "?c :p3.3 ?d"], "a b c d", [("n1", "n2", c, "n5") for c in ("n3", "n4")]),
+    (["?a :p3.1 ?b", "?b :p3.2 ?c", "?c :p3.3 ?d", "?d :p3.4 ?e"], "a b c d e", [("n1", "n2", c, "n5", "n6") for c in ("n3", "n4")]),
+    ([":s1 :p4 ?a", "?a :p4 ?b", "?b :p4 ?c", "?c :p4 ?d"], "a b c d", PATHS),
+    ([":s1 :p4 ?a", "?b :p4 ?c", "?a :p4 ?b", "?c :p4 ?d"], "a b c d", PATHS),
+])
+def test_joins(spark, ask, operands, columns, rows):
+    plan = api.join(*[ask(JOINS, x if x[:3] in ("SEL", "ASK") else ALL.format(x)) for x in operands])
+    df = api.run(plan, spark)
+    assert set(df.columns) == set(columns.split())
+    assert Counter(tuple(r[c] for c in columns.split()) for r in df.collect()) == Counter(tuple(map(term, r)) for r in rows)
+
+
+@pytest.mark.parametrize(("left", "right", "rows"), [
+    ("SELECT ?o WHERE { :left1 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", [(5, "right1")]),
+    ("SELECT ?o WHERE { :left3 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", [(23, None)]),
+    ("SELECT ?o WHERE { :left2 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", [(2, None), (3, "right2")]),
+    ("SELECT * WHERE { :left2 :p1 ?o }", "SELECT ?o ?s WHERE { ?s :q1 ?o }", [(2, None), (3, "right2")]),
+    ("SELECT ?o WHERE { ?s :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", [(5, "right1"), (2, None), (3, "right2"), (23, None)]),
+    ("SELECT * WHERE { :lleft1 :p2 ?o }", "SELECT * WHERE { ?s :q2 ?o }", [(n, "lright1" if n % 2 else None) for n in range(11, 19)]),
+    ("SELECT * WHERE { :lleft2 :p2 ?o }", "SELECT * WHERE { ?s :q2 ?o }", [(n, r) for n in range(21, 29) for r in (("lright2", "lright3") if n % 2 else (None,))]),
+    ("SELECT ?o WHERE { ?s :p3 ?o }", "SELECT * WHERE { ?s :q3 ?o }", [(1, f"kright{i}") for i in (1, 3, 5, 7)] + [(2, f"kright{i}") for i in (2, 4, 6, 8)] + [(3, f"kright{i}") for i in range(1, 9)] + [(4, None)]),
+])
+def test_optional(spark, ask, left, right, rows):
+    hold(spark, api.left_join(ask(OPTIONAL, left), ask(OPTIONAL, right)), ["o", "s"], rows)
+
+
+@pytest.mark.parametrize(("left", "right", "columns", "rows"), [
+    ("SELECT ?o WHERE { :left1 :p1 ?o }", "?r :q1 ?o", "o", [(23,)]),
+    ("SELECT ?o WHERE { :left2 :p1 ?o }", "?r :q1 ?o", "o", []),
+    ("SELECT ?o WHERE { :left3 :p1 ?o }", "?r :q1 ?o", "o", [(3,)]),
+    ("SELECT ?o WHERE { :left4 :p1 ?o }", "?r :q1 ?o", "o", [(7,)]),
+    ("SELECT ?o WHERE { :left5 :p1 ?o }", "?r :q1 ?o", "o", [(17,), (27,)]),
+    ("SELECT * WHERE { :left13 :p2 ?o }", "?x :q2 ?o", "o", []),
+    ("SELECT * WHERE { :left13 :p2 ?o }", "?x :q2 ?z", "o", []),
+    ("SELECT * WHERE { :left11 :p2 ?o }", "?x :q2 ?y", "o", [(2,)]),
+    ("SELECT * WHERE { :left12 :p2 ?o }", "?x :q2 ?y", "o", [(2,), (3,)]),
+    ("SELECT * WHERE { ?s :p2 ?o }", "?x :q2 ?y", "s o", [("left11", 2), ("left12", 2), ("left12", 3)]),
+    ("SELECT * WHERE { ?l :p3 ?o }", "?r :q3 ?o", "l o", [("left21", n) for n in range(12, 19, 2)] + [("left22", n) for n in range(21, 30, 2)] + [("left23", n) for n in range(32, 39, 2)]),
+])
+def test_minus(spark, ask, left, right, columns, rows):
+    hold(spark, api.minus(ask(MINUS, left), ask(MINUS, ALL.format(right))), columns.split(), rows)
+
+
+ODDS = [*range(11, 20, 2), *range(22, 29, 2)]
+
+
+@pytest.mark.parametrize(("left", "right", "columns", "some", "none"), [
+    ("SELECT * WHERE { :left1 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "o", [(1,)], []),
+    ("SELECT ?o WHERE { :left2 :p1 ?o }", "SELECT ?s WHERE { ?s :q1 ?o }", "o", [], [(2,)]),
+    ("SELECT * WHERE { :left3 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "o", [(4,)], [(5,)]),
+    ("SELECT * WHERE { :left4 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "o", [(7,)], [(6,)]),
+    ("SELECT * WHERE { :left5 :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "o", [(8,)], []),
+    ("ASK { ?s :p1 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "", [()], []),
+    ("ASK { ?s :p1 ?o }", "SELECT * WHERE { ?s :q0 ?o }", "", [], [()]),
+    ("ASK { ?s :p0 ?o }", "SELECT * WHERE { ?s :q1 ?o }", "", [], []),
+    ("SELECT ?o WHERE { ?s :p2 ?o }", "SELECT ?s WHERE { ?s :q2 ?o }", "o", [(n,) for n in ODDS], [(n,) for n in [*range(11, 20), *range(21, 30)] if n not in ODDS]),
+])
+def test_existence(spark, ask, left, right, columns, some, none):
+    forms = {right, ANY.format(right[right.index("{") + 1 : -1].strip())} if left[:3] != "ASK" else {right}
+    for form in sorted(forms):
+        a, b = ask(EXISTS, left), ask(EXISTS, form)
+        if left[:3] == "ASK":  # rows without variables: whether there is one
+            a = a.slice(0, 1)
+        hold(spark, api.exists(a, b), columns.split(), some)
+        hold(spark, api.exists(a, b, negate=True), columns.split(), none)
+
+
+@pytest.mark.parametrize(("predicate", "exprs", "rows"), [
+    ("p1", ["?o = 1"], [1]), ("p1", ["?o > 0"], [1]), ("p1", ["?o = 1", "?o > 0"], [1]), ("p1", ["?o > 1"], []), ("p1", ["?o = 1", "?o > 1"], []),
+    ("p2", ["?o = 1"], [1]), ("p2", ["?o = 2"], [2]), ("p2", ["?o = 2", "?o > 1"], [2]), ("p2", ["?o = 2", "?o > 2"], []),
+    ("p3", ["?o > 3", "?o < 7"], [4, 5, 6]), ("p3", ["?o != 4", "?o > 0"], [1, 2, 3, 5, 6, 7, 8, 9]),
+])
+def test_filters(spark, ask, predicate, exprs, rows):
+    first = {"p1": 10, "p2": 20, "p3": 30}[predicate]
+    hold(spark, ask(FILTERS, f"SELECT * WHERE {{ ?s :{predicate} ?o }}").filter(*exprs), ["s", "o"], [(f"left{first + n}", n) for n in rows])
