@@ -27,17 +27,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima are tables of their own, so that the joins with them may be split where a node has very many links
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        large = written(large.where(F.col("a") != F.col("b")).distinct(), "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        joined = large.join(least, "a")
         before = edges
         edges = written(
             joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct(),
+            .union(least.select("a", F.col("m").alias("b"))).distinct(),
             "links",
         )
+        for table in (low, large, least):
+            discard(table)
         if before is not first:  # ``nodes`` reads that one
             discard(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
