@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .plans import lower as _lower
 from .plans.flags import OperatorFlags
-from .plans.plan import Distinct, Empty, Exists, Filter, Join, Leaf, LeftJoin, Merge, Minus, Plan, Project, Slice, Union
+from .plans.plan import Distinct, Empty, Exists, Filter, Join, Lateral, Leaf, LeftJoin, Merge, Minus, Plan, Project, Slice, Union
 from .sources.tables import TableSource
 from .sources.triples import TriplesSource
 
@@ -41,6 +41,11 @@ def left_join(left: Plan, right: Plan, flags: OperatorFlags = NONE) -> Plan:
     return LeftJoin(left, right, flags)
 
 
+def lateral_join(left: Plan, right: Plan, outer: bool = False, flags: OperatorFlags = NONE) -> Plan:
+    """A join whose right side, a slice for example, is evaluated for each left row."""
+    return Lateral(left, right, outer, flags)
+
+
 def union(*plans: Plan, flags: OperatorFlags = ASYNC) -> Plan:
     return Union(plans, flags)
 

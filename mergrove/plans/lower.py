@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ..functions.sparql_text import common_vars
 from ..operators import joins, sets
 from ..operators.solution import Solution, fresh, from_frame
 from .flags import OperatorFlags, Strategy, choose
-from .plan import Distinct, Empty, Exists, Filter, Join, Leaf, LeftJoin, Merge, Minus, Plan, Project, Slice, Union
+from .plan import Distinct, Empty, Exists, Filter, Join, Lateral, Leaf, LeftJoin, Merge, Minus, Plan, Project, Slice, Union
 from .reorder import reorder
 
 _NONE: frozenset[str] = frozenset()
@@ -152,6 +152,37 @@ class Lowering:
         right, extra = self._sides(left, plan.right, needed)
         return self._pair(left, right, extra, joins.LEFT, _hint(plan.flags)).keep(plan.public_vars, needed)
 
+    def _lateral(self, plan: Lateral, needed):
+        """A join of rows that carry a number each; a slice on the right then counts within a number."""
+        part = plan.right if isinstance(plan.right, Slice) else Slice(plan.right)
+        order = [v.lstrip("-") for v in part.order_by]
+        left = self.lower(plan.left, needed)
+        row, place = fresh("row"), fresh("place")
+        left = Solution(left.df.withColumn(row, F.monotonically_increasing_id()), left.public, {**left.columns, row: (row,)}, left.maybe, left.nt)
+        inner = part.input if set(order) <= set(part.input.public_vars) else Project(part.input, tuple(dict.fromkeys((*part.input.public_vars, *order))))
+        right, extra = self._sides(left, inner, needed | frozenset(order))
+        unknown = [v for v in order if not right.has(v)]
+        if unknown:
+            raise IllegalArgument(f"no variable {unknown} to order by")
+        out = self._pair(left, right, extra, joins.LEFT if plan.outer else joins.INNER, _hint(plan.flags))
+        if part.offset or part.limit is not None:
+            keys = [out.col(v[1:]).desc_nulls_last() if v.startswith("-") else out.col(v).asc_nulls_first() for v in part.order_by]
+            numbered = out.df.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(*keys or [F.lit(0)])))
+            last = F.lit(True) if part.limit is None else F.col(place) <= part.offset + part.limit
+            kept = (F.col(place) > part.offset) & last
+            out = Solution(numbered.where(kept).drop(place), out.public, out.columns, out.maybe, out.nt)
+            if plan.outer:  # rows whose whole slice is gone stay too
+                lone = self._again(plan, left, out, row)
+                out = Solution(out.df.unionByName(lone, allowMissingColumns=True), out.public, out.columns, out.maybe, out.nt)
+        columns = {v: c for v, c in out.columns.items() if v != row}
+        return Solution(out.df.drop(row), out.public, columns, out.maybe, out.nt).keep(plan.public_vars, needed)
+
+    @staticmethod
+    def _again(plan: Lateral, left: Solution, out: Solution, row: str) -> DataFrame:
+        """Left rows of which ``out`` has none."""
+        own = left.df.join(out.df.select(F.col(row).alias("row__done")).distinct(), F.col(row) == F.col("row__done"), "left_anti")
+        return own.select(*[c for c in own.columns if c in out.df.columns], *[left.col(v).alias(out.columns[v][0]) for v in left.public if out.columns[v][0] not in own.columns])
+
     def _exists(self, plan: Exists, needed):
         left = self.lower(plan.left, needed)
         right, extra = self._sides(left, plan.right, _NONE)

@@ -62,6 +62,9 @@ class Plan:
     def left_join(self, other: Plan, **k) -> Plan:
         return LeftJoin(self, other, **k)
 
+    def lateral_join(self, other: Plan, outer: bool = False, **k) -> Plan:
+        return Lateral(self, other, outer, **k)
+
     def union(self, *others: Plan, **k) -> Plan:
         return Union((self, *others), **k)
 
@@ -206,6 +209,19 @@ class LeftJoin(_Binary):
         return tuple(merge_vars(self.left.public_vars, self.right.public_vars))
 
 
+@dataclass(frozen=True)
+class Lateral(_Binary):
+    """The join in which the right is evaluated for each left row by itself: its slice, if it is one, counts for each
+    (``outer``: a left row without a match stays)."""
+
+    outer: bool = False
+    flags: OperatorFlags = NO_FLAGS
+
+    @property
+    def public_vars(self):
+        return tuple(merge_vars(self.left.public_vars, self.right.public_vars))
+
+
 @dataclass(frozen=True)
 class Exists(_Binary):
     """Left rows for which the right has (``negate``: has not) a compatible row."""

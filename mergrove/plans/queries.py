@@ -311,6 +311,21 @@ def slice_past_end(scan):
     return scan("nation", name="n_name").slice(20, 100, ("name",))
 
 
+@register("""SELECT c_custkey AS c, o_orderkey AS o, o_totalprice AS price FROM customer JOIN (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) ON c_custkey = o_custkey WHERE k BETWEEN 2 AND 4""")
+def lateral_slice(scan):
+    """Of each customer the second to fourth most expensive order: a slice for each left row."""
+    orders = scan("orders", o="o_orderkey", c="o_custkey", price="o_totalprice").slice(1, 3, ("-price", "o"))
+    return scan("customer", c="c_custkey").lateral_join(orders)
+
+
+@register("""SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_totalprice > 300000) WHERE k = 2) ON c_custkey = o_custkey""")
+def lateral_slice_outer(scan):
+    orders = scan("orders", o="o_orderkey", c="o_custkey", where="o_totalprice > 300000").slice(1, 1, ("o",))
+    return scan("customer", c="c_custkey").lateral_join(orders, outer=True)
+
+
 # --- existence
 
 

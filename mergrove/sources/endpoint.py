@@ -7,6 +7,7 @@ after connection errors and 5xx answers; reading has no side effects, so retried
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -14,6 +15,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from ..errors import BadQuery, MalformedResults, ServerError, WrongQueryType
 from ..functions import sparql_text
 from ..operators.solution import Solution, from_frame
 from .config import Configuration, Endpoint, MediaType, escape_query_param
-from .results_text import parse
+from .results_text import parse_stream
 from .web_socket import converse
 
 
@@ -60,18 +62,19 @@ class _NoRedirects(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def fetch(endpoint: Endpoint, query: str, graph: bool = False, retries: int | None = None, wait: float | None = None) -> tuple[MediaType, bytes]:
-    """The answer's media type and body."""
+def opened(endpoint: Endpoint, query: str, graph: bool = False, retries: int | None = None, wait: float | None = None):
+    """The answer's media type, and the answer itself, still to be read."""
     retries = int(setting("client.conn.retries", "3")) if retries is None else retries
     wait = float(setting("client.conn.wait", "1.0")) if wait is None else wait
     opener = urllib.request.build_opener(_NoRedirects)
     for left in range(retries, -1, -1):
         try:
-            with opener.open(request(endpoint, query, graph), timeout=600) as answer:
-                kind = answer.headers.get("Content-Type")
-                if not kind:
-                    raise MalformedResults("the answer has no Content-Type")
-                return MediaType.parse(kind), answer.read()
+            answer = opener.open(request(endpoint, query, graph), timeout=600)
+            kind = answer.headers.get("Content-Type")
+            if not kind:
+                answer.close()
+                raise MalformedResults("the answer has no Content-Type")
+            return MediaType.parse(kind), answer
         except urllib.error.HTTPError as e:
             if e.code < 500 or not left:
                 raise ServerError(e.code, e.read(500).decode("utf-8", "replace")) from e
@@ -82,17 +85,28 @@ def fetch(endpoint: Endpoint, query: str, graph: bool = False, retries: int | No
     raise AssertionError
 
 
+def fetch(endpoint: Endpoint, query: str, graph: bool = False, **options) -> tuple[MediaType, bytes]:
+    """The answer's media type and its whole body."""
+    kind, answer = opened(endpoint, query, graph, **options)
+    with answer:
+        return kind, answer.read()
+
+
 def rows(endpoint: Endpoint, query: str, names: Sequence[str], **options) -> Iterator[tuple]:
-    """Rows of a SELECT or ASK query, in the order of ``names``; variables that the answer lacks are unbound."""
+    """Rows of a SELECT or ASK query as they arrive, in the order of ``names``; variables that the answer lacks are unbound."""
+
+    def ordered(found: Sequence[str], lines: Iterator[tuple]) -> Iterator[tuple]:
+        at = [found.index(v) if v in found else None for v in names]
+        for row in lines:
+            yield tuple(row[i] if i is not None else None for i in at)
+
     if endpoint.is_web_socket:
         talk = converse(endpoint.uri, query)
-        found, lines = talk.vars or [], (row for _, row in talk.rows)
-    else:
-        kind, body = fetch(endpoint, query, **options)
-        found, lines = parse(str(kind), body.decode(kind.charset))
-    at = [found.index(v) if v in found else None for v in names]
-    for row in lines:
-        yield tuple(row[i] if i is not None else None for i in at)
+        yield from ordered(talk.vars or [], (row for _, row in talk.rows))
+        return
+    kind, answer = opened(endpoint, query, **options)
+    with answer:
+        yield from ordered(*parse_stream(str(kind), io.TextIOWrapper(answer, kind.charset, newline="\n")))
 
 
 class SparqlDataSource(DataSource):
@@ -131,9 +145,12 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         if self.graph:
-            kind, body = fetch(self.endpoint, self.query, True)
-            for i in range(0, max(1, len(body)), self.CHUNK):
-                yield i // self.CHUNK, str(kind), body[i : i + self.CHUNK]
+            kind, answer = opened(self.endpoint, self.query, True)
+            with answer:
+                number, fragment = 0, answer.read(self.CHUNK)
+                while fragment or not number:
+                    yield number, str(kind), fragment
+                    number, fragment = number + 1, answer.read(self.CHUNK)
         elif self.names == ["_ask"]:
             yield from (("true",) for _ in rows(self.endpoint, self.query, []))
         else:
@@ -197,56 +214,91 @@ def values_query(query: str, names: Sequence[str], batch: Sequence[Sequence[str
     return f"{prologue}SELECT {' '.join('?' + v for v in wanted)} WHERE {{ VALUES ({' '.join('?' + v for v in names)}) {{ {cells} }} {pattern} }}{tail}", wanted
 
 
+def _bindings(endpoint: Endpoint, query: str, names: list[str], keys: list[tuple], public: list[str]) -> list[dict]:
+    """The rows of a query for a batch of bindings, each with the values it was bound to."""
+    if names and endpoint.is_web_socket:
+        # the server binds: rows come with the number of the binding they belong to
+        talk = converse(endpoint.uri, query if public else sparql_text.to_ask(query), names, keys)
+        return [dict(zip(talk.vars or [], r)) | {v: k for v, k in zip(names, keys[n]) if k is not None} for n, r in talk.rows]
+    text, wanted = values_query(query, names, keys) if names else (query, sparql_text.public_vars(query))
+    return [dict(zip(wanted, r)) for r in rows(endpoint, text, wanted)]
+
+
+class _Operand:
+    """One query of the right side, and its answers to a batch of left rows."""
+
+    def __init__(self, uri: str, query: str, columns: Sequence[str], kind: str):
+        self.endpoint, self.query = Endpoint.parse(uri), query
+        self.names = [c for c in columns if c in set(sparql_text.all_vars(query))]
+        self.public = [v for v in sparql_text.public_vars(query) if v not in columns] if kind in (JOIN, LEFT_JOIN) else []
+
+    def ask(self, part: list[dict]) -> None:
+        names = self.names
+        keys = list(dict.fromkeys(tuple(r[v] for v in names) for r in part))
+        self.found = _bindings(self.endpoint, self.query, names, keys, self.public)
+        self.index: dict[tuple, list[dict]] = {}
+        self.loose: list[dict] = []
+        for f in self.found:
+            key = tuple(f.get(v) for v in names)
+            (self.index.setdefault(key, []) if None not in key else self.loose).append(f)
+
+    def matches(self, r: dict, kind: str) -> list[dict]:
+        key = tuple(r[v] for v in self.names)
+        if None in key:
+            match = [f for f in self.found if all(a is None or f.get(v) is None or a == f.get(v) for a, v in zip(key, self.names))]
+        else:
+            match = self.index.get(key, []) + [f for f in self.loose if all(f.get(v) in (None, a) for a, v in zip(key, self.names))]
+        if kind == MINUS:
+            match = [f for f in match if any(r[v] is not None and f.get(v) is not None for v in self.names)]
+        return match
+
+
 def bind_join(left: DataFrame, uri: str, query: str, kind: str = JOIN, batch_rows: int = 512, ask_collapse: bool = False) -> DataFrame:
     """``left`` (columns of N-Triples text) joined with a query, evaluated by the endpoint for batches of its rows.
 
     ``kind`` is one of the five kinds of binding.  ``ask_collapse`` keeps a left row once however many
     matches it has if the query selects nothing else.
     """
-    names = [c for c in left.columns if c in set(sparql_text.all_vars(query))]
-    public = [v for v in sparql_text.public_vars(query) if v not in left.columns] if kind in (JOIN, LEFT_JOIN) else []
-    if kind == MINUS and not names:
-        return left
-    out_names = [*left.columns, *public]
-    schema = T.StructType([*left.schema.fields, *[T.StructField(v, T.StringType()) for v in public]])
+    return bind_union(left, [(uri, query)], kind, False, batch_rows, ask_collapse)
+
+
+def bind_union(left: DataFrame, operands: Sequence[tuple[str, str]], kind: str = JOIN, merge: bool = False, batch_rows: int = 512, ask_collapse: bool = False) -> DataFrame:
+    """``left`` joined with the union of several ``(uri, query)`` (``merge``: a match as often as in the operand that has it
+    most often).  Every batch of left rows is read once and sent to all operands."""
     columns = left.columns
+    shape = [_Operand(u, q, columns, kind) for u, q in operands]
+    public = list(dict.fromkeys(v for o in shape for v in o.public))
+    if kind == MINUS:
+        operands = [x for x, o in zip(operands, shape) if o.names]  # one that shares no variable removes nothing
+        if not operands:
+            return left
+    out_names = [*columns, *public]
+    schema = T.StructType([*left.schema.fields, *[T.StructField(v, T.StringType()) for v in public]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        endpoint = Endpoint.parse(uri)
+        sides = [_Operand(u, q, columns, kind) for u, q in operands]
         for batch in batches:
             table = batch.to_pylist()
             for at in range(0, len(table), batch_rows):
-                part = table[at : at + batch_rows]
-                keys = list(dict.fromkeys(tuple(r[v] for v in names) for r in part))
-                if names and endpoint.is_web_socket:
-                    # the server binds: rows come with the number of the binding they belong to
-                    talk = converse(endpoint.uri, query if public else sparql_text.to_ask(query), names, keys)
-                    found = [dict(zip(talk.vars or [], r)) | {v: k for v, k in zip(names, keys[n]) if k is not None} for n, r in talk.rows]
-                else:
-                    text, wanted = values_query(query, names, keys) if names else (query, sparql_text.public_vars(query))
-                    found = [dict(zip(wanted, r)) for r in rows(endpoint, text, wanted)]
-                index: dict[tuple, list[dict]] = {}
-                loose: list[dict] = []
-                for r in found:
-                    key = tuple(r.get(v) for v in names)
-                    (index.setdefault(key, []) if None not in key else loose).append(r)
-                out = []
+                part, out = table[at : at + batch_rows], []
+                for side in sides:
+                    side.ask(part)
                 for r in part:
-                    key = tuple(r[v] for v in names)
-                    if None in key:
-                        match = [f for f in found if all(a is None or f.get(v) is None or a == f.get(v) for a, v in zip(key, names))]
-                    else:
-                        match = index.get(key, []) + [f for f in loose if all(f.get(v) in (None, a) for a, v in zip(key, names))]
-                    if kind == MINUS:
-                        match = [f for f in match if any(r[v] is not None and f.get(v) is not None for v in names)]
-                    if kind in (JOIN, LEFT_JOIN):
-                        match = match[:1] if ask_collapse and not public else match
-                        for f in match:
-                            out.append(tuple(r[c] if r[c] is not None else f.get(c) for c in columns) + tuple(f.get(v) for v in public))
-                        if not match and kind == LEFT_JOIN:
-                            out.append(tuple(r[c] for c in columns) + (None,) * len(public))
-                    elif bool(match) == (kind == EXISTS):
-                        out.append(tuple(r[c] for c in columns))
+                    plain = tuple(r[c] for c in columns)
+                    each = [side.matches(r, kind) for side in sides]
+                    if kind not in (JOIN, LEFT_JOIN):
+                        if any(each) == (kind == EXISTS):
+                            out.append(plain)
+                        continue
+                    made = [[tuple(r[c] if r[c] is not None else f.get(c) for c in columns) + tuple(f.get(v) for v in public) for f in match] for match in each]
+                    if ask_collapse and not public:
+                        made = [m[:1] for m in made]
+                    if merge:
+                        most: Counter = Counter()
+                        for m in made:
+                            most |= Counter(m)
+                        made = [list(most.elements())]
+                    out += [x for m in made for x in m] or ([plain + (None,) * len(public)] if kind == LEFT_JOIN else [])
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], out_names)
 

@@ -14,7 +14,7 @@ from mergrove.functions import terms
 from mergrove.plans.plan import Leaf
 from mergrove.sources import results_text
 from mergrove.sources.config import Configuration, Endpoint, MediaType, escape_query_param
-from mergrove.sources.endpoint import EndpointSource, bind_join, fetch, graph_text, register, request, values_query
+from mergrove.sources.endpoint import EndpointSource, bind_join, bind_union, fetch, graph_text, register, request, values_query
 from mergrove.sources.results_files import ResultsFileSource, write_results
 from mergrove.sources.triples import TriplesSource, read_turtle, triples_of_table
 from mergrove.sources.web_socket import Conversation
@@ -375,6 +375,63 @@ def test_bound_queries(spark, server):
     assert text == "PREFIX : <x> SELECT ?s ?o WHERE { VALUES (?s) { (<a>) (UNDEF) } {?s :p ?o} } LIMIT 5" and wanted == ["s", "o"]
 
 
+def test_bound_unions(spark, server):
+    """A right side of several queries: each batch of left rows goes to all of them."""
+    left = spark.createDataFrame([("<s1>", "<x>"), ("<s3>", "<y>")], "s string, k string").coalesce(1)
+    query, uri = "SELECT ?s ?o WHERE {?s <p> ?o}", f"post,tsv@{server}/b"
+    run = lambda n, kind, **o: Counter(tuple(r) for r in bind_union(left, [(uri, query)] * n, kind, **o).collect())
+    once = [("<s1>", "<x>", '"a"'), ("<s1>", "<x>", '"b"')]
+    for n in (1, 2, 3, 16):
+        assert run(n, "join") == Counter(once * n) and run(n, "join", merge=True, batch_rows=1) == Counter(once)
+        assert run(n, "left_join") == Counter([*once * n, ("<s3>", "<y>", None)])
+        assert run(n, "exists") == Counter([("<s1>", "<x>")]) and run(n, "not_exists") == run(n, "minus") == Counter([("<s3>", "<y>")])
+    other = [(uri, query), (uri, "SELECT ?q WHERE {?q <p> ?r}")]
+    assert bind_union(left, other, "minus").count() == 1 and bind_union(left, other[1:], "minus") is left
+    assert bind_union(left, other, "join").columns == ["s", "k", "o", "q"]
+
+
+class Slow:
+    """A stream that gives a few characters at a time, and tells how far it has been read."""
+
+    def __init__(self, text, size):
+        self.text, self.size, self.given = text, size, 0
+
+    def read(self, _=None):
+        piece = self.text[self.given : self.given + self.size]
+        self.given += len(piece)
+        return piece
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_json_as_it_arrives(size):
+    cells = [{"x": {"type": "literal", "value": v}} for v in ("a", 'quo"te', "brace } ] {", "back\\slash", "\u00e9\u2028", "end,]")] + [{}, {"x": {"type": "uri", "value": "http://a/[b]"}}]
+    doc = {"head": {"vars": ["x", "y"], "link": ["bindings", "results"]}, "results": {"ordered": False, "bindings": cells}}
+    late = {"results": doc["results"], "head": doc["head"]}
+    want = results_text.parse_json(json.dumps(doc))[1]
+    want = [*want]
+    for text in (json.dumps(doc), json.dumps(doc, indent=2), json.dumps(late), json.dumps(doc).replace("}}]", "}},]").replace("]}}", "],},}")):
+        names, rows = results_text.stream_json(Slow(text, size))
+        assert names == ["x", "y"] and [*rows] == want
+    assert [*results_text.stream_json(Slow('{"head": {}, "boolean": true}', size))[1]] == [()]
+    assert [*results_text.stream_json(Slow('{"boolean": "false"}', size))[1]] == []
+    for bad in ('{"head": {"vars": ["x"]}, "results": {"bindings": [{"x": {"type": "literal", "value": "a', "{1: 2}", '{"odd": 1}', "no json"):
+        with pytest.raises(MalformedResults):
+            [*results_text.stream_json(Slow(bad, size))[1]]
+
+
+def test_rows_come_before_the_answer_ends():
+    cell = '{"x": {"type": "literal", "value": "%d"}}'
+    stream = Slow('{"head": {"vars": ["x"]}, "results": {"bindings": [' + ", ".join(cell % i for i in range(5000)) + "]}}", 1000)
+    _, rows = results_text.stream_json(stream)
+    assert next(rows) == ('"0"',) and stream.given < 3000 and len([*rows]) == 4999
+
+
+def test_lines_equal_to_the_header_are_rows(spark, tmp_path):
+    (tmp_path / "r.tsv").write_text("?x\n?x\n?x\n<http://a>\n")
+    got = Counter(r.x for r in api.run(Leaf(ResultsFileSource(spark, str(tmp_path / "r.tsv"))), spark).collect())
+    assert got == Counter({'"?x"': 2, "<http://a>": 1})
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 16, 10_000])
 def test_web_socket_conversation(size):
     talk = Conversation("SELECT ?o WHERE {?s <p> ?o}", ["s"], [["<a>"], ["<b>"], [None]])
