@@ -86,7 +86,7 @@ def _pivots(classes: DataFrame, wanted: int, spread: int = 1024) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
-                    cell_rows: int = 8192, chunk_rows: int = 8192, pivot_bytes: int = 32 << 20) -> DataFrame:
+                    cell_rows: int = 4096, chunk_rows: int = 4096, pivot_bytes: int = 32 << 20) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
     ``n_links``: other rows linked directly; ``component_id``: smallest id reachable over links; ``kept``: whether
