@@ -217,14 +217,17 @@ def grow(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
 
     def split(at: np.ndarray, step: int, free: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The nodes of the suffixes ``at``, split by the node ``step`` words on, and which are not alone in theirs."""
-        on = np.where(at + step < n, node[np.minimum(at + step, n - 1)], -1)
-        order = np.lexsort((on, node[at]))
-        first, second = node[at][order], on[order]
+        on = np.where(at + step < n, node[np.minimum(at + step, n - 1)], free)
+        both = node[at] * (free + 1) + on  # names are below ``free``, which is a few times the number of words at most
+        order = np.argsort(both)
+        ranked = both[order]
         new = np.ones(len(at), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
         number = np.cumsum(new) - 1
         out, many = np.empty(len(at), np.int64), np.empty(len(at), bool)
-        out[order], many[order] = free + number, np.bincount(number)[number] > 1 if len(at) else False
+        out[order] = free + number
+        # not alone: equal to the one before or after
+        many[order] = ~(new & np.r_[new[1:], True])
         return out, many, free + int(new.sum())
 
     while 2 * depth <= window and len(going):
