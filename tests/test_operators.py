@@ -58,6 +58,60 @@ def test_joins_match_plain_evaluator(spark, seed):
     assert rows_of(l.minus(r), spark) == brute.bag(brute.minus(dl, dr), a)
 
 
+@pytest.mark.parametrize(("n", "seed"), [(2, 1), (3, 2), (4, 3), (5, 4)])
+def test_joins_on_several_uncertain_variables(spark, n, seed):
+    """Any of the shared variables may be unbound: each set of them that two rows have in common, none included."""
+    rng = random.Random(seed)
+    shared = [f"v{i}" for i in range(n)]
+    a, b = ["x", *shared], [*shared, "y"]
+    left, right = ([tuple(None if rng.random() < 0.4 else rng.randrange(2) for _ in names) for _ in range(14)] for names in (a, b))
+    l, r = table(spark, a, left), table(spark, b, right)  # noqa: E741
+    dl, dr, both = dicts(a, left), dicts(b, right), ["x", *shared, "y"]
+    assert rows_of(l.join(r), spark) == brute.bag(brute.join(dl, dr), both)
+    assert rows_of(l.left_join(r), spark) == brute.bag(brute.left_join(dl, dr, both), both)
+    assert rows_of(l.exists(r), spark) == brute.bag(brute.exists(dl, dr), a)
+    assert rows_of(l.not_exists(r), spark) == brute.bag(brute.exists(dl, dr, True), a)
+    assert rows_of(l.minus(r), spark) == brute.bag(brute.minus(dl, dr), a)
+    # with a condition over both sides
+    told = r.filter("?y = ?x")
+    fits = lambda x, y: brute.compatible(x, y) and x["x"] is not None and x["x"] == y["y"]
+    assert rows_of(l.join(told), spark) == brute.bag([brute.merged(x, y) for x in dl for y in dr if fits(x, y)], both)
+    assert rows_of(l.exists(told), spark) == brute.bag([x for x in dl if any(fits(x, y) for y in dr)], a)
+    assert rows_of(l.not_exists(told), spark) == brute.bag([x for x in dl if not any(fits(x, y) for y in dr)], a)
+
+
+def test_copies_beyond_one_run(spark):
+    """A row that Merge has to repeat more often than one array may hold."""
+    many = spark.range(10_000).selectExpr("1 AS x", "2 AS y").union(spark.createDataFrame([(3, 4)], "x int, y int"))
+    few = table(spark, ["x", "y"], [(1, 2), (3, 4), (3, 4)])
+    got = api.run(api.merge(Leaf(TableSource(many)), few), spark).groupBy("x", "y").count().collect()
+    assert {tuple(r) for r in got} == {(1, 2, 10_000), (3, 4, 2)}
+    bare = api.merge(Leaf(TableSource(many)).project(), few.project())
+    assert api.run(bare, spark).count() == 10_001
+
+
+def test_windowed_distinct_by_columns(spark):
+    rows = [(1, "a", float("nan")), (1, "a", float("nan")), (None, "a", 1.0), (None, "a", 1.0), (1, None, None), (1, "a", float("nan")), (2, "b", -0.5), (None, "a", 1.0)]
+    df = spark.createDataFrame(rows, "x int, s string, d double").coalesce(1)
+    for window, n in ((100, 4), (2, 6), (1, 6)):
+        plan = Leaf(TableSource(df)).distinct(window, flags=api.OperatorFlags.ALLOW_DUPLICATES)
+        assert len(api.run(plan, spark).collect()) == n, window
+    nested = spark.createDataFrame([([1, 2],), ([1, 2],), (None,), ([1],)], "v array<int>").coalesce(1)
+    assert api.run(Leaf(TableSource(nested)).distinct(10, flags=api.OperatorFlags.ALLOW_DUPLICATES), spark).count() == 3
+
+
+def test_lateral_slices(spark):
+    left, right = table(spark, ["k", "a"], [(1, 10), (2, 20), (3, 30), (3, 30)]), table(spark, ["k", "b"], [(1, 5), (1, 6), (1, 7), (3, 8), (3, 9)])
+    part = right.slice(1, 1, ("b",))
+    assert rows_of(left.lateral_join(part), spark) == Counter({(1, 10, 6): 1, (3, 30, 9): 2})
+    assert rows_of(left.lateral_join(part, outer=True), spark) == Counter({(1, 10, 6): 1, (2, 20, None): 1, (3, 30, 9): 2})
+    assert rows_of(left.lateral_join(right.slice(2, None, ("-b",))), spark) == Counter({(1, 10, 5): 1})
+    assert rows_of(left.lateral_join(right.slice(0, 0)), spark) == Counter()
+    assert rows_of(left.lateral_join(right), spark) == rows_of(left.join(right), spark)
+    assert rows_of(left.lateral_join(right.filter("?b > ?a - 3").slice(0, 1, ("b",))), spark) == Counter()
+    assert rows_of(left.join(part), spark) == Counter([(1, 10, 6)])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sets_match_plain_evaluator(spark, seed):
     rng = random.Random(100 + seed)
