@@ -1,11 +1,13 @@
 """Language identification: learning, calibration, held-out accuracy and odd input."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from mergrove.llm import langid
+from mergrove.llm import langid, queries
 
 SETS = {"aa": "the cat and dog with that this from", "bb": "der und die nicht mit auf eine ist", "cc": "que los para una como más pero está"}
 
@@ -79,3 +81,98 @@ def test_odd_input(spark):
     assert langid.identify(empty).count() == 0
     blind = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(blind).collect()] == ["und"]
+
+
+def plain_columns(text):
+    """Columns and counts of a text's character n-grams, one n-gram at a time."""
+    folded = " ".join("".join(c.lower() if c.lower().isalpha() else " " for c in text or "").split())
+    counts = Counter()
+    if not folded:
+        return counts
+    padded = f" {folded} "
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            key = 0
+            for c in padded[i : i + n]:
+                key = (key * 31 + ord(c)) * 0x9E3779B1 % 2**32
+                key ^= key >> 15
+            counts[key % langid.COLUMNS] += 1
+    return counts
+
+
+def plain_learn(rows, y, k, alpha=0.5, beta=1.0, l1=0.02, l2=0.5):
+    """Follow-the-regularised-leader coordinate by coordinate; ``rows`` are dicts, the bias is the column None."""
+    z, n = {}, {}
+
+    def weight(c, j):
+        s = z.get((c, j), 0.0)
+        if abs(s) <= (0 if c is None else l1):
+            return 0.0
+        return -(s - math.copysign(0 if c is None else l1, s)) / ((beta + math.sqrt(n.get((c, j), 0.0))) / alpha + (0 if c is None else l2))
+
+    def odds(row):
+        logits = [weight(None, j) + sum(v * weight(c, j) for c, v in row.items()) for j in range(k)]
+        top = max(logits)
+        e = [math.exp(x - top) for x in logits]
+        return [x / sum(e) for x in e], logits
+
+    order = np.random.default_rng(1)
+    for _ in range(6):
+        mix = order.permutation(len(rows))
+        for start in range(0, len(mix), 16):
+            some = mix[start : start + 16]
+            errors = [(rows[i], [p - (j == y[i]) for j, p in enumerate(odds(rows[i])[0])]) for i in some]
+            step = {}
+            for row, e in errors:
+                for c, v in [*row.items(), (None, 1.0)]:
+                    for j in range(k):
+                        step[c, j] = step.get((c, j), 0.0) + v * e[j]
+            w = {key: weight(*key) for key in step}
+            for key, g in step.items():
+                before = n.get(key, 0.0)
+                n[key] = before + g * g
+                z[key] = z.get(key, 0.0) + g - (math.sqrt(n[key]) - math.sqrt(before)) / alpha * w[key]
+    return lambda row: odds(row)[1]
+
+
+def test_query_against_plain_version(spark, tmp_path):
+    """The whole query: columns, document frequencies, weights, learning, temperature and prediction from the definitions."""
+    rows = [(i, t, lang, "s") for i, t, lang in corpus(90)] + [(500, None, "aa", "s"), (501, "12 + 3", "bb", "s"), (502, "ÄÖ ß straße", None, "s"), (None, "the cat", "aa", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_language(spark, str(tmp_path)).collect()}
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(i, t, lang) for i, t, lang, _ in rows if not fold(i) and t is not None and lang is not None]
+    hashes = {(r.i, r.t): r.h for r in spark.createDataFrame(train, "i long, t string, l string").selectExpr("i", "t", f"pmod(xxhash64(i, t), {1 << 40}) AS h").collect()}
+    train.sort(key=lambda r: hashes[r[:2]])
+    texts = [plain_columns(t) for _, t, _ in train]
+    seen = Counter(c for x in texts for c in x)
+    n = sum(bool(x) for x in texts)
+
+    def tfidf(counts):
+        x = {c: math.log1p(k) * (math.log((1 + n) / (1 + seen[c])) + 1) for c, k in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {c: v / size for c, v in x.items()}
+
+    kept = [(tfidf(x), sorted(SETS).index(lang)) for x, (_, _, lang) in zip(texts, train) if x]
+    learn, aside = [r for i, r in enumerate(kept) if i % 5 != 4], [r for i, r in enumerate(kept) if i % 5 == 4]
+    logits = plain_learn([x for x, _ in learn], [k for _, k in learn], len(SETS))
+
+    def odds(row, t):
+        e = [math.exp((v - max(logits(row))) / t) for v in logits(row)]
+        return [v / sum(e) for v in e]
+
+    shown = [(logits(x), k) for x, k in aside]
+    loss = lambda t: -sum(v[k] / t - math.log(sum(math.exp(u / t) for u in v)) for v, k in shown)
+    # where the loss is flat many temperatures are as good: that of the model has to be as good as any on a grid
+    grid = min((math.exp(math.log(0.02) + (math.log(20) - math.log(0.02)) * i / 2000) for i in range(2001)), key=loss)
+    best = langid.train(spark.read.parquet(f"{tmp_path}/documents.parquet")).temperature
+    assert 0.02 <= best <= 20 and loss(best) <= loss(grid) + 1e-6
+    for i, t, _, _ in rows:
+        counts = plain_columns(t)
+        if not counts:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = odds(tfidf(counts), best)
+        assert abs(got[i].score - max(p)) < 1e-3 and got[i].held_out == fold(i)
+        if sorted(p)[-1] - sorted(p)[-2] > 2e-3:
+            assert got[i].lang_pred == sorted(SETS)[p.index(max(p))]
