@@ -42,6 +42,8 @@ def union(inputs: list[Solution], needed: frozenset[str] = frozenset()) -> Solut
     return _with(out, reduce(DataFrame.union, frames))
 
 
+#: Up to so many inputs Merge counts side by side.
+MOST_COUNTS = 16
 #: Copies of a row are made in runs of so many, so that no array holds more.
 RUN = 4096
 
@@ -65,7 +67,12 @@ def merge(inputs: list[Solution], needed: frozenset[str] = frozenset()) -> Solut
         counts = reduce(DataFrame.union, [f.agg(F.count("*").alias(n)) for f in frames]).agg(F.max(n).alias(n))
         return _with(out, _copies(counts.where(F.col(n) > 0), n))
     tagged = reduce(DataFrame.union, [f.withColumn(src, F.lit(i)) for i, f in enumerate(frames)])
-    counts = tagged.groupBy(*names, src).agg(F.count("*").alias(n)).groupBy(*names).agg(F.max(n).alias(n))
+    if len(frames) <= MOST_COUNTS:  # a count for each input, in one exchange
+        each = [fresh("n") for _ in frames]
+        counts = tagged.groupBy(*names).agg(*[F.count_if(F.col(src) == i).alias(c) for i, c in enumerate(each)])
+        counts = counts.select(*names, (F.greatest(*each) if len(each) > 1 else F.col(each[0])).alias(n))
+    else:
+        counts = tagged.groupBy(*names, src).agg(F.count("*").alias(n)).groupBy(*names).agg(F.max(n).alias(n))
     return _with(out, _copies(counts, n))
 
 

@@ -6,7 +6,6 @@ unbound values make their own.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,10 @@ from pyspark.sql import types as T
 from .. import api
 from ..functions import expr, terms
 from ..sources.results_files import ResultsFileSource, write_results
+from ..sources.shared import shared_folder
 from ..sources.tables import TableSource
 from ..sources.triples import TriplesSource, triples_of_table
+from ..streaming import operators as streaming
 from .flags import OperatorFlags
 from .lower import lower
 from .plan import Leaf, Plan
@@ -49,7 +50,7 @@ def register(sql: str | None = None):
                 names = {c: c for c in columns} | {c: v for v, c in renamed.items()}
                 return Leaf(TableSource(df, names, hidden, never_null=True, name=table))
 
-            scan.spark, scan.frame = spark, lambda name: _table(spark, sf_dir, name)
+            scan.spark, scan.folder, scan.frame = spark, sf_dir, lambda name: _table(spark, sf_dir, name)
             out = function(scan)
             return api.run(out, spark) if isinstance(out, Plan) else out
 
@@ -546,8 +547,7 @@ def functions_casts(scan):
 
 
 def _file(scan, label: str) -> str:
-    folder = scan.spark.conf.get("spark.checkpoint.dir", None) or scan.spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/mergrove/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(scan.spark)}/mergrove/{label}-{uuid.uuid4().hex}"
 
 
 _ROUND = """SELECT '"' || n_name || '"' AS name, '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#int>' AS k, CASE WHEN n_regionkey <> 2 THEN '<http://example.org/' || n_regionkey || '>' END AS r FROM nation"""
@@ -586,3 +586,40 @@ def results_csv(scan):
     path = _file(scan, "results")
     scan.frame("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("k"), region.alias("r")).coalesce(1).write.csv(path, header=True, emptyValue="")
     return api.query(ResultsFileSource(scan.spark, path, "csv"))
+
+
+# --- streams: all that is there is processed as a stream into files, which are the result
+
+
+def _streamed(scan, sf_dir: str, table: str) -> DataFrame:
+    return scan.spark.readStream.schema(scan.frame(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def _drained(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """What a stream has made of its input so far."""
+    job = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+@register("SELECT event_id AS e, value AS v, c_name AS name FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase' AND value > 10")
+def stream_filter_join(scan):
+    """A stream of events filtered and joined with a table."""
+    events = Leaf(TableSource(_streamed(scan, scan.folder, "events"), {"event_id": "e", "user_id": "c", "event_type": "kind", "value": "v"}, never_null=True))
+    plan = events.filter('?kind = "purchase"', "?v > 10").join(scan("customer", c="c_custkey", name="c_name")).project("e", "v", "name")
+    return _drained(scan.spark, streaming.run(plan, scan.spark), _file(scan, "stream"))
+
+
+@register("SELECT event_id AS e FROM events WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 5000) UNION ALL SELECT event_id FROM events WHERE value < 5")
+def stream_exists_union(scan):
+    events = lambda **names: Leaf(TableSource(_streamed(scan, scan.folder, "events"), names, never_null=True))
+    rich = events(event_id="e", user_id="c").exists(scan("customer", c="c_custkey", where="c_acctbal > 5000")).project("e")
+    cheap = events(event_id="e", value="v").filter("?v < 5").project("e")
+    return _drained(scan.spark, streaming.run(rich.union(cheap), scan.spark), _file(scan, "stream"))
+
+
+@register("SELECT DISTINCT user_id AS user, event_type AS kind FROM events")
+def stream_distinct_within(scan):
+    """Distinct over a stream, within a span that covers all of it."""
+    events = _streamed(scan, scan.folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("user"), F.col("event_type").alias("kind"))
+    return _drained(scan.spark, streaming.distinct_within(events, "ts", "3650 days").select("user", "kind"), _file(scan, "stream"))

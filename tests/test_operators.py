@@ -86,6 +86,8 @@ def test_copies_beyond_one_run(spark):
     few = table(spark, ["x", "y"], [(1, 2), (3, 4), (3, 4)])
     got = api.run(api.merge(Leaf(TableSource(many)), few), spark).groupBy("x", "y").count().collect()
     assert {tuple(r) for r in got} == {(1, 2, 10_000), (3, 4, 2)}
+    several = api.merge(*[few] * 17, table(spark, ["x", "y"], [(3, 4)] * 3))  # more inputs than are counted side by side
+    assert rows_of(several, spark) == Counter({(1, 2): 1, (3, 4): 3})
     bare = api.merge(Leaf(TableSource(many)).project(), few.project())
     assert api.run(bare, spark).count() == 10_001
 
