@@ -195,7 +195,11 @@ def _content(plain: DataFrame) -> Column:
 
 def in_order(docs: DataFrame, partitions: int, **options) -> DataFrame:
     """The rows and columns of ``docs``, range-partitioned and sorted so that the files written from it, one after
-    the other, are the mixture."""
+    the other, are the mixture.
+
+    Rows with null sources, ids or texts and repeated rows have their places like any other; columns of any names pass
+    through; an empty table gives an empty one.
+    """
     cols = docs.columns
     at = cols.index(options.get("key_col", "doc_id"))
     mixed = mix(docs, **options)

@@ -139,9 +139,9 @@ def verified(sets: DataFrame, similarity: Fraction, radius: int, parts: int, chu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, 3):
-            table = table.combine_chunks()
             cluster, hi, lo, own, names, fp = (c.to_numpy() for c in table.columns[:6])
             held = table.column("keys").combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
             ends, flat = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
             size = np.diff(ends).astype(np.int64)
             a, b = [], []
