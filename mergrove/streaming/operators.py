@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IllegalArgument
-from ..plans.plan import Distinct, Exists, Leaf, LeftJoin, Merge, Minus, Plan, Slice
+from ..plans.plan import Distinct, Exists, Lateral, Leaf, LeftJoin, Merge, Minus, Plan, Slice
 
 
 def _streams(plan: Plan) -> bool:
@@ -29,6 +29,8 @@ def check(plan: Plan) -> None:
         return
     if isinstance(plan, Merge):
         raise IllegalArgument("Merge needs all rows of a stream")
+    if isinstance(plan, Lateral):
+        raise IllegalArgument("a lateral join numbers all rows of a stream")
     if isinstance(plan, Slice) and (plan.offset or plan.order_by):
         raise IllegalArgument("a stream has no order to slice by")
     if isinstance(plan, Distinct):

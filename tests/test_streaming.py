@@ -29,7 +29,7 @@ def test_plans_over_streams(spark, stream, tmp_path):
     assert len(finish(streaming.run(plan, spark), "joined", tmp_path, spark)) == 8
     both = leaf.exists(static).project("id").union(Leaf(TableSource(stream(), {"id": "id"})))
     assert len(finish(streaming.run(both, spark), "unioned", tmp_path, spark)) == 13 + 20
-    for bad in (leaf.merge(leaf), leaf.slice(1, 2), leaf.distinct(), static.minus(leaf), static.not_exists(leaf)):
+    for bad in (leaf.merge(leaf), leaf.slice(1, 2), leaf.distinct(), static.minus(leaf), static.not_exists(leaf), static.lateral_join(leaf.slice(0, 1))):
         with pytest.raises(IllegalArgument):
             streaming.run(bad, spark)
     assert api.run(leaf, spark).isStreaming
