@@ -72,7 +72,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts have no tokens; null ids and sources stay; repeated rows are encoded each.
     """
     keyed = _placed(docs).select(F.struct("doc_id", "source", "position").alias("doc_id"), "text")
-    coded = sentencepieces.encode(keyed, sentencepieces.read_model(MODEL), cache=150_000)  # a worker has other stages' memory too
+    coded = sentencepieces.encode(keyed, sentencepieces.read_model(MODEL), cache=150_000, chunk=1 << 19)  # a worker holds it in other stages too
     return coded.select("id.doc_id", "id.source", "id.position", "n_tokens", "ids", "ids_sha256", "round_trip", "parity")
 
 
