@@ -132,6 +132,7 @@ def verified(sets: DataFrame, similarity: Fraction, radius: int, parts: int, chu
     """``(a, b)``: links that span each group of similar sets, from ``sets(cluster, node, fp, keys)``."""
     num, den = similarity.numerator, similarity.denominator
     sizes = sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("keys")) / chunk_shingles).cast("int").alias("chunks")).where("chunks > 1")
+    sizes = written(sizes, "sizes")  # a table of its own, so that the join may be split where a cluster is large
     rows = sets.join(sizes, "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "own", "node", "fp", "keys")
     rows = rows.select("cluster", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"), "own", "node", "fp", "keys")
