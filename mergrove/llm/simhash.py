@@ -66,12 +66,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near(values: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For each value of a BK-tree over ``values`` (distinct): indexes of the queries within ``radius``, and its own.
+    """For each value of a BK-tree over ``values`` (distinct, perhaps none): indexes of the queries within ``radius``, and its own.
 
     The tree is built and searched in the same descent: a node's subtree splits by distance to the node, and
     of its queries only those follow an edge whose measured distance is within the radius of the edge's label.
     """
-    todo = [(np.arange(len(values)), np.arange(len(queries)))]
+    todo = [(np.arange(len(values)), np.arange(len(queries)))] if len(values) else []
     while todo:
         tree, ask = todo.pop()
         node, rest = tree[0], tree[1:]
