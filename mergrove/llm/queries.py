@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepieces.encode(_table(spark, sf_dir, "documents"), sentencepieces.read_model(MODEL), ids=False)
+    coded = sentencepieces.encode(_table(spark, sf_dir, "documents"), sentencepieces.read_model(MODEL))
     return coded.withColumnRenamed("id", "doc_id")
 
 

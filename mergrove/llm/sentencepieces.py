@@ -6,7 +6,7 @@ what they make) with byte fallback, and the decoder.
 
 Where no piece of the vocabulary has the marker after another character, text between such places is encoded
 independently, so each distinct stretch is encoded once per worker, in multithreaded batches, and compared with
-the sentencepiece library as it is first met.
+the sentencepiece library as it is first met.  What is decoded is each text's whole list of ids.
 """
 
 from __future__ import annotations
@@ -123,17 +123,31 @@ class Model:
         return (self.byte_fallback or "\n" in self.pieces) and not self.char_map and not self.trim_blanks and not any("\n" in p for p in self.pieces if len(p) > 1)
 
     def core(self):
-        """The tokenizers model, for text that is normalised already."""
-        from tokenizers import Tokenizer, models
+        """The tokenizers model, for text that is normalised already; its decoder is for lists of :attr:`ordinary` pieces."""
+        from tokenizers import Tokenizer, decoders, models
 
         if self.kind == BPE:
             vocab = {p: i for i, p in enumerate(self.pieces)}
-            return Tokenizer(models.BPE(vocab, self.merges, unk_token=self.pieces[self.unknown], fuse_unk=True, byte_fallback=self.byte_fallback))
+            out = Tokenizer(models.BPE(vocab, self.merges, unk_token=self.pieces[self.unknown], fuse_unk=True, byte_fallback=self.byte_fallback))
+        else:
+            out = Tokenizer(self._unigram())
+        strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
+        out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
+        return out
+
+    @cached_property
+    def ordinary(self) -> np.ndarray:
+        """The pieces among which markers may become blanks after all are joined: no byte of theirs begins a marker."""
+        return np.array([k in (NORMAL, USER_DEFINED) or (k == BYTE and self.byte_fallback and p.upper() != "<0XE2>") for p, k in zip(self.pieces, self.kinds)])
+
+    def _unigram(self):
+        from tokenizers import models
+
         lowest = min(self.scores) - 10.0
         # control, byte and unused pieces never come from text: out of reach under a name no text has
         vocab = [(p if k in (NORMAL, USER_DEFINED) or (k == BYTE and self.byte_fallback) else f"{p}\0{i}", s if k in (NORMAL, USER_DEFINED) else lowest)
                  for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds))]
-        return Tokenizer(models.Unigram(vocab, self.unknown, self.byte_fallback))
+        return models.Unigram(vocab, self.unknown, self.byte_fallback)
 
     def tokenizer(self):
         """A whole tokenizers pipeline with the same normaliser, model and decoder."""
@@ -164,7 +178,6 @@ class Codec:
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if model.line_breaks else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.ids: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.lost: set[str] = set()
         self.whole = model.tokenizer()
         self.silent = np.array([k == CONTROL for k in model.kinds])
         self.map = None
@@ -195,12 +208,9 @@ class Codec:
         from array import array
 
         pack = lambda ids: array("i", ids).tobytes()
-        coded = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
-        got = list(map(pack, coded))
-        plain = [s.replace(MARK, " ") for s in new]
-        shown = [s[1:] if self.model.dummy_prefix and s[:1] == " " else s for s in plain]
-        self.lost.update(s for s, x, y in zip(new, shown, self.whole.decode_batch(coded, skip_special_tokens=False)) if x != y)
+        got = [pack(e.ids) for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
         if self.own:
+            plain = [s.replace(MARK, " ") for s in new]
             if self.model.line_breaks:  # after a line end a stretch is as within a text
                 skip = len(self.own.encode("\n"))
                 want = [x[skip:] for x in self.own.encode(["\n" + s for s in plain], num_threads=self.threads)]
@@ -215,8 +225,9 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool], list[bool]]:
         """For each text its ids as 32-bit little-endian integers, from the tokenizers library; whether the
-        sentencepiece library has the same for all of it; and whether all of it, as normalised, is what the ids decode to."""
-        cut = [self.stretches(self.normalise(t or "")) for t in texts]
+        sentencepiece library has the same for all of it; and whether its whole list of ids, decoded, is the text as normalised."""
+        shown = [self.normalise(t or "") for t in texts]
+        cut = [self.stretches(t) for t in shown]
         met = set().union(*cut)
         if len(self.ids) > self.limit:
             # those at hand stay, and the quarter learned last
@@ -224,22 +235,29 @@ class Codec:
             late.update((s, self.ids[s]) for s in met if s in self.ids)
             self.ids = late
             self.differ = {s for s in self.differ if s in late}
-            self.lost = {s for s in self.lost if s in late}
         new = [s for s in met if s not in self.ids]
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
         find = self.ids.__getitem__
-        agree, back = ([True] * len(cut) if not bad else [bad.isdisjoint(c) for c in cut] for bad in (self.differ, self.lost))
-        return [b"".join(map(find, c)) for c in cut], agree, back
+        agree = [True] * len(cut) if not self.differ else [self.differ.isdisjoint(c) for c in cut]
+        blobs = [b"".join(map(find, c)) for c in cut]
+        return blobs, agree, [x == t for x, t in zip(self.decode(blobs), shown)]
 
     def decode(self, many: list[bytes | list[int]]) -> list[str]:
         """The texts that lists of ids stand for; control pieces stand for nothing.  (An unknown piece that begins a text has no blank before it.)"""
-        lists = []
-        for ids in many:
+        held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+        for at, ids in enumerate(many):
             numbers = np.frombuffer(ids, np.int32) if isinstance(ids, bytes) else np.array(ids, np.int64)
-            quiet = self.silent[numbers]
-            lists.append((numbers[~quiet] if quiet.any() else numbers).tolist())
-        return self.whole.decode_batch(lists, skip_special_tokens=False)
+            if not (ordinary := bool(self.model.ordinary[numbers].all())):
+                numbers = numbers[~self.silent[numbers]]
+            places, lists = held[ordinary]
+            places.append(at)
+            lists.append(numbers.tolist())
+        out = [""] * len(many)
+        for ordinary, (places, lists) in held.items():
+            for at, text in zip(places, (self.core if ordinary else self.whole).decode_batch(lists, skip_special_tokens=False)):
+                out[at] = text
+        return out
 
 
 _HELD: dict[tuple, Codec] = {}

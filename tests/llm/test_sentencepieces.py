@@ -1,11 +1,13 @@
 """SentencePiece models: both libraries agree, and texts come back."""
 
+import hashlib
 import struct
 
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
+from mergrove.llm import queries
 from mergrove.llm import sentencepieces as sp
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -91,6 +93,30 @@ def test_a_wrong_backend_shows():
     assert agree == [False, True] and list(memoryview(blobs[0]).cast("i")) != own.encode("the ab") and list(memoryview(blobs[1]).cast("i")) == own.encode("ab")
 
 
+def test_round_trip_is_of_the_whole_list():
+    codec = sp.Codec(sp.Model.parse(unigram()))
+    assert codec.encode(["the ab", "ab"])[2] == [True, True]
+    codec.ids["▁the"] = codec.ids["▁ab"]
+    assert codec.encode(["the ab", "ab"])[2] == [False, True]
+
+
+def test_bytes_of_a_marker_stay_one():
+    model = sp.Model.parse(sp.read_model(MODEL))
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    byte = {k: model.pieces.index(f"<0x{k:02X}>") for k in (0x0A, 0xE2, 0x96, 0x81, 0xC3)}
+    lists = [[byte[0xE2], byte[0x96], byte[0x81], 263], [263, byte[0x0A], 263], [263, byte[0xC3], 263], []]
+    assert sp.Codec(model).decode(lists) == [own.decode(i) for i in lists] and "▁" in own.decode(lists[0])
+
+
+def test_query_returns_the_ids(spark):
+    folder = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = queries.op1_sentencepiece(spark, folder).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: own.encode(t) for i, t in text.items()}
+    assert all(r.ids_sha256 == hashlib.sha256(struct.pack(f"<{r.n_tokens}i", *r.ids)).hexdigest() and r.round_trip for r in got)
+
+
 def test_cache_limit_changes_nothing():
     model = sp.Model.parse(sp.read_model(MODEL))
     small, large = sp.Codec(model, cache=3), sp.Codec(model)
